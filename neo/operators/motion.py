@@ -23,7 +23,7 @@ def propagate(df: DataFrame, seconds: float = 3600.0, position: str = "position"
     vx, vy, vz = (F.col(f"{velocity}.{c}") for c in ("vx", "vy", "vz"))
     dt = F.lit(float(seconds))
     r = norm3(x, y, z)
-    acc = F.lit(K.GM_SUN) / (r * r)
+    acc = F.try_divide(F.lit(K.GM_SUN), r * r)
     ok = r > 0
     nvx, nvy, nvz = (v + (-acc * p / r) * dt for v, p in ((vx, x), (vy, y), (vz, z)))
     new_vel = F.when(ok, F.struct(nvx.alias("vx"), nvy.alias("vy"), nvz.alias("vz"))).otherwise(F.col(velocity))

@@ -205,3 +205,27 @@ def prediction_results(events: DataFrame) -> DataFrame:
         ok.alias("success"),
         F.when(~ok, F.concat(F.lit("prediction failed: event "), k.cast("string"))).alias("error"),
     )
+
+
+def with_model_inputs(df: DataFrame, key: str = "event_id") -> DataFrame:
+    """The five unobserved model inputs as extra columns of ``df`` (same
+    projection, computed from the row's own key: no join)."""
+    k = F.col(key)
+    return df.withColumns({
+        "orbital_eccentricity": F.lit(0.05) + F.lit(0.25) * unit(k, *ECC_HASH),
+        "inclination_deg": F.lit(10.0) + F.lit(20.0) * signed_unit(k, *INCL_HASH),
+        "albedo": F.lit(0.05) + F.lit(0.45) * unit(k, *ALBEDO_HASH),
+        "rotation_period_h": F.lit(1.0) + F.lit(23.0) * unit(k, *ROT_HASH),
+        "surface_temp_k": F.lit(200.0) + F.lit(60.0) * signed_unit(k, *TEMP_HASH),
+    })
+
+
+def random_factor(key: str = "event_id") -> Column:
+    """The publisher's random factor in [0.1, 2.0) as a column of the key."""
+    return F.lit(0.1) + F.lit(1.9) * unit(F.col(key), *FACTOR_HASH)
+
+
+def wire_asteroids(events: DataFrame) -> DataFrame:
+    """Asteroid records as the publisher sends them: ISO text timestamps."""
+    ast = asteroids(events)
+    return ast.withColumn("timestamp", iso_string(F.col("timestamp")))

@@ -1,0 +1,86 @@
+"""Live state and live read-model (ST3, ST4).
+
+ST3 keeps the latest row per planet (and per asteroid) as a streaming
+aggregation: the state store holds one row per key, is checkpointed, and a lost
+executor's state is restored from the checkpoint.  Bounded recent lists and the
+read-model tables are refreshed in ``foreachBatch`` by the batch operators.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from neo.operators import windows as W
+from neo.streaming.landing import _trigger
+
+
+def latest_per_key_stream(stream: DataFrame, key: str, order_cols) -> DataFrame:
+    """Streaming form of W1/W3: ``groupBy(key).agg(max_by(row, order))``."""
+    others = [c for c in stream.columns if c != key]
+    row = F.struct(*[F.col(c) for c in others])
+    order = F.struct(*[F.col(c) for c in order_cols])
+    return stream.groupBy(key).agg(F.max_by(row, order).alias("__row"))
+
+
+def live_latest(stream: DataFrame, key: str, order_cols, path: str, checkpoint: str,
+                trigger: str = "30 seconds") -> StreamingQuery:
+    """ST3: keep ``path`` equal to the latest row per key.  Update mode emits only
+    changed keys; each micro-batch merges them into the table (latest wins)."""
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        upd = batch.select(key, "__row.*")
+        try:
+            cur = spark.read.parquet(path)
+            merged = W.latest_per_key(cur.unionByName(upd, allowMissingColumns=True), key, order_cols)
+        except AnalysisException:  # first batch: no table yet
+            merged = upd
+        out = f"{path}.next-{batch_id}"
+        merged.write.mode("overwrite").parquet(out)
+        spark.read.parquet(out).write.mode("overwrite").parquet(path)
+
+    agg = latest_per_key_stream(stream, key, order_cols)
+    w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
+    return _trigger(w, trigger).start()
+
+
+def live_recent(stream: DataFrame, n: int, order_cols, path: str, checkpoint: str,
+                trigger: str = "30 seconds") -> StreamingQuery:
+    """ST3: bounded recent list (last ``n`` rows by arrival) kept in ``path``."""
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        try:
+            cur = spark.read.parquet(path).unionByName(batch)
+        except AnalysisException:  # first batch: no table yet
+            cur = batch
+        out = f"{path}.next-{batch_id}"
+        W.last_n(cur, n, order_cols).write.mode("overwrite").parquet(out)
+        spark.read.parquet(out).write.mode("overwrite").parquet(path)
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+    return _trigger(w, trigger).start()
+
+
+def live_read_model(stream: DataFrame, table_path: str, out_path: str, checkpoint: str,
+                    trigger: str = "30 seconds", days: int | None = None, levels=None) -> StreamingQuery:
+    """ST4: after every micro-batch lands, recompute the read-model tables (A6 panel,
+    A7 histogram, A8 box statistics, W4 top table) over the landed table
+    ``table_path`` and write them under ``out_path``."""
+    from neo.plans.pipelines import read_model
+
+    spark = stream.sparkSession
+
+    def refresh(batch: DataFrame, batch_id: int) -> None:
+        # one folder per batch, overwritten on retry: idempotent
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
+        model = read_model(spark.read.parquet(table_path), days=days, levels=levels)
+        for name, frame in model.items():
+            frame.write.mode("overwrite").parquet(f"{out_path}/{name}")
+
+    w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
+    return _trigger(w, trigger).start()
+
