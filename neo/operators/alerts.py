@@ -56,10 +56,9 @@ def publish_enrich(df: DataFrame, ts_col: str = "timestamp", factor_col: str | N
         probability = heuristic_probability_col(d, F.col("size"), speed,
                                                 F.col(factor_col) if factor_col else None)
     out = df.withColumns({"collision_probability": probability, "distance_from_earth": d})
-    level = risk_ladder(F.col("collision_probability"), "generator")
-    return out.withColumns({
-        "enhanced_collision_probability": F.col("collision_probability"),
-        "risk_level": level, "color": risk_color(level)})
+    out = out.withColumns({"enhanced_collision_probability": F.col("collision_probability"),
+                           "risk_level": risk_ladder(F.col("collision_probability"), "generator")})
+    return out.withColumn("color", risk_color(F.col("risk_level")))
 
 
 def make_alerts(df: DataFrame, alert_time: Column | None = None, threshold: float = K.ALERT_THRESHOLD,

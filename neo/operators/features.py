@@ -113,13 +113,12 @@ def orbital_features(df: DataFrame, ts_col: str = "timestamp", earth=(K.AU_KM, 0
         "distance_from_earth": distance_from_earth_col(earth),
         "angular_momentum_x": hx, "angular_momentum_y": hy, "angular_momentum_z": hz,
     })
-    energy = orbital_energy_col(F.col("velocity_magnitude"), F.col("distance_from_sun"))
-    out = first.withColumns({
-        "orbital_energy": energy,
+    second = first.withColumns({
+        "orbital_energy": orbital_energy_col(F.col("velocity_magnitude"), F.col("distance_from_sun")),
         "angular_momentum_magnitude": norm3("angular_momentum_x", "angular_momentum_y", "angular_momentum_z"),
-        "semi_major_axis": semi_major_axis_col(energy),
         "timestamp_unix": epoch_seconds(ts), "hour_of_day": F.hour(ts), "day_of_year": F.dayofyear(ts),
     })
+    out = second.withColumn("semi_major_axis", semi_major_axis_col(F.col("orbital_energy")))
     order = [c for c in df.columns] + [
         "distance_from_sun", "velocity_magnitude", "distance_from_earth", "orbital_energy",
         "angular_momentum_x", "angular_momentum_y", "angular_momentum_z", "angular_momentum_magnitude",

@@ -29,6 +29,7 @@ def build_session(master: str = "local[*]", app: str = "neo", shuffle_partitions
     conf = dict(DEFAULT_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.ui.enabled"] = "false"
+    conf["spark.ui.showConsoleProgress"] = "false"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)

@@ -20,6 +20,7 @@ from neo.functions.hashing import mod_mul, signed_unit, unit
 from neo.functions.risk import classify_orbit, risk_color, risk_ladder
 from neo.functions.timefn import epoch_seconds, iso_string
 from neo.functions.vector import distance3, norm3
+from neo.sources.tables import balance_input
 
 
 # FIXED VALUES: multipliers / moduli of the derivation (FIXTURES.md section 4)
@@ -40,14 +41,22 @@ MS_HASH = (12211, 1049)
 NOISE_HASH = (3791, 1051)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    """A given table; see :func:`neo.sources.tables.balance_input`."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance_input(df) if balance else df
+
+
+def _hash_units(k: Column) -> list[Column]:
+    """The five hash units of a key, as named columns (computed once per row)."""
+    return [mod_mul(k, *TYPE_HASH).alias("__h"), signed_unit(k, *A_HASH).alias("__a"),
+            signed_unit(k, *B_HASH).alias("__b"), signed_unit(k, *G_HASH).alias("__g"),
+            unit(k, *S_HASH).alias("__s")]
 
 
 def _asteroid_columns(k: Column) -> dict[str, Column]:
-    h = mod_mul(k, *TYPE_HASH)
-    a, b, g = signed_unit(k, *A_HASH), signed_unit(k, *B_HASH), signed_unit(k, *G_HASH)
-    s = unit(k, *S_HASH)
+    """Body state from the hash-unit columns ``__h __a __b __g __s`` (see ``_hash_units``)."""
+    h, a, b, g, s = (F.col(c) for c in ("__h", "__a", "__b", "__g", "__s"))
     AU = F.lit(K.AU_KM)
     kind = (F.when(h < 250, "near_earth").when(h < 850, "main_belt").when(h < 950, "trojan").otherwise("outer"))
     x = AU * (F.when(h < 250, F.lit(1.0) + F.lit(0.02) * a)
@@ -67,22 +76,30 @@ def _asteroid_columns(k: Column) -> dict[str, Column]:
                 ecc=F.lit(0.05) + F.lit(0.25) * unit(k, *ECC_HASH))
 
 
+def _state(events: DataFrame, *keep: str) -> DataFrame:
+    """Stage 1 and 2 of every view: hash units once, then the body state columns."""
+    k = F.col("event_id")
+    units = events.select(*keep, *_hash_units(k))
+    c = _asteroid_columns(k)
+    return units.select(
+        *keep, c["kind"].alias("asteroid_type"), c["x"].alias("_x"), c["y"].alias("_y"), c["z"].alias("_z"),
+        c["vx"].alias("_vx"), c["vy"].alias("_vy"), c["vz"].alias("_vz"), c["size"].alias("size"),
+        c["size_cat"].alias("size_category"), c["density"].alias("density"), c["ecc"].alias("eccentricity"))
+
+
 def asteroids(events: DataFrame) -> DataFrame:
     """One asteroid observation per event, landing-shaped (see ``schemas.ASTEROID_LANDING``)
     plus ``event_id`` as arrival order."""
     from neo.operators.collision import body_mass_col, heuristic_probability_col, orbital_period_col
 
-    k = F.col("event_id")
-    c = _asteroid_columns(k)
-    stage = events.select(
-        "event_id", "ts", "user_id",
-        c["kind"].alias("asteroid_type"), c["x"].alias("_x"), c["y"].alias("_y"), c["z"].alias("_z"),
-        c["vx"].alias("_vx"), c["vy"].alias("_vy"), c["vz"].alias("_vz"), c["size"].alias("size"),
-        c["size_cat"].alias("size_category"), c["density"].alias("density"), c["ecc"].alias("eccentricity"),
-    )
-    r_sun = norm3("_x", "_y", "_z")
-    d_earth = distance3("_x", "_y", "_z", K.AU_KM, 0.0, 0.0)
-    prob = heuristic_probability_col(d_earth, F.col("size"), norm3("_vx", "_vy", "_vz"))
+    stage = _state(events, "event_id", "ts", "user_id")
+    # each derived quantity once, as a column, so CASE branches refer to a value
+    # instead of repeating its expression
+    stage = stage.withColumns({"_r": norm3("_x", "_y", "_z"),
+                               "_de": distance3("_x", "_y", "_z", K.AU_KM, 0.0, 0.0),
+                               "_sp": norm3("_vx", "_vy", "_vz")})
+    stage = stage.withColumn("_p", heuristic_probability_col(F.col("_de"), F.col("size"), F.col("_sp")))
+    stage = stage.withColumn("_lvl", risk_ladder(F.col("_p"), "generator"))
     out = stage.select(
         "event_id",
         F.concat(F.lit("asteroid_"), F.col("user_id").cast("string")).alias("id"),
@@ -92,19 +109,19 @@ def asteroids(events: DataFrame) -> DataFrame:
         "size",
         body_mass_col(F.col("size"), F.col("density")).alias("mass"),
         "density",
-        classify_orbit(r_sun).alias("classification"),
-        orbital_period_col(r_sun).alias("orbital_period"),
+        classify_orbit(F.col("_r")).alias("classification"),
+        orbital_period_col(F.col("_r")).alias("orbital_period"),
         "eccentricity",
-        ((d_earth < F.lit(K.PHO_DISTANCE_AU * K.AU_KM)) & (F.col("size") > F.lit(K.PHO_MIN_SIZE_KM)))
+        ((F.col("_de") < F.lit(K.PHO_DISTANCE_AU * K.AU_KM)) & (F.col("size") > F.lit(K.PHO_MIN_SIZE_KM)))
         .alias("potentially_hazardous"),
-        prob.alias("collision_probability"),
+        F.col("_p").alias("collision_probability"),
         iso_string(F.col("ts")).alias("processed_timestamp"),
         "asteroid_type", "size_category",
         iso_string(F.col("ts")).alias("discovery_date"),
-        prob.alias("enhanced_collision_probability"),
-        risk_ladder(prob, "generator").alias("risk_level"),
-        risk_color(risk_ladder(prob, "generator")).alias("color"),
-        d_earth.alias("distance_from_earth"),
+        F.col("_p").alias("enhanced_collision_probability"),
+        F.col("_lvl").alias("risk_level"),
+        risk_color(F.col("_lvl")).alias("color"),
+        F.col("_de").alias("distance_from_earth"),
     )
     return out
 
@@ -156,16 +173,16 @@ def model_inputs(events: DataFrame) -> DataFrame:
 
 def training_rows(events: DataFrame) -> DataFrame:
     """Training table (ten double features + ``noise``) keyed by ``event_id``."""
-    k = F.col("event_id")
-    c = _asteroid_columns(k)
     from neo.operators.collision import body_mass_col
 
-    return events.select(
+    k = F.col("event_id")
+    st = _state(events, "event_id")
+    return st.select(
         "event_id",
-        c["size"].alias("diameter_km"),
-        norm3(c["vx"], c["vy"], c["vz"]).alias("velocity_km_s"),
-        (distance3(c["x"], c["y"], c["z"], K.AU_KM, 0.0, 0.0) / F.lit(K.AU_KM)).alias("distance_earth_au"),
-        body_mass_col(c["size"], c["density"]).alias("mass_kg"),
+        F.col("size").alias("diameter_km"),
+        norm3("_vx", "_vy", "_vz").alias("velocity_km_s"),
+        (distance3("_x", "_y", "_z", K.AU_KM, 0.0, 0.0) / F.lit(K.AU_KM)).alias("distance_earth_au"),
+        body_mass_col(F.col("size"), F.col("density")).alias("mass_kg"),
         (F.lit(0.05) + F.lit(0.25) * unit(k, *ECC_HASH)).alias("orbital_eccentricity"),
         (F.lit(10.0) + F.lit(20.0) * signed_unit(k, *INCL_HASH)).alias("inclination_deg"),
         (F.lit(2 * math.pi) * unit(k, *ANGLE_HASH)).alias("approach_angle"),
@@ -182,14 +199,15 @@ def prediction_results(events: DataFrame) -> DataFrame:
     from neo.operators.collision import model_fallback_probability_col
 
     k = F.col("event_id")
-    c = _asteroid_columns(k)
-    speed = norm3(c["vx"], c["vy"], c["vz"])
-    d_au = distance3(c["x"], c["y"], c["z"], K.AU_KM, 0.0, 0.0) / F.lit(K.AU_KM)
+    st = _state(events, "event_id", "user_id", "event_type")
+    c = {"kind": F.col("asteroid_type"), "size": F.col("size")}
+    speed = norm3("_vx", "_vy", "_vz")
+    d_au = distance3("_x", "_y", "_z", K.AU_KM, 0.0, 0.0) / F.lit(K.AU_KM)
     prob = model_fallback_probability_col(c["size"], speed, F.lit(0.1) + F.lit(1.9) * unit(k, *FACTOR_HASH))
     ok = F.coalesce(F.col("event_type") != F.lit("error"), F.lit(True))
     level = risk_ladder(prob, "model")
     expected = risk_ladder(prob, "test")
-    return events.select(
+    return st.select(
         "event_id",
         c["kind"].alias("scenario"),
         F.concat(F.lit("asteroid_"), F.col("user_id").cast("string")).alias("asteroid_id"),

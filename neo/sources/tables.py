@@ -49,6 +49,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, conform_typ
         raise
 
 
+def balance_input(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A small input stored as one file with one row group is read by one task, so
+    every projection over it runs on one core.  Such a scan is round-robin
+    repartitioned to the default parallelism (a shuffle of a small input).  A
+    large input already has many splits and is returned unchanged: no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
     """Parquet sink (overwrite by default)."""
     w = df.write.mode(mode)
