@@ -122,7 +122,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
     stats = Q.group_stats(keyed, "__k", [label])
     f1, f2 = fractions[0], fractions[0] + fractions[1]
     ranks, cuts = {}, {}
-    for grp, (n, _lo, _hi) in stats.items():
+    for grp, (n, *_rest) in stats.items():
         c1, c2 = math.floor(f1 * n), math.floor(f2 * n)
         cuts[grp] = (c1, c2)
         ranks[grp] = [c - 1 for c in (c1, c2) if c >= 1]

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 MAX_GROUPS = 10_000
 MAX_ROUNDS = 200
+APPROX_ACCURACY = 10_000
 
 
 def _group_cond(by, key) -> object:
@@ -36,23 +37,37 @@ def _group_cond(by, key) -> object:
         (F.col(c).isNull() if v is None else (F.col(c) == F.lit(v))) for c, v in zip(by, key)])
 
 
-def group_stats(df: DataFrame, value: str, by=()) -> dict:
-    """count / min / max of non-null, non-NaN ``value`` per group (bounded number of groups)."""
+def group_stats(df: DataFrame, value: str, by=(), probs=(), accuracy: int = APPROX_ACCURACY) -> dict:
+    """count / min / max of non-null, non-NaN ``value`` per group (bounded number of
+    groups); with ``probs``, also approximate percentiles (``percentile_approx``,
+    bounded sketches) used as first brackets for the exact search."""
     v = F.col(value)
-    rows = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")]
+    if probs:
+        aggs.append(F.percentile_approx(v, [float(p) for p in probs], accuracy).alias("approx"))
+    rows = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(*aggs)
             .limit(MAX_GROUPS + 1).collect())
     if len(rows) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups; quantiles per group are meant for few groups")
-    return {tuple(r[c] for c in by): (r["n"], float(r["lo"]), float(r["hi"])) for r in rows}
+    out = {}
+    for r in rows:
+        if r["n"] == 0:          # a global aggregate of no rows
+            continue
+        key = tuple(r[c] for c in by)
+        approx = dict(zip(probs, [float(x) for x in r["approx"]])) if probs else {}
+        out[key] = (r["n"], float(r["lo"]), float(r["hi"]), approx)
+    return out
 
 
 def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict | None = None,
-                     buckets: int = BUCKETS, persist: bool = True) -> dict:
+                     buckets: int = BUCKETS, persist: bool = True, brackets: dict | None = None) -> dict:
     """Exact k-th smallest values (0-based ``k``) of ``value`` per group.
 
     ``ranks`` maps a group key tuple (``()`` without ``by``) to an iterable of
     ranks.  Returns ``{(key, k): value}``.  Nulls and NaN are ignored.
+    ``brackets`` ``{(key, k): (lo, hi)}`` are optional first guesses (for example
+    approximate percentiles); each is verified in the first round and replaced
+    by the group's full range if it does not hold the rank.
     """
     by = list(by)
     v = F.col(value).cast("double")
@@ -62,17 +77,21 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict
     try:
         if stats is None:
             stats = group_stats(base, "__v", by)
-        # target: [key, k, lo, hi, below]
+        brackets = brackets or {}
+        # target: [key, k, lo, hi, below]; below None = not known yet (bracket guess)
         targets, result = [], {}
         for key, ks in ranks.items():
             if key not in stats:
                 continue
-            n, lo, hi = stats[key]
+            n, lo, hi = stats[key][:3]
             for k in sorted(set(int(x) for x in ks)):
                 if not 0 <= k < n:
                     raise ValueError(f"rank {k} outside 0..{n - 1} for group {key}")
                 if lo == hi:
                     result[(key, k)] = lo
+                elif (key, k) in brackets:
+                    blo, bhi = brackets[(key, k)]
+                    targets.append([key, k, max(lo, blo), min(hi, bhi), None])
                 else:
                     targets.append([key, k, lo, hi, 0])
         rounds = 0
@@ -80,24 +99,39 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict
             rounds += 1
             if rounds > MAX_ROUNDS:
                 raise RuntimeError("order statistics did not converge")
-            # one pass for every open target: tag each row with (target, bucket)
+            # one pass for every open target: tag each row with (target, bucket);
+            # bucket -1 counts the rows below a guessed bracket
             tags = []
-            for i, (key, _k, lo, hi, _b) in enumerate(targets):
-                inside = _group_cond(by, key) & (F.col("__v") >= F.lit(lo)) & (F.col("__v") <= F.lit(hi))
-                bucket = F.least(F.floor((F.col("__v") - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(buckets))),
-                                 F.lit(buckets - 1)).cast("long")
-                tags.append(F.when(inside, F.lit(i * buckets) + bucket))
+            for i, (key, _k, lo, hi, below) in enumerate(targets):
+                grp = _group_cond(by, key)
+                inside = grp & (F.col("__v") >= F.lit(lo)) & (F.col("__v") <= F.lit(hi))
+                width = hi - lo
+                bucket = (F.least(F.floor((F.col("__v") - F.lit(lo)) / F.lit(width) * F.lit(float(buckets))),
+                                  F.lit(buckets - 1)).cast("long") if width > 0 else F.lit(0).cast("long"))
+                tag = F.when(inside, F.lit(i * (buckets + 1) + 1) + bucket)
+                if below is None:
+                    tag = tag.when(grp & (F.col("__v") < F.lit(lo)), F.lit(i * (buckets + 1)))
+                tags.append(tag)
             tagged = base.select(F.col("__v"), F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
             hist = tagged.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"),
                                           F.max("__v").alias("hi")).collect()
             per_target: dict[int, list] = {}
             for r in hist:
-                per_target.setdefault(r["t"] // buckets, []).append((r["t"] % buckets, r["c"], r["lo"], r["hi"]))
+                per_target.setdefault(r["t"] // (buckets + 1), []).append(
+                    (r["t"] % (buckets + 1) - 1, r["c"], r["lo"], r["hi"]))
             still = []
             for i, (key, k, lo, hi, below) in enumerate(targets):
+                cells = sorted(per_target.get(i, []))
+                if below is None:
+                    below = sum(c for b, c, _l, _h in cells if b < 0)
+                    cells = [x for x in cells if x[0] >= 0]
+                    if not below <= k < below + sum(c for _b, c, _l, _h in cells):
+                        n, glo, ghi = stats[key][:3]
+                        still.append([key, k, glo, ghi, 0])   # bracket missed: full range
+                        continue
                 want = k - below
                 seen = 0
-                for _bucket, c, blo, bhi in sorted(per_target.get(i, [])):
+                for _bucket, c, blo, bhi in cells:
                     if seen + c > want:
                         if blo == bhi or c == 1:
                             result[(key, k)] = float(blo)
@@ -116,24 +150,31 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict
 
 def quantiles(df: DataFrame, value: str, probs, by=(), persist: bool = True) -> dict:
     """Exact linearly interpolated quantiles per group: ``{key: [q for p in probs]}``.
-    Groups without values are absent."""
+    Groups without values are absent.  One pass for counts and approximate
+    brackets, then usually one histogram pass."""
     by = list(by)
     v = F.col(value).cast("double")
     base = df.select(*by, v.alias("__q")).where(F.col("__q").isNotNull() & ~F.isnan("__q"))
     if persist:
         base = base.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = group_stats(base, "__q", by)
-        ranks, plan = {}, {}
-        for key, (n, _lo, _hi) in stats.items():
+        margin = 3.0 / APPROX_ACCURACY
+        ask = sorted({min(1.0, max(0.0, round(float(p) + d, 6))) for p in probs for d in (-margin, margin)})
+        stats = group_stats(base, "__q", by, probs=ask)
+        ranks, plan, brackets = {}, {}, {}
+        for key, (n, _lo, _hi, approx) in stats.items():
             ks, pos = set(), []
             for p in probs:
                 h = (n - 1) * float(p)
                 f, c = math.floor(h), math.ceil(h)
                 ks.update((f, c))
                 pos.append((h, f, c))
+                lo_p = min(1.0, max(0.0, round(float(p) - margin, 6)))
+                hi_p = min(1.0, max(0.0, round(float(p) + margin, 6)))
+                for k in (f, c):
+                    brackets[(key, k)] = (approx[lo_p], approx[hi_p])
             ranks[key], plan[key] = ks, pos
-        got = order_statistics(base, "__q", ranks, by, stats=stats, persist=False)
+        got = order_statistics(base, "__q", ranks, by, stats=stats, persist=False, brackets=brackets)
         out = {}
         for key, pos in plan.items():
             qs = []

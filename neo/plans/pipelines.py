@@ -66,20 +66,38 @@ def run_batch(spark: SparkSession, asteroid_path: str, planet_path: str, process
     return A.summary(written)
 
 
+class ReadModel(dict):
+    """The read-model tables; they share one persisted input, released by
+    :meth:`unpersist` once the tables are written."""
+
+    def __init__(self, source: DataFrame, tables: dict):
+        super().__init__(tables)
+        self.source = source
+
+    def unpersist(self) -> None:
+        self.source.unpersist()
+
+
 def read_model(df: DataFrame, days: int | None = None, levels=None, now=None, planets: DataFrame | None = None,
-               k: int = K.TOP_K_TABLE) -> dict[str, DataFrame]:
-    """Q5: F34 -> F35 -> {panel (A6), histogram (A7), box (A8), top (W4), paths (J2)}."""
+               k: int = K.TOP_K_TABLE, persist: bool = True) -> ReadModel:
+    """Q5: F34 -> F35 -> {panel (A6), histogram (A7), box (A8), top (W4), paths (J2)}.
+
+    The filtered rows feed five tables, so they are persisted once (memory and
+    disk: a lost executor recomputes only its own blocks) instead of being
+    recomputed from the scan for each table."""
     cur = df
     if days is not None:
         cur = AL.filter_recent(cur, days, now)
     if levels is not None:
         cur = AL.filter_risk(cur, levels)
+    if persist:
+        cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
     ties = [c for c in ("id", "event_id") if c in cur.columns]
     out = {"panel": A.panel_stats(cur), "histogram": A.probability_histogram(cur),
            "box": A.size_box_stats(cur), "top": W.top_risk(cur, k, tie_breakers=ties)}
     if planets is not None:
         out["paths"] = J.collision_paths(cur, planets)
-    return out
+    return ReadModel(cur, out)
 
 
 def train(training: DataFrame, model_path: str | None = None, iterations=(100, 200)) -> dict:

@@ -80,6 +80,7 @@ def live_read_model(stream: DataFrame, table_path: str, out_path: str, checkpoin
         model = read_model(spark.read.parquet(table_path), days=days, levels=levels)
         for name, frame in model.items():
             frame.write.mode("overwrite").parquet(f"{out_path}/{name}")
+        model.unpersist()
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
     return _trigger(w, trigger).start()

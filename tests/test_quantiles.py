@@ -116,3 +116,10 @@ def test_histogram(spark):
     assert sum(got.values()) == 7
     one = spark.createDataFrame([(0.5,), (0.5,)], "enhanced_collision_probability double")
     assert [(r["bin"], r["count"]) for r in A.probability_histogram(one).collect()] == [(0, 2)]
+
+
+def test_wrong_bracket_falls_back_to_full_range(spark):
+    vals = list(range(1000))
+    df = _df(spark, vals)
+    got = Q.order_statistics(df, "v", {(): [10, 990]}, brackets={((), 10): (500.0, 600.0), ((), 990): (0.0, 5.0)})
+    assert got[((), 10)] == 10.0 and got[((), 990)] == 990.0
