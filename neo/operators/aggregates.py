@@ -162,19 +162,29 @@ def iqr_outliers(df: DataFrame, features=K.IQR_FEATURES, method: str = "approx",
     in turn; each feature's quartiles come from the rows the previous features
     kept (order matters).  A feature with no values is skipped.
 
-    Eager: one quantile job per feature (``approx``) or a few histogram rounds
-    (``exact``).  The input is persisted once (memory and disk, so a lost
-    executor recomputes only its blocks) and the bounds become literals in the
-    returned, lazy plan."""
-    base = df.persist(StorageLevel.MEMORY_AND_DISK) if persist else df
-    cur = base
-    for feat in features:
-        b = iqr_bounds(cur, feat, method, relative_error)
-        if b is None:
-            continue
-        lo, hi = b
-        cur = cur.where((F.col(feat) >= F.lit(lo)) & (F.col(feat) <= F.lit(hi)))
-    return cur
+    Eager: one quantile job per feature (``approx``) or two or three passes
+    (``exact``).  Only the feature columns are persisted for those jobs (memory
+    and disk; a lost executor recomputes only its own blocks), not the whole
+    row; the bounds then become literals of the returned lazy plan, which
+    computes every other column once, in the consumer's pass."""
+    feats = [f for f in features]
+    narrow = df.select(*feats)
+    narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK) if persist else narrow
+    cond = None
+    cur = narrow
+    try:
+        for feat in feats:
+            b = iqr_bounds(cur, feat, method, relative_error)
+            if b is None:
+                continue
+            lo, hi = b
+            keep = (F.col(feat) >= F.lit(lo)) & (F.col(feat) <= F.lit(hi))
+            cond = keep if cond is None else cond & keep
+            cur = narrow.where(cond)
+    finally:
+        if persist:
+            narrow.unpersist()
+    return df if cond is None else df.where(cond)
 
 
 def prediction_stats(results: DataFrame) -> DataFrame:
