@@ -12,6 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,15 +119,21 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
     ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The cut
     values are exact order statistics (histogram narrowing), so no label's rows
     are ever sorted in one task."""
-    keyed = df.withColumn("__k", split_key(key, seed))
-    stats = Q.group_stats(keyed, "__k", [label])
+    keyed = df.withColumn("__k", split_key(key, seed)).persist(StorageLevel.MEMORY_AND_DISK)
     f1, f2 = fractions[0], fractions[0] + fractions[1]
-    ranks, cuts = {}, {}
-    for grp, (n, *_rest) in stats.items():
+    m = 3.0 / Q.APPROX_ACCURACY
+    probs = sorted({round(min(1.0, max(0.0, f + d)), 6) for f in (f1, f2) for d in (-m, m)})
+    stats = Q.group_stats(keyed, "__k", [label], probs=probs)
+    ranks, cuts, brackets = {}, {}, {}
+    for grp, (n, _lo, _hi, approx) in stats.items():
         c1, c2 = math.floor(f1 * n), math.floor(f2 * n)
         cuts[grp] = (c1, c2)
         ranks[grp] = [c - 1 for c in (c1, c2) if c >= 1]
-    got = Q.order_statistics(keyed, "__k", ranks, [label])
+        for f, c in ((f1, c1), (f2, c2)):
+            lo_p, hi_p = (round(min(1.0, max(0.0, f + d)), 6) for d in (-m, m))
+            brackets[(grp, c - 1)] = (approx[lo_p], approx[hi_p])
+    got = Q.order_statistics(keyed, "__k", ranks, [label], stats=stats, brackets=brackets)
+    keyed.unpersist()
     split = None
     for grp, (c1, c2) in cuts.items():
         t1 = got.get((grp, c1 - 1), float("-inf"))
