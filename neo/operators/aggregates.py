@@ -199,11 +199,14 @@ def prediction_stats(results: DataFrame) -> DataFrame:
 
 def risk_distribution(results: DataFrame, level: str = "ml_risk_level") -> DataFrame:
     """Count and percentage of successful predictions per level, sorted by level.
-    The total is a scalar subquery over the same rows."""
+    The total is a window over the grouped rows (one per level, a handful), so
+    the input is scanned once."""
+    from pyspark.sql import Window
+
     ok = results.where(F.col("success"))
-    total = ok.agg(F.count(F.lit(1))).scalar()
-    return (ok.groupBy(F.col(level).alias("risk_level")).agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("percentage", F.col("count") * F.lit(100.0) / total).orderBy("risk_level"))
+    counted = ok.groupBy(F.col(level).alias("risk_level")).agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy())
+    return counted.withColumn("percentage", F.col("count") * F.lit(100.0) / total).orderBy("risk_level")
 
 
 def success_rate(results: DataFrame) -> DataFrame:

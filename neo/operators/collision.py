@@ -158,16 +158,17 @@ def model_fallback_probability(df: DataFrame, factor_col: str | None = None,
     return df.withColumn(out, model_fallback_probability_col(F.col("size"), speed, factor))
 
 
-def impact_eta(df: DataFrame, origin: str = "sun", earth=FIXED_EARTH, ts_col: str = "timestamp") -> DataFrame:
+def impact_eta(df: DataFrame, origin: str = "sun", earth=FIXED_EARTH, ts_col: str = "timestamp",
+               out: str = "estimated_impact_time") -> DataFrame:
     """observation time + distance / speed.
 
     ``origin="sun"`` divides the distance from the Sun (the reference's formula),
     ``origin="earth"`` the distance to ``earth``.  Adds ``impact_time`` (null when
-    the speed is zero) and ``estimated_impact_time`` (ISO text, "Unknown" then)."""
+    the speed is zero) and ``out`` (ISO text, "Unknown" then)."""
     x, y, z = F.col("position.x"), F.col("position.y"), F.col("position.z")
     dist = norm3(x, y, z) if origin == "sun" else distance3(x, y, z, *earth)
     speed = norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz"))
     ts = to_ntz(df, ts_col)
     eta = F.when(speed > 0, add_seconds(ts, dist / speed))
     return df.withColumn("impact_time", eta).withColumn(
-        "estimated_impact_time", F.coalesce(iso_string(F.col("impact_time")), F.lit("Unknown")))
+        out, F.coalesce(iso_string(F.col("impact_time")), F.lit("Unknown")))

@@ -91,9 +91,21 @@ def messages(spark, sf) -> DataFrame:
     return MS.encode_messages(DM.wire_asteroids(events(spark, sf)), "id", offset_col="event_id")
 
 
+MESSAGE_SCHEMA = "offset long, key string, value string"
+
+
+def landed_messages(spark, sf, errors: bool = False) -> str:
+    """Write the wire messages to a fresh folder under the shared checkpoint
+    directory, as a topic would deliver them, and return the folder."""
+    path = scratch_path(spark, "messages")
+    (messages_with_errors(spark, sf) if errors else messages(spark, sf)).write.parquet(path)
+    return path
+
+
 def messages_with_errors(spark, sf) -> DataFrame:
-    ev = events(spark, sf).select(F.col("event_id").alias("offset"), "event_type")
-    m = messages(spark, sf).join(ev, "offset")
+    """As :func:`messages`, but events of type ``error`` arrive truncated (one projection, no join)."""
+    m = MS.encode_messages(DM.wire_asteroids(events(spark, sf), keep=("event_type",)), "id",
+                           offset_col="event_id", carry=("event_type",))
     bad = F.coalesce(F.col("event_type") == F.lit("error"), F.lit(False))
     return m.select("offset", "key", F.when(bad, F.substring("value", 1, 40)).otherwise(F.col("value")).alias("value"))
 
@@ -120,7 +132,8 @@ def s2(spark, sf):
 
 @query("s3_quarantine")
 def s3(spark, sf):
-    good, bad = MS.quarantine(MS.parse_messages(messages_with_errors(spark, sf), S.ASTEROID_LANDING))
+    landed = spark.read.schema(MESSAGE_SCHEMA).parquet(landed_messages(spark, sf, errors=True))
+    good, bad = MS.quarantine(MS.parse_messages(landed, S.ASTEROID_LANDING))
     return good.select(F.col("offset").alias("event_id"), F.lit("good").alias("status")).unionByName(
         bad.select(F.col("offset").alias("event_id"), F.lit("bad").alias("status")))
 
@@ -128,8 +141,7 @@ def s3(spark, sf):
 @query("s4_land_stream")
 def s4(spark, sf):
     base = scratch_path(spark, "s4")
-    stream = spark.readStream.schema(events(spark, sf).schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    msgs = MS.encode_messages(DM.wire_asteroids(stream), "id", offset_col="event_id")
+    msgs = spark.readStream.schema(MESSAGE_SCHEMA).parquet(landed_messages(spark, sf))
     good, _bad = MS.quarantine(MS.parse_messages(msgs, S.ASTEROID_LANDING))
     q = SL.land_stream(SL.with_ingest_date(good), f"{base}/data", f"{base}/_checkpoint", "availableNow")
     q.awaitTermination()
@@ -348,9 +360,8 @@ def f28(spark, sf):
 
 @query("f29_impact_eta")
 def f29(spark, sf):
-    a = C.impact_eta(ast(spark, sf), "sun").select("event_id", F.col("estimated_impact_time").alias("eta_sun"))
-    b = C.impact_eta(ast(spark, sf), "earth").select("event_id", F.col("estimated_impact_time").alias("eta_earth"))
-    return a.join(b, "event_id")
+    df = C.impact_eta(C.impact_eta(ast(spark, sf), "sun", out="eta_sun"), "earth", out="eta_earth")
+    return df.select("event_id", "eta_sun", "eta_earth")
 
 
 @query("f30_planet_positions")
@@ -743,7 +754,8 @@ def _event_stream(spark, sf) -> DataFrame:
 
 
 def _message_stream(spark, sf) -> DataFrame:
-    return MS.encode_messages(DM.wire_asteroids(_event_stream(spark, sf)), "id", offset_col="event_id")
+    """The asteroid topic as a file stream of landed wire messages."""
+    return spark.readStream.schema(MESSAGE_SCHEMA).parquet(landed_messages(spark, sf))
 
 
 @query("st1_continuous_landing")

@@ -87,12 +87,12 @@ def _state(events: DataFrame, *keep: str) -> DataFrame:
         c["size_cat"].alias("size_category"), c["density"].alias("density"), c["ecc"].alias("eccentricity"))
 
 
-def asteroids(events: DataFrame) -> DataFrame:
+def asteroids(events: DataFrame, keep=()) -> DataFrame:
     """One asteroid observation per event, landing-shaped (see ``schemas.ASTEROID_LANDING``)
     plus ``event_id`` as arrival order."""
     from neo.operators.collision import body_mass_col, heuristic_probability_col, orbital_period_col
 
-    stage = _state(events, "event_id", "ts", "user_id")
+    stage = _state(events, "event_id", "ts", "user_id", *keep)
     # each derived quantity once, as a column, so CASE branches refer to a value
     # instead of repeating its expression
     stage = stage.withColumns({"_r": norm3("_x", "_y", "_z"),
@@ -122,6 +122,7 @@ def asteroids(events: DataFrame) -> DataFrame:
         F.col("_lvl").alias("risk_level"),
         risk_color(F.col("_lvl")).alias("color"),
         F.col("_de").alias("distance_from_earth"),
+        *keep,
     )
     return out
 
@@ -243,7 +244,7 @@ def random_factor(key: str = "event_id") -> Column:
     return F.lit(0.1) + F.lit(1.9) * unit(F.col(key), *FACTOR_HASH)
 
 
-def wire_asteroids(events: DataFrame) -> DataFrame:
+def wire_asteroids(events: DataFrame, keep=()) -> DataFrame:
     """Asteroid records as the publisher sends them: ISO text timestamps."""
-    ast = asteroids(events)
+    ast = asteroids(events, keep)
     return ast.withColumn("timestamp", iso_string(F.col("timestamp")))

@@ -54,14 +54,16 @@ def stamp_processed(df: DataFrame, now: Column | None = None, col: str = "proces
     return df.withColumn(col, iso_string(now))
 
 
-def encode_messages(df: DataFrame, key_col: str | None = None, offset_col: str | None = None) -> DataFrame:
+def encode_messages(df: DataFrame, key_col: str | None = None, offset_col: str | None = None,
+                    carry=()) -> DataFrame:
     """``key`` (string or null) and ``value`` = the row as JSON text, with
     six-digit ISO timestamps.  ``offset_col`` (e.g. an arrival sequence) is
-    carried beside the message as ``offset`` instead of inside it."""
+    carried beside the message as ``offset`` instead of inside it; ``carry``
+    columns are kept beside the message as they are."""
     key = F.col(key_col).cast("string") if key_col else F.lit(None).cast("string")
-    payload = [F.col(c) for c in df.columns if c != offset_col]
+    payload = [F.col(c) for c in df.columns if c != offset_col and c not in carry]
     opts = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-    out = [key.alias("key"), F.to_json(F.struct(*payload), opts).alias("value")]
+    out = [key.alias("key"), F.to_json(F.struct(*payload), opts).alias("value")] + [F.col(c) for c in carry]
     if offset_col:
         out = [F.col(offset_col).alias("offset")] + out
     return df.select(*out)
