@@ -794,7 +794,8 @@ def st3(spark, sf):
     q = SV.live_latest(pos.select("planet", "timestamp", "position"), "planet", ["timestamp"],
                        f"{base}/latest", f"{base}/_checkpoint", trigger="availableNow")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/latest").select("planet", iso_string(F.col("timestamp")).alias("timestamp"))
+    latest = SV.read_live_latest(spark, f"{base}/latest", "planet", ["timestamp"])
+    return latest.select("planet", iso_string(F.col("timestamp")).alias("timestamp"))
 
 
 @query("st4_live_read_model")
@@ -803,7 +804,8 @@ def st4(spark, sf):
     recs = C.collision_risk(P.features(DM.asteroids(_event_stream(spark, sf))), earth=FIXED)
     q = SV.live_read_model(recs.select("id", "event_id", "timestamp", "size", "distance_from_earth",
                                        "enhanced_collision_probability", "risk_level"),
-                           f"{base}/table", f"{base}/model", f"{base}/_checkpoint", trigger="availableNow")
+                           f"{base}/recent", f"{base}/model", f"{base}/_checkpoint", trigger="availableNow",
+                           n=K.RECENT_ASTEROIDS)
     q.awaitTermination()
     s = spark.read.parquet(f"{base}/model/panel")
     return s.select("total", "high", "medium", "low", rnd("avg_size", 9).alias("avg_size"), "max_probability")

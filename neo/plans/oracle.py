@@ -595,7 +595,8 @@ SELECT 'alert_' || id || '_' || CAST(CAST(floor(epoch(timestamp)) AS BIGINT) AS
   CASE WHEN {_FB} > {D(1e-3)} THEN 'HIGH' ELSE 'MEDIUM' END AS alert_level
 FROM asteroids WHERE {_FB} > {D(K.ALERT_THRESHOLD)}""", "asteroids")
 sql("st3_live_state", f"SELECT planet, {iso('max(timestamp)')} AS timestamp FROM planets GROUP BY planet", "planets")
-sql("st4_live_read_model", PANEL.format(src="risk"), "asteroids", ctes=RF)
+sql("st4_live_read_model", PANEL.format(src="recent"), "asteroids",
+    ctes=RF + f",\nrecent AS (SELECT * FROM risk ORDER BY event_id DESC LIMIT {K.RECENT_ASTEROIDS})")
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,18 +1,29 @@
 """Live state and live read-model (ST3, ST4).
 
-ST3 keeps the latest row per planet (and per asteroid) as a streaming
-aggregation: the state store holds one row per key, is checkpointed, and a lost
-executor's state is restored from the checkpoint.  Bounded recent lists and the
-read-model tables are refreshed in ``foreachBatch`` by the batch operators.
+ST3 keeps the latest row per key (planet, asteroid) as a streaming aggregation:
+the state store holds one row per key, is checkpointed, and a lost executor's
+state is restored from the checkpoint.  Each micro-batch emits only the keys it
+changed (update mode); they are appended to a change log, one folder per batch
+id (a retried batch overwrites its own folder), and every ``compact_every``
+batches a snapshot of the latest rows is written.  Readers merge the newest
+snapshot with the later changes (merge on read), so a micro-batch costs in
+proportion to what changed, not to the size of the state.
+
+ST4 follows the dashboard: the read-model tables are recomputed over the bounded
+list of the most recent rows (the last ``n`` by arrival), kept by ST3's recent
+list, so each refresh costs O(n + batch) whatever the size of the history.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from neo import constants as K
 from neo.operators import windows as W
 from neo.streaming.landing import _trigger
 
@@ -25,63 +36,99 @@ def latest_per_key_stream(stream: DataFrame, key: str, order_cols) -> DataFrame:
     return stream.groupBy(key).agg(F.max_by(row, order).alias("__row"))
 
 
+def _ids(spark: SparkSession, path: str, part: str) -> list[int]:
+    """Partition values ``part=N`` present under ``path`` (from the file listing)."""
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException:
+        return []
+    return sorted({int(m.group(1)) for f in files for m in [re.search(rf"/{part}=(\d+)/", f)] if m})
+
+
+def read_live_latest(spark: SparkSession, path: str, key: str, order_cols) -> DataFrame | None:
+    """Current latest row per key: newest snapshot merged with later changes."""
+    snaps = _ids(spark, f"{path}/snapshots", "upto")
+    changes = _ids(spark, f"{path}/changes", "batch")
+    upto = snaps[-1] if snaps else -1
+    newer = [b for b in changes if b > upto]
+    parts = []
+    if snaps:
+        parts.append(spark.read.parquet(f"{path}/snapshots/upto={upto}"))
+    if newer:
+        parts.append(spark.read.parquet(f"{path}/changes").where(F.col("batch") > F.lit(upto)).drop("batch"))
+    if not parts:
+        return None
+    merged = parts[0]
+    for p in parts[1:]:
+        merged = merged.unionByName(p, allowMissingColumns=True)
+    return W.latest_per_key(merged, key, order_cols)
+
+
 def live_latest(stream: DataFrame, key: str, order_cols, path: str, checkpoint: str,
-                trigger: str = "30 seconds") -> StreamingQuery:
-    """ST3: keep ``path`` equal to the latest row per key.  Update mode emits only
-    changed keys; each micro-batch merges them into the table (latest wins)."""
+                trigger: str = "30 seconds", compact_every: int = 20) -> StreamingQuery:
+    """ST3: keep the latest row per key under ``path`` (read it with
+    :func:`read_live_latest`)."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        upd = batch.select(key, "__row.*")
-        try:
-            cur = spark.read.parquet(path)
-            merged = W.latest_per_key(cur.unionByName(upd, allowMissingColumns=True), key, order_cols)
-        except AnalysisException:  # first batch: no table yet
-            merged = upd
-        out = f"{path}.next-{batch_id}"
-        merged.write.mode("overwrite").parquet(out)
-        spark.read.parquet(out).write.mode("overwrite").parquet(path)
+        batch.select(key, "__row.*").write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            current = read_live_latest(spark, path, key, order_cols)
+            if current is not None:
+                current.write.mode("overwrite").parquet(f"{path}/snapshots/upto={batch_id}")
 
     agg = latest_per_key_stream(stream, key, order_cols)
     w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
     return _trigger(w, trigger).start()
 
 
+def read_recent(spark: SparkSession, path: str) -> DataFrame | None:
+    ids = _ids(spark, path, "batch")
+    return spark.read.parquet(f"{path}/batch={ids[-1]}") if ids else None
+
+
+def _update_recent(spark: SparkSession, batch: DataFrame, batch_id: int, n: int, order_cols,
+                   path: str) -> DataFrame:
+    """Last ``n`` rows of (previous list + batch), written as ``path/batch=id``."""
+    prev = [b for b in _ids(spark, path, "batch") if b < batch_id]
+    cur = batch
+    if prev:
+        cur = spark.read.parquet(f"{path}/batch={prev[-1]}").unionByName(batch, allowMissingColumns=True)
+    out = f"{path}/batch={batch_id}"
+    W.last_n(cur, n, order_cols).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out)
+
+
 def live_recent(stream: DataFrame, n: int, order_cols, path: str, checkpoint: str,
                 trigger: str = "30 seconds") -> StreamingQuery:
-    """ST3: bounded recent list (last ``n`` rows by arrival) kept in ``path``."""
+    """ST3: bounded recent list (last ``n`` rows by arrival); read it with
+    :func:`read_recent`.  Each version is a new folder, so a retried batch
+    rewrites only its own version."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        try:
-            cur = spark.read.parquet(path).unionByName(batch)
-        except AnalysisException:  # first batch: no table yet
-            cur = batch
-        out = f"{path}.next-{batch_id}"
-        W.last_n(cur, n, order_cols).write.mode("overwrite").parquet(out)
-        spark.read.parquet(out).write.mode("overwrite").parquet(path)
+        _update_recent(spark, batch, batch_id, n, order_cols, path)
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
     return _trigger(w, trigger).start()
 
 
-def live_read_model(stream: DataFrame, table_path: str, out_path: str, checkpoint: str,
-                    trigger: str = "30 seconds", days: int | None = None, levels=None) -> StreamingQuery:
-    """ST4: after every micro-batch lands, recompute the read-model tables (A6 panel,
-    A7 histogram, A8 box statistics, W4 top table) over the landed table
-    ``table_path`` and write them under ``out_path``."""
+def live_read_model(stream: DataFrame, recent_path: str, out_path: str, checkpoint: str,
+                    trigger: str = "30 seconds", n: int = K.RECENT_ASTEROIDS, order_cols=("event_id",),
+                    days: int | None = None, levels=None) -> StreamingQuery:
+    """ST4: after every micro-batch, update the recent list and recompute the
+    read-model tables (A6 panel, A7 histogram, A8 box statistics, W4 top table)
+    over it, written under ``out_path/<table>``."""
     from neo.plans.pipelines import read_model
 
     spark = stream.sparkSession
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
-        # one folder per batch, overwritten on retry: idempotent
-        batch.write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
-        model = read_model(spark.read.parquet(table_path), days=days, levels=levels)
+        recent = _update_recent(spark, batch, batch_id, n, order_cols, recent_path)
+        model = read_model(recent, days=days, levels=levels)
         for name, frame in model.items():
             frame.write.mode("overwrite").parquet(f"{out_path}/{name}")
         model.unpersist()
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(refresh)
     return _trigger(w, trigger).start()
-
