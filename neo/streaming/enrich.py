@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from neo.functions.timefn import to_ntz
 from neo.operators.alerts import make_alerts, publish_enrich
