@@ -147,3 +147,34 @@ def test_json_sink(spark, tmp_dir):
     lines = [ln for f in sorted(os.listdir(f"{tmp_dir}/j")) if f.endswith(".json")
              for ln in open(os.path.join(f"{tmp_dir}/j", f)) if ln.strip()]
     assert [json.loads(ln) for ln in lines] == [{"id": "a", "size": 1.5}]
+
+
+def test_enrich_alert_dedupe_within_watermark(spark, tmp_dir):
+    ev = DM.table(spark, SF_SMALL, "events")
+    stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
+    recs = DM.asteroids(stream).withColumn("p", F.lit(5e-3))
+    _enr, alerts = SE.enrich_and_alert(recs, alert_time=F.col("timestamp"), probability=F.col("p"),
+                                       dedupe_watermark="365 days")
+    q = SL.land_stream(alerts.select("alert_id", "asteroid_id"), f"{tmp_dir}/dedup", f"{tmp_dir}/ck6",
+                       "availableNow", partition_by=None)
+    q.awaitTermination()
+    got = spark.read.parquet(f"{tmp_dir}/dedup")
+    # one alert per body inside the watermark, every body present
+    assert got.count() == got.select("asteroid_id").distinct().count() == ev.select("user_id").distinct().count()
+
+
+def test_run_batch_on_missing_input_returns_none(spark, tmp_dir):
+    from neo.plans import pipelines as P
+    assert P.run_batch(spark, f"{tmp_dir}/none/asteroids", f"{tmp_dir}/none/planets", f"{tmp_dir}/p",
+                       f"{tmp_dir}/m") is None
+
+
+def test_run_batch_end_to_end(spark, tmp_dir):
+    from neo.plans import pipelines as P
+    ev = DM.table(spark, SF_SMALL, "events")
+    TB.write_table(DM.wire_asteroids(ev).drop("event_id"), f"{tmp_dir}/a")
+    s = P.run_batch(spark, f"{tmp_dir}/a", f"{tmp_dir}/no_planets", f"{tmp_dir}/p", f"{tmp_dir}/m").first()
+    processed = spark.read.parquet(f"{tmp_dir}/p")
+    assert s["total_asteroids"] == processed.count() > 0
+    assert "earth_distance_365d" in processed.columns
+    assert spark.read.parquet(f"{tmp_dir}/m").schema["scaled_features"].dataType.typeName() == "array"
