@@ -181,6 +181,14 @@ def s8(spark, sf):
     return TB.read_latest_file(spark, path).select("event_id", "id")
 
 
+@query("s8_read_latest_partition")
+def s8_partition(spark, sf):
+    path = scratch_path(spark, "s8p")
+    TB.write_table(ast(spark, sf).select("event_id", "id", F.to_date("timestamp").alias("ingest_date")), path,
+                   partition_by="ingest_date")
+    return TB.read_latest_partition(spark, path, "ingest_date").select("event_id", "id")
+
+
 @query("s9_encode_messages")
 def s9(spark, sf):
     wire = DM.wire_asteroids(events(spark, sf))
@@ -731,7 +739,9 @@ def q4(spark, sf):
 @query("q5_read_model")
 def q5(spark, sf):
     now = events(spark, sf).agg(F.max("ts")).scalar()
-    m = P.read_model(risk_fixed(spark, sf), days=7, levels=["HIGH", "MEDIUM", "LOW"], now=now)
+    # one table is returned, so nothing is worth persisting (and no cache outlives the call)
+    m = P.read_model(risk_fixed(spark, sf), days=7, levels=["HIGH", "MEDIUM", "LOW"], now=now, persist=False,
+                    tables=("top",))
     return m["top"]
 
 

@@ -244,6 +244,9 @@ sql("s7_write_json", "SELECT event_id, id, size, risk_level FROM asteroids", "as
 sql("s8_read_latest_file", """
 SELECT event_id, id FROM asteroids
 WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM asteroids)""", "asteroids")
+sql("s8_read_latest_partition", """
+SELECT event_id, id FROM asteroids
+WHERE CAST(timestamp AS DATE) = (SELECT max(CAST(timestamp AS DATE)) FROM asteroids)""", "asteroids")
 sql("s9_encode_messages", f"""
 SELECT id AS key, id AS json_id, {iso('timestamp')} AS json_timestamp, size AS json_size, pos_x AS json_pos_x,
        CASE WHEN potentially_hazardous THEN 'true' ELSE 'false' END AS json_hazardous

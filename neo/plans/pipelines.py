@@ -78,9 +78,13 @@ class ReadModel(dict):
         self.source.unpersist()
 
 
+READ_MODEL_TABLES = ("panel", "histogram", "box", "top", "paths")
+
+
 def read_model(df: DataFrame, days: int | None = None, levels=None, now=None, planets: DataFrame | None = None,
-               k: int = K.TOP_K_TABLE, persist: bool = True) -> ReadModel:
-    """Q5: F34 -> F35 -> {panel (A6), histogram (A7), box (A8), top (W4), paths (J2)}.
+               k: int = K.TOP_K_TABLE, persist: bool = True, tables=READ_MODEL_TABLES) -> ReadModel:
+    """Q5: F34 -> F35 -> {panel (A6), histogram (A7), box (A8), top (W4), paths (J2)};
+    ``tables`` picks which ones to build (the box statistics are computed eagerly).
 
     The filtered rows feed five tables, so they are persisted once (memory and
     disk: a lost executor recomputes only its own blocks) instead of being
@@ -93,10 +97,10 @@ def read_model(df: DataFrame, days: int | None = None, levels=None, now=None, pl
     if persist:
         cur = cur.persist(StorageLevel.MEMORY_AND_DISK)
     ties = [c for c in ("id", "event_id") if c in cur.columns]
-    out = {"panel": A.panel_stats(cur), "histogram": A.probability_histogram(cur),
-           "box": A.size_box_stats(cur), "top": W.top_risk(cur, k, tie_breakers=ties)}
-    if planets is not None:
-        out["paths"] = J.collision_paths(cur, planets)
+    build = {"panel": lambda: A.panel_stats(cur), "histogram": lambda: A.probability_histogram(cur),
+             "box": lambda: A.size_box_stats(cur), "top": lambda: W.top_risk(cur, k, tie_breakers=ties),
+             "paths": lambda: J.collision_paths(cur, planets)}
+    out = {name: build[name]() for name in tables if name != "paths" or planets is not None}
     return ReadModel(cur, out)
 
 

@@ -97,3 +97,21 @@ def read_latest_file(spark: SparkSession, path: str, schema: T.StructType | None
     latest = files[-1]
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.option("basePath", path).parquet(latest)
+
+
+def read_latest_partition(spark: SparkSession, path: str, column: str = "ingest_date",
+                          schema: T.StructType | None = None) -> DataFrame:
+    """S8, partitioned variant: only the newest ``column=value`` partition.
+
+    The newest value comes from the file listing (no data read); the returned
+    frame filters on the partition column, so the scan is pruned to that one
+    partition."""
+    import re
+
+    probe = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
+    values = sorted({m.group(1) for f in probe.inputFiles() for m in [re.search(rf"/{column}=([^/]+)/", f)] if m})
+    if not values:
+        return spark.createDataFrame([], probe.schema)
+    newest = values[-1]
+    field = probe.schema[column].dataType
+    return probe.where(F.col(column) == F.lit(newest).cast(field))

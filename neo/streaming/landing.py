@@ -54,6 +54,16 @@ class Topic:
     trigger: str = "5 minutes"
 
 
+def default_topics() -> dict:
+    """The three topics with their schemas; alerts land on a shorter trigger
+    (the reference flushes alerts every 10 rows, other topics every 100)."""
+    from neo import schemas as S
+
+    return {"asteroid-data": Topic("asteroid-data", S.ASTEROID_LANDING, "1 minute"),
+            "planet-data": Topic("planet-data", S.PLANET, "5 minutes"),
+            "collision-alerts": Topic("collision-alerts", S.ALERT, "10 seconds")}
+
+
 def land_topic(messages: DataFrame, topic: Topic, base_path: str, checkpoint_base: str,
                trigger: str | None = None, now=None) -> tuple[StreamingQuery, StreamingQuery]:
     """ST1 for one topic: parse -> quarantine -> stamp -> land; returns the
@@ -68,10 +78,13 @@ def land_topic(messages: DataFrame, topic: Topic, base_path: str, checkpoint_bas
     return q1, q2
 
 
-def continuous_landing(streams: dict, topics: dict, base_path: str, checkpoint_base: str,
+def continuous_landing(streams: dict, topics: dict | None, base_path: str, checkpoint_base: str,
                        trigger: str | None = None, now=None) -> list[StreamingQuery]:
     """ST1: one landing (plus quarantine) query per topic.  ``streams`` maps a
-    topic name to its message frame (``key``, ``value``, ``offset``)."""
+    topic name to its message frame (``key``, ``value``, ``offset``), e.g. from
+    :func:`neo.sources.messages.read_topic`; ``topics`` defaults to
+    :func:`default_topics`."""
+    topics = topics or default_topics()
     queries = []
     for name, msgs in streams.items():
         queries += land_topic(msgs, topics[name], base_path, checkpoint_base, trigger, now)

@@ -178,3 +178,18 @@ def test_run_batch_end_to_end(spark, tmp_dir):
     assert s["total_asteroids"] == processed.count() > 0
     assert "earth_distance_365d" in processed.columns
     assert spark.read.parquet(f"{tmp_dir}/m").schema["scaled_features"].dataType.typeName() == "array"
+
+
+def test_read_latest_partition_prunes(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-02")], "v int, d string") \
+        .selectExpr("v", "cast(d as date) as ingest_date")
+    TB.write_table(df, f"{tmp_dir}/p", partition_by="ingest_date")
+    got = TB.read_latest_partition(spark, f"{tmp_dir}/p")
+    assert sorted(r["v"] for r in got.collect()) == [2, 3]
+    assert "PartitionFilters: [isnotnull(ingest_date" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_default_topics():
+    topics = SL.default_topics()
+    assert set(topics) == {"asteroid-data", "planet-data", "collision-alerts"}
+    assert topics["collision-alerts"].schema["asteroid_data"].dataType["position"] is not None
