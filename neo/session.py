@@ -22,6 +22,33 @@ DEFAULT_CONF = {
 }
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict:
+    """Settings for a large cluster reading ~100 TB (pass to your session builder).
+
+    * shuffle partitions start high (about 3 x total cores) and AQE coalesces them
+      to ~256 MB each, so the same job serves small and huge inputs;
+    * AQE splits skewed shuffle partitions (a key may hold a third of the rows);
+    * 256 MB input splits keep task count and per-task memory reasonable;
+    * RocksDB keeps the streaming state (one row per asteroid id) off the JVM heap.
+    The checkpoint folder is not set here: the cluster names it in
+    ``spark.checkpoint.dir`` and the library reads it from the session.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+        "spark.sql.shuffle.partitions": str(3 * cores),
+        "spark.sql.files.maxPartitionBytes": "256MB",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+
+
 def build_session(master: str = "local[*]", app: str = "neo", shuffle_partitions: int = 8,
                   extra: dict | None = None) -> SparkSession:
     """Local session with the defaults above (used by tests, bench and scripts)."""

@@ -43,3 +43,11 @@ def test_summary_is_one_aggregate(spark):
     from neo.plans import catalog as C
     plan = _plan(A.summary(C.risk_fixed(spark, SF_SMALL)))
     assert plan.count("HashAggregate") + plan.count("ObjectHashAggregate") + plan.count("SortAggregate") <= 2
+
+
+def test_cluster_conf_scales_partitions():
+    from neo.session import cluster_conf
+    conf = cluster_conf(1000, 8)
+    assert conf["spark.sql.shuffle.partitions"] == "24000"
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert "spark.checkpoint.dir" not in conf
