@@ -49,16 +49,30 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, conform_typ
         raise
 
 
-def balance_input(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
+def _bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+             "t": 1 << 40, "tb": 1 << 40}
+    t = str(text).strip().lower()
+    num = "".join(ch for ch in t if ch.isdigit() or ch == ".")
+    unit = t[len(num):].strip() or "b"
+    return int(float(num) * units[unit])
+
+
+def balance_input(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
+    """Spread a small scan that yields fewer splits than the cluster has cores.
 
     A small input stored as one file with one row group is read by one task, so
     every projection over it runs on one core.  Such a scan is round-robin
-    repartitioned to the default parallelism (a shuffle of a small input).  A
-    large input already has many splits and is returned unchanged: no shuffle.
+    repartitioned to the default parallelism.  It is done only when the input is
+    provably small: splits are at most ``spark.sql.files.maxPartitionBytes``
+    each, so ``splits x that`` bounds the data moved (``max_bytes``, 1 GiB).  A
+    large input (many splits) is returned unchanged: no shuffle at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    split_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
+    n = df.rdd.getNumPartitions()      # planning only: the file splits, no data is read
+    if n < target and n * split_bytes <= max_bytes:
         return df.repartition(target)
     return df
 
