@@ -33,15 +33,15 @@ def epoch_seconds(ts: Column) -> Column:
 def iso_string(ts: Column) -> Column:
     """ISO-8601 text with six fraction digits, the publisher's format.
 
-    Built from the wall-clock fields, so a ``timestamp_ntz`` is printed as is
-    in every session time zone (``date_format`` would pass it through the
-    session zone and move times that fall in a daylight-saving gap)."""
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    # seconds with fraction as DECIMAL(8,6), e.g. 7.179575 -> "07.179575"
-    seconds = F.lpad(F.date_part(F.lit("SECOND"), ts).cast("string"), 9, "0")
-    return F.when(ts.isNotNull(), F.concat(
-        F.to_date(ts).cast("string"), F.lit("T"), two(F.hour(ts)), F.lit(":"), two(F.minute(ts)), F.lit(":"),
-        seconds))
+    A ``timestamp_ntz`` cast to text keeps its wall-clock fields whatever the
+    session time zone (``date_format`` would pass it through the session zone
+    and move times that fall in a daylight-saving gap); the text is then put in
+    the fixed six-digit form: "yyyy-MM-dd HH:mm:ss[.f]" -> "yyyy-MM-ddTHH:mm:ss.ffffff".
+    """
+    text = ts.cast("string")
+    fraction = F.substring(text, 21, 6)
+    return F.when(ts.isNotNull(), F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8),
+                                           F.lit("."), F.rpad(fraction, 6, "0")))
 
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
