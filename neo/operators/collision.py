@@ -70,16 +70,21 @@ def potentially_hazardous_col(x, y, z, size, earth=FIXED_EARTH) -> Column:
 
 
 def heuristic_probability_col(distance: Column, size: Column, speed: Column,
-                              factor: Column | None = None, soi_au: float = K.SOI_GENERATOR_AU) -> Column:
+                              factor: Column | None = None, soi_au: float = K.SOI_GENERATOR_AU,
+                              floor: Column | None = None) -> Column:
     """max(0, 1-d/SOI) * min(size/5, 2) * min(v/50000, 1.5) * 0.01 * factor, capped at 1.
 
-    The random factor of the publisher is an input column (default 1)."""
+    The publisher's random draws are input columns: ``factor`` (default 1) and
+    ``floor``, the forced minimum some records get (default none)."""
     factor = F.lit(1.0) if factor is None else factor
     soi = F.lit(soi_au * K.AU_KM)
     base = (F.greatest(F.lit(0.0), F.lit(1.0) - distance / soi)
             * F.least(size / F.lit(5.0), F.lit(2.0))
             * F.least(speed / F.lit(50000.0), F.lit(1.5)))
-    return F.least(base * factor * F.lit(0.01), F.lit(1.0))
+    prob = base * factor * F.lit(0.01)
+    if floor is not None:
+        prob = F.greatest(prob, F.coalesce(floor, F.lit(0.0)))
+    return F.least(prob, F.lit(1.0))
 
 
 def model_fallback_probability_col(size: Column, speed: Column, factor: Column | None = None) -> Column:
@@ -141,12 +146,13 @@ def with_body_mass(df: DataFrame, size: str = "size", density: str = "density")
 
 
 def heuristic_probability(df: DataFrame, earth=FIXED_EARTH, factor_col: str | None = None,
-                          out: str = "collision_probability") -> DataFrame:
+                          out: str = "collision_probability", floor_col: str | None = None) -> DataFrame:
     """F27 on nested ``position``/``velocity``."""
     d = distance3(F.col("position.x"), F.col("position.y"), F.col("position.z"), *earth)
     speed = norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz"))
     factor = F.col(factor_col) if factor_col else None
-    return df.withColumn(out, heuristic_probability_col(d, F.col("size"), speed, factor))
+    floor = F.col(floor_col) if floor_col else None
+    return df.withColumn(out, heuristic_probability_col(d, F.col("size"), speed, factor, floor=floor))
 
 
 def model_fallback_probability(df: DataFrame, factor_col: str | None = None,

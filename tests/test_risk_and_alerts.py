@@ -98,3 +98,13 @@ def test_risk_consistency_minimal_never_matches(spark):
     df = spark.createDataFrame([(1e-6, "MINIMAL"), (2e-3, "HIGH")], "ml_probability double, ml_risk_level string")
     got = [(r["expected_risk_level"], r["risk_level_match"]) for r in AL.risk_consistency(df).collect()]
     assert got == [("SAFE", False), ("HIGH", True)]
+
+
+def test_heuristic_probability_forced_floor(spark):
+    df = asteroid_df(spark, [{"id": "f", "position": {"x": 3 * AU, "y": 0.0, "z": 0.0},
+                              "velocity": {"vx": 1.0, "vy": 0.0, "vz": 0.0}, "size": 1.0},
+                             {"id": "n", "position": {"x": 3 * AU, "y": 0.0, "z": 0.0},
+                              "velocity": {"vx": 1.0, "vy": 0.0, "vz": 0.0}, "size": 1.0}])
+    df = df.withColumn("floor", F.when(F.col("id") == "f", F.lit(0.004)))
+    got = {r["id"]: r["collision_probability"] for r in C.heuristic_probability(df, floor_col="floor").collect()}
+    assert got == {"f": 0.004, "n": 0.0}
