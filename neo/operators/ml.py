@@ -115,36 +115,63 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
                      fractions=K.SPLIT_FRACTIONS, seed: str = K.SPLIT_SEED) -> DataFrame:
     """M4: exact, repeatable stratified split.
 
-    Within each label, rows are ranked by the md5 key; rank < floor(f1 n) is
-    ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The cut
-    values are exact order statistics (histogram narrowing), so no label's rows
-    are ever sorted in one task."""
+    Within each label, rows are ranked by (md5 key, ``key``); rank < floor(f1 n)
+    is ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The
+    cut values are exact order statistics (histogram narrowing, seeded by
+    approximate brackets), so no label's rows are ever sorted in one task.  Rows
+    whose md5 key equals a cut value (52-bit prefixes do collide at 10^12 rows)
+    are split at the cut by a second order statistic on ``key``."""
     keyed = df.withColumn("__k", split_key(key, seed)).persist(StorageLevel.MEMORY_AND_DISK)
-    f1, f2 = fractions[0], fractions[0] + fractions[1]
-    m = 3.0 / Q.APPROX_ACCURACY
-    probs = sorted({round(min(1.0, max(0.0, f + d)), 6) for f in (f1, f2) for d in (-m, m)})
-    stats = Q.group_stats(keyed, "__k", [label], probs=probs)
-    ranks, cuts, brackets = {}, {}, {}
-    for grp, (n, _lo, _hi, approx) in stats.items():
-        c1, c2 = math.floor(f1 * n), math.floor(f2 * n)
-        cuts[grp] = (c1, c2)
-        ranks[grp] = [c - 1 for c in (c1, c2) if c >= 1]
-        for f, c in ((f1, c1), (f2, c2)):
-            lo_p, hi_p = (round(min(1.0, max(0.0, f + d)), 6) for d in (-m, m))
-            brackets[(grp, c - 1)] = (approx[lo_p], approx[hi_p])
-    got = Q.order_statistics(keyed, "__k", ranks, [label], stats=stats, brackets=brackets)
-    keyed.unpersist()
-    split = None
-    for grp, (c1, c2) in cuts.items():
-        t1 = got.get((grp, c1 - 1), float("-inf"))
-        t2 = got.get((grp, c2 - 1), float("-inf"))
-        is_g = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
-        part = F.when(F.col("__k") <= F.lit(t1), "train").when(F.col("__k") <= F.lit(t2), "validation") \
-            .otherwise("test")
-        split = F.when(is_g, part) if split is None else split.when(is_g, part)
-    if split is None:
-        return keyed.withColumn("split", F.lit(None).cast("string")).drop("__k")
-    return keyed.withColumn("split", split).drop("__k")
+    try:
+        f1, f2 = fractions[0], fractions[0] + fractions[1]
+        m = 3.0 / Q.APPROX_ACCURACY
+        probs = sorted({round(min(1.0, max(0.0, f + d)), 6) for f in (f1, f2) for d in (-m, m)})
+        stats = Q.group_stats(keyed, "__k", [label], probs=probs)
+        ranks, cuts, brackets = {}, {}, {}
+        for grp, (n, _lo, _hi, approx) in stats.items():
+            c1, c2 = math.floor(f1 * n), math.floor(f2 * n)
+            cuts[grp] = (c1, c2)
+            ranks[grp] = [c - 1 for c in (c1, c2) if c >= 1]
+            for f, c in ((f1, c1), (f2, c2)):
+                lo_p, hi_p = (round(min(1.0, max(0.0, f + d)), 6) for d in (-m, m))
+                brackets[(grp, c - 1)] = (approx[lo_p], approx[hi_p])
+        got = Q.order_statistics(keyed, "__k", ranks, [label], stats=stats, brackets=brackets)
+        # tie check at every cut value: rows below and equal, in one aggregate
+        cut_vals = {(grp, c): got[(grp, c - 1)] for grp, cs in cuts.items() for c in cs if c >= 1}
+        counts = {}
+        if cut_vals:
+            aggs = []
+            for i, ((grp, _c), t) in enumerate(cut_vals.items()):
+                in_grp = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
+                aggs += [F.count_if(in_grp & (F.col("__k") < F.lit(t))).alias(f"lt{i}"),
+                         F.count_if(in_grp & (F.col("__k") == F.lit(t))).alias(f"eq{i}")]
+            row = keyed.agg(*aggs).first()
+            counts = {gc: (row[f"lt{i}"], row[f"eq{i}"]) for i, gc in enumerate(cut_vals)}
+
+        def boundary(grp, c):
+            """Predicate 'rank < c' within the group."""
+            if c < 1:
+                return F.lit(False)
+            t = cut_vals[(grp, c)]
+            lt, eq = counts[(grp, c)]
+            if eq <= 1 or lt + eq == c:
+                return F.col("__k") <= F.lit(t)
+            # the cut falls inside a run of equal md5 keys: order that run by the key column
+            in_grp = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
+            tied = keyed.where(in_grp & (F.col("__k") == F.lit(t)))
+            e = Q.order_statistics(tied, key, {(): [c - lt - 1]})[((), c - lt - 1)]
+            return (F.col("__k") < F.lit(t)) | ((F.col("__k") == F.lit(t)) & (F.col(key).cast("double") <= F.lit(e)))
+
+        split = None
+        for grp, (c1, c2) in cuts.items():
+            is_g = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
+            part = F.when(boundary(grp, c1), "train").when(boundary(grp, c2), "validation").otherwise("test")
+            split = F.when(is_g, part) if split is None else split.when(is_g, part)
+        if split is None:
+            return df.withColumn("split", F.lit(None).cast("string"))
+        return keyed.withColumn("split", split).drop("__k")
+    finally:
+        keyed.unpersist()
 
 
 def fit_scaler(train: DataFrame, cols=S.TRAINING_FEATURES, out: str = "scaled"):

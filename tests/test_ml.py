@@ -77,3 +77,17 @@ def test_per_class_metrics(spark):
     t = {r["class"]: r for r in M.per_class_metrics(df).collect()}
     assert t[1]["precision"] == pytest.approx(0.5) and t[1]["recall"] == pytest.approx(0.5)
     assert t[0]["support"] == 3 and t[0]["precision"] == pytest.approx(2 / 3)
+
+
+def test_split_resolves_ties_on_the_md5_key(spark, monkeypatch):
+    # force collisions: every row of a label gets one of three key values
+    def coarse_key(key_col, seed="42"):
+        return (F.col(key_col) % 3).cast("double")
+    monkeypatch.setattr(M, "split_key", coarse_key)
+    df = spark.createDataFrame([(i, i % 2) for i in range(101)], "event_id long, label int")
+    out = M.stratified_split(df).collect()
+    for label in (0, 1):
+        rows = sorted((r["event_id"] % 3, r["event_id"], r["split"]) for r in out if r["label"] == label)
+        n = len(rows)
+        want = ["train" if i < int(0.6 * n) else "validation" if i < int(0.8 * n) else "test" for i in range(n)]
+        assert [r[2] for r in rows] == want
