@@ -99,7 +99,8 @@ def time_features(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
 
 
 def orbital_features(df: DataFrame, ts_col: str = "timestamp", earth=(K.AU_KM, 0.0, 0.0)) -> DataFrame:
-    """F3-F11 in two projections (the second one reads the first one's outputs).
+    """F3-F11 in three staged projections (each stage reads the previous one's
+    columns, so no expression is repeated inside another).
 
     Input needs F2's flat columns.  Output columns, in order: distance_from_sun,
     velocity_magnitude, distance_from_earth, orbital_energy, angular_momentum_x/y/z,

@@ -50,7 +50,7 @@ def propagate_horizons(df: DataFrame, horizons=K.HORIZONS_DAYS, earth=(K.AU_KM,
     pos_x/y/z_nd, earth_distance_nd`` (44 columns for four horizons).  The
     acceleration does not depend on the horizon, so it is computed once and the
     per-horizon acceleration columns are aliases of it.  Needs F2 and F3; r = 0
-    gives nulls (``try_divide``).  Two projections in all."""
+    gives nulls (``try_divide``).  Three narrow projections in all (no shuffle)."""
     r = F.col("distance_from_sun")
     acc_mag = F.try_divide(F.lit(K.GM_SUN), r * r)
     stage = df.withColumn("__acc", acc_mag)

@@ -5,7 +5,8 @@ The test tables carry no asteroid data, so observations are derived from
 every event becomes one observation of asteroid ``asteroid_<user_id>``.  Planet
 rows are the six-planet dimension at the start of every distinct event day,
 training rows and prediction results are further columns of the same events.
-All of it is a single projection over a scan, so it partitions like the scan.
+All of it is a few staged projections over a scan (no shuffle), so it partitions
+like the scan; tiny single-split scans are spread over the cores first.
 """
 
 from __future__ import annotations
