@@ -128,7 +128,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
         probs = sorted({round(min(1.0, max(0.0, f + d)), 6) for f in (f1, f2) for d in (-m, m)})
         stats = Q.group_stats(keyed, "__k", [label], probs=probs)
         ranks, cuts, brackets = {}, {}, {}
-        for grp, (n, _lo, _hi, approx) in stats.items():
+        for grp, (n, _lo, _hi, approx, *_inf) in stats.items():
             c1, c2 = math.floor(f1 * n), math.floor(f2 * n)
             cuts[grp] = (c1, c2)
             ranks[grp] = [c - 1 for c in (c1, c2) if c >= 1]

@@ -38,11 +38,14 @@ def _group_cond(by, key) -> object:
 
 
 def group_stats(df: DataFrame, value: str, by=(), probs=(), accuracy: int = APPROX_ACCURACY) -> dict:
-    """count / min / max of non-null, non-NaN ``value`` per group (bounded number of
-    groups); with ``probs``, also approximate percentiles (``percentile_approx``,
-    bounded sketches) used as first brackets for the exact search."""
+    """Per group (a bounded number of groups): count of non-null, non-NaN values,
+    min / max of the finite ones, counts of -inf and +inf; with ``probs``, also
+    approximate percentiles (``percentile_approx``, bounded sketches) used as
+    first brackets for the exact search.  ``{key: (n, lo, hi, approx, neg, pos)}``."""
     v = F.col(value)
-    aggs = [F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi")]
+    finite = F.when(~v.isin(float("inf"), float("-inf")), v)
+    aggs = [F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
+            F.count_if(v == F.lit(float("-inf"))).alias("neg"), F.count_if(v == F.lit(float("inf"))).alias("pos")]
     if probs:
         aggs.append(F.percentile_approx(v, [float(p) for p in probs], accuracy).alias("approx"))
     rows = (df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(*aggs)
@@ -55,7 +58,9 @@ def group_stats(df: DataFrame, value: str, by=(), probs=(), accuracy: int = APPR
             continue
         key = tuple(r[c] for c in by)
         approx = dict(zip(probs, [float(x) for x in r["approx"]])) if probs else {}
-        out[key] = (r["n"], float(r["lo"]), float(r["hi"]), approx)
+        lo = float(r["lo"]) if r["lo"] is not None else None
+        hi = float(r["hi"]) if r["hi"] is not None else None
+        out[key] = (r["n"], lo, hi, approx, r["neg"], r["pos"])
     return out
 
 
@@ -83,17 +88,21 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict
         for key, ks in ranks.items():
             if key not in stats:
                 continue
-            n, lo, hi = stats[key][:3]
+            n, lo, hi, _approx, neg, pos = stats[key]
             for k in sorted(set(int(x) for x in ks)):
                 if not 0 <= k < n:
                     raise ValueError(f"rank {k} outside 0..{n - 1} for group {key}")
-                if lo == hi:
+                if k < neg:                      # ranks on infinities need no search
+                    result[(key, k)] = float("-inf")
+                elif k >= n - pos:
+                    result[(key, k)] = float("inf")
+                elif lo == hi:
                     result[(key, k)] = lo
                 elif (key, k) in brackets:
                     blo, bhi = brackets[(key, k)]
                     targets.append([key, k, max(lo, blo), min(hi, bhi), None])
                 else:
-                    targets.append([key, k, lo, hi, 0])
+                    targets.append([key, k, lo, hi, neg])
         rounds = 0
         while targets:
             rounds += 1
@@ -126,8 +135,8 @@ def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict
                     below = sum(c for b, c, _l, _h in cells if b < 0)
                     cells = [x for x in cells if x[0] >= 0]
                     if not below <= k < below + sum(c for _b, c, _l, _h in cells):
-                        n, glo, ghi = stats[key][:3]
-                        still.append([key, k, glo, ghi, 0])   # bracket missed: full range
+                        _n, glo, ghi, _a, gneg, _p = stats[key]
+                        still.append([key, k, glo, ghi, gneg])   # bracket missed: full finite range
                         continue
                 want = k - below
                 seen = 0
@@ -162,7 +171,7 @@ def quantiles(df: DataFrame, value: str, probs, by=(), persist: bool = True) ->
         ask = sorted({min(1.0, max(0.0, round(float(p) + d, 6))) for p in probs for d in (-margin, margin)})
         stats = group_stats(base, "__q", by, probs=ask)
         ranks, plan, brackets = {}, {}, {}
-        for key, (n, _lo, _hi, approx) in stats.items():
+        for key, (n, _lo, _hi, approx, _neg, _pos) in stats.items():
             ks, pos = set(), []
             for p in probs:
                 h = (n - 1) * float(p)

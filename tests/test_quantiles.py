@@ -123,3 +123,12 @@ def test_wrong_bracket_falls_back_to_full_range(spark):
     df = _df(spark, vals)
     got = Q.order_statistics(df, "v", {(): [10, 990]}, brackets={((), 10): (500.0, 600.0), ((), 990): (0.0, 5.0)})
     assert got[((), 10)] == 10.0 and got[((), 990)] == 990.0
+
+
+def test_infinities_are_ordered_not_searched(spark):
+    vals = [float("-inf")] * 3 + [float(i) for i in range(10)] + [float("inf")] * 2
+    got = Q.order_statistics(_df(spark, vals), "v", {(): [0, 2, 3, 7, 12, 13, 14]})
+    srt = sorted(vals)
+    assert [got[((), k)] for k in (0, 2, 3, 7, 12, 13, 14)] == [srt[k] for k in (0, 2, 3, 7, 12, 13, 14)]
+    q = Q.quantiles(_df(spark, vals), "v", [0.5])[()]
+    assert q == [float(np.quantile(np.array(vals), 0.5))]
