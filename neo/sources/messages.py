@@ -28,9 +28,11 @@ def read_topic(spark: SparkSession, topic: str, schema: T.StructType, servers: s
 
 
 def parse_messages(df: DataFrame, schema: T.StructType, value_col: str = "value",
-                   keep=("key", "offset")) -> DataFrame:
+                   keep=("key", "partition", "offset")) -> DataFrame:
     """Decode JSON ``value`` with ``schema`` (PERMISSIVE): the record's fields
-    plus ``_corrupt_record`` holding the raw text of undecodable messages."""
+    plus ``_corrupt_record`` holding the raw text of undecodable messages.  The
+    message coordinates in ``keep`` that the source has (a topic's ``partition``
+    and ``offset`` identify a message together) are carried along."""
     full = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(F.col(value_col).cast("string"), full,
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -44,7 +46,7 @@ def quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     aside and the stream goes on."""
     bad = F.col(CORRUPT).isNotNull()
     good = parsed.where(~bad).drop(CORRUPT)
-    keep = [c for c in ("key", "offset") if c in parsed.columns]
+    keep = [c for c in ("key", "partition", "offset") if c in parsed.columns]
     return good, parsed.where(bad).select(*keep, F.col(CORRUPT).alias("raw"))
 
 

@@ -71,7 +71,7 @@ def land_topic(messages: DataFrame, topic: Topic, base_path: str, checkpoint_bas
     good, bad = quarantine(parse_messages(messages, topic.schema))
     good = with_ingest_date(stamp_processed(good, now))
     trig = trigger or topic.trigger
-    q1 = land_stream(good.drop("key", "offset"), f"{base_path}/{topic.name}/raw",
+    q1 = land_stream(good.drop("key", "partition", "offset"), f"{base_path}/{topic.name}/raw",
                      f"{checkpoint_base}/{topic.name}-raw", trig)
     q2 = land_stream(bad, f"{base_path}/{topic.name}/quarantine", f"{checkpoint_base}/{topic.name}-bad",
                      trig, partition_by=None, fmt="json")

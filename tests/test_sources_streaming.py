@@ -193,3 +193,10 @@ def test_default_topics():
     topics = SL.default_topics()
     assert set(topics) == {"asteroid-data", "planet-data", "collision-alerts"}
     assert topics["collision-alerts"].schema["asteroid_data"].dataType["position"] is not None
+
+
+def test_parse_keeps_partition_and_offset(spark):
+    df = spark.createDataFrame([(b"k", b'{"id": "a", "size": 1.0}', 3, 17)],
+                               "key binary, value binary, partition int, offset long")
+    r = MS.parse_messages(df, S.ASTEROID_LANDING).first()
+    assert (r["key"], r["partition"], r["offset"], r["id"], r["size"]) == ("k", 3, 17, "a", 1.0)
