@@ -159,20 +159,6 @@ def planets(events: DataFrame) -> DataFrame:
     )
 
 
-def model_inputs(events: DataFrame) -> DataFrame:
-    """The five model inputs that are not observed (drawn at random by the
-    publisher) as deterministic columns per event."""
-    k = F.col("event_id")
-    return events.select(
-        "event_id",
-        (F.lit(0.05) + F.lit(0.25) * unit(k, *ECC_HASH)).alias("orbital_eccentricity"),
-        (F.lit(10.0) + F.lit(20.0) * signed_unit(k, *INCL_HASH)).alias("inclination_deg"),
-        (F.lit(0.05) + F.lit(0.45) * unit(k, *ALBEDO_HASH)).alias("albedo"),
-        (F.lit(1.0) + F.lit(23.0) * unit(k, *ROT_HASH)).alias("rotation_period_h"),
-        (F.lit(200.0) + F.lit(60.0) * signed_unit(k, *TEMP_HASH)).alias("surface_temp_k"),
-    )
-
-
 def training_rows(events: DataFrame) -> DataFrame:
     """Training table (ten double features + ``noise``) keyed by ``event_id``."""
     from neo.operators.collision import body_mass_col

@@ -90,3 +90,13 @@ def test_planet_positions_circular(spark):
     ang = t / (365 * 86400) * 2 * math.pi
     assert math.isclose(e["position"]["x"], AU * math.cos(ang), rel_tol=1e-9)
     assert math.isclose(math.hypot(e["position"]["x"], e["position"]["y"]), AU, rel_tol=1e-12)
+
+
+def test_planet_positions_with_given_dimension(spark):
+    from neo.sources import domain as DM
+    times = spark.createDataFrame([("2024-01-01 00:00:00",)], "t string").selectExpr(
+        "cast(t as timestamp_ntz) as timestamp")
+    dim = DM.planet_dimension(spark).where("planet IN ('Earth', 'Mars')")
+    got = {r["planet"]: r["position"]["x"] for r in MO.planet_positions(times, planets=dim).collect()}
+    default = {r["planet"]: r["position"]["x"] for r in MO.planet_positions(times).collect()}
+    assert set(got) == {"Earth", "Mars"} and got["Mars"] == default["Mars"]

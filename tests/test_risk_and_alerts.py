@@ -108,3 +108,9 @@ def test_heuristic_probability_forced_floor(spark):
     df = df.withColumn("floor", F.when(F.col("id") == "f", F.lit(0.004)))
     got = {r["id"]: r["collision_probability"] for r in C.heuristic_probability(df, floor_col="floor").collect()}
     assert got == {"f": 0.004, "n": 0.0}
+
+
+def test_level_and_color_operators(spark):
+    df = spark.createDataFrame([(2e-3,), (5e-4,), (None,)], "p double")
+    out = C.with_risk_color(C.with_risk_level(df, "p", "generator")).collect()
+    assert [(r["risk_level"], r["color"]) for r in out] == [("HIGH", "red"), ("MEDIUM", "orange"), ("SAFE", "green")]

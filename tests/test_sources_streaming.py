@@ -200,3 +200,14 @@ def test_parse_keeps_partition_and_offset(spark):
                                "key binary, value binary, partition int, offset long")
     r = MS.parse_messages(df, S.ASTEROID_LANDING).first()
     assert (r["key"], r["partition"], r["offset"], r["id"], r["size"]) == ("k", 3, 17, "a", 1.0)
+
+
+def test_live_recent_keeps_last_n(spark, tmp_dir):
+    ev, _ = _json_source(spark, tmp_dir)
+    src = spark.readStream.schema("offset long, key string, value string").option("maxFilesPerTrigger", 2) \
+        .json(f"{tmp_dir}/incoming")
+    q = SV.live_recent(src.select("offset", "key"), 50, ["offset"], f"{tmp_dir}/recent", f"{tmp_dir}/ck7",
+                       trigger="availableNow")
+    q.awaitTermination()
+    got = sorted(r[0] for r in SV.read_recent(spark, f"{tmp_dir}/recent").select("offset").collect())
+    assert got == sorted(r[0] for r in ev.orderBy(F.col("event_id").desc()).limit(50).select("event_id").collect())
