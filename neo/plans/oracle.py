@@ -25,6 +25,23 @@ Z = D(0.0)
 ORACLE: dict[str, str] = {}
 
 
+def _bigint_counts(text: str) -> str:
+    """``count_if(x)`` -> ``count(*) FILTER (WHERE x)``: DuckDB types the former
+    HUGEINT, Spark's ``count_if`` is BIGINT."""
+    out, i = [], 0
+    while True:
+        j = text.find("count_if(", i)
+        if j < 0:
+            out.append(text[i:])
+            return "".join(out)
+        k, depth = j + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[k], 0)
+            k += 1
+        out.append(text[i:j] + f"count(*) FILTER (WHERE {text[j + len('count_if('):k - 1]})")
+        i = k
+
+
 def sql(name: str, body: str, *views: str, ctes: str = "") -> None:
     """Register ``body`` with the named domain views (and extra CTEs) in front."""
     head = V.with_views("", *views).rstrip() if views else "WITH "
@@ -35,7 +52,7 @@ def sql(name: str, body: str, *views: str, ctes: str = "") -> None:
         head += extra
     elif not views:
         head = ""
-    ORACLE[name] = f"{head}\n{body}".strip()
+    ORACLE[name] = _bigint_counts(f"{head}\n{body}".strip())
 
 
 def r(expr: str, n: int) -> str:
@@ -237,7 +254,8 @@ FROM asteroids""", "asteroids")
 sql("s3_quarantine", """
 SELECT event_id, CASE WHEN coalesce(event_type = 'error', false) THEN 'bad' ELSE 'good' END AS status
 FROM events""")
-sql("s4_land_stream", "SELECT event_id, id, CAST(timestamp AS DATE) AS ingest_date FROM asteroids", "asteroids")
+sql("s4_land_stream", "SELECT event_id, id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS ingest_date FROM asteroids",
+    "asteroids")
 sql("s5_stamp_processed",
     f"SELECT event_id, {iso('(SELECT max(ts) FROM events)')} AS processed_timestamp FROM asteroids", "asteroids")
 sql("s6_write_table", "SELECT event_id, distance_from_sun, velocity_magnitude FROM feat", "asteroids", ctes=FEAT)
@@ -403,7 +421,8 @@ SELECT event_id, {r('prob', 12)} AS collision_probability, {ladder('prob', 'gene
   {V.color(ladder('prob', 'generator'))} AS color, {r('d', 3)} AS distance_from_earth FROM p""")
 sql("f38_risk_consistency", f"""
 SELECT event_id, {ladder('ml_probability', 'test')} AS expected_risk_level,
-  ml_risk_level = {ladder('ml_probability', 'test')} AS risk_level_match FROM results""", ctes=RESULTS)
+  CAST(ml_risk_level = {ladder('ml_probability', 'test')} AS VARCHAR) AS risk_level_match FROM results""",
+    ctes=RESULTS)
 sql("f39_display_fields", f"""
 SELECT event_id, printf('%.2f', size) AS size_text, printf('%.0f', coalesce(distance_from_earth, {Z})) AS distance_text,
   printf('%.8f', coalesce(enhanced_collision_probability, {Z})) AS probability_text FROM asteroids""", "asteroids")
@@ -591,7 +610,8 @@ sql("q7_prediction_report", SUCCESS, ctes=RESULTS)
 
 # --- 2.7 streaming ---------------------------------------------------------------------------
 sql("st1_continuous_landing", f"""
-SELECT id, {iso('timestamp')} AS timestamp, CAST(timestamp AS DATE) AS ingest_date FROM asteroids""", "asteroids")
+SELECT id, {iso('timestamp')} AS timestamp, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS ingest_date
+FROM asteroids""", "asteroids")
 _FB = V.fallback("size", norm3("vel_x", "vel_y", "vel_z"), FACTOR)
 sql("st2_enrich_alert", f"""
 SELECT 'alert_' || id || '_' || CAST(CAST(floor(epoch(timestamp)) AS BIGINT) AS VARCHAR) AS alert_id,
