@@ -211,3 +211,22 @@ def test_live_recent_keeps_last_n(spark, tmp_dir):
     q.awaitTermination()
     got = sorted(r[0] for r in SV.read_recent(spark, f"{tmp_dir}/recent").select("offset").collect())
     assert got == sorted(r[0] for r in ev.orderBy(F.col("event_id").desc()).limit(50).select("event_id").collect())
+
+
+def test_alert_topic_roundtrip_with_default_topics(spark, tmp_dir):
+    from neo.operators import alerts as AL
+    ev = DM.table(spark, SF_SMALL, "events")
+    recs = DM.wire_asteroids(ev).withColumn("collision_probability", F.lit(2e-3))
+    alerts = AL.make_alerts(recs, alert_time=F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+    MS.encode_messages(alerts.withColumn("offset", F.monotonically_increasing_id()), None,
+                       offset_col="offset").write.json(f"{tmp_dir}/alerts_in")
+    src = spark.readStream.schema("offset long, key string, value string").json(f"{tmp_dir}/alerts_in")
+    qs = SL.continuous_landing({"collision-alerts": src}, None, f"{tmp_dir}/land", f"{tmp_dir}/ck8",
+                               trigger="availableNow")
+    for q in qs:
+        q.awaitTermination()
+    landed = spark.read.parquet(f"{tmp_dir}/land/collision-alerts/raw")
+    assert landed.count() == alerts.count()
+    r = landed.where(F.col("asteroid_id") == "asteroid_8").first()
+    assert r["alert_level"] == "HIGH" and r["asteroid_data"]["id"] == "asteroid_8"
+    assert r["estimated_impact_time"].startswith("20") and r["processed_timestamp"] is not None
