@@ -37,6 +37,8 @@ from neo.streaming import landing as SL
 from neo.streaming import live as SV
 
 FIXED = C.FIXED_EARTH
+# atan2 may differ in its last bit between engines: angles are compared at nanoradian precision
+ANGLE_DIGITS = 9
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -278,7 +280,7 @@ def f13(spark, sf):
 
 @query("f14_approach_angle")
 def f14(spark, sf):
-    return _flat(spark, sf).select("event_id", rnd(C.approach_angle_col(FIXED), 12).alias("approach_angle"))
+    return _flat(spark, sf).select("event_id", rnd(C.approach_angle_col(FIXED), ANGLE_DIGITS).alias("approach_angle"))
 
 
 @query("f15_size_factor")
@@ -386,7 +388,7 @@ def f30(spark, sf):
 @query("f31_model_features")
 def f31(spark, sf):
     df = M.model_features(DM.with_model_inputs(ast(spark, sf)))
-    return df.select("event_id", *[rnd(c, 12).alias(c) if c == "approach_angle" else F.col(c)
+    return df.select("event_id", *[rnd(c, ANGLE_DIGITS).alias(c) if c == "approach_angle" else F.col(c)
                                    for c in S.TRAINING_FEATURES])
 
 
@@ -614,7 +616,7 @@ def _ml_cols(df: DataFrame, prefix: str = "") -> list:
     out = []
     for c in S.ML_FEATURES:
         col = F.col(f"{prefix}{c}")
-        out.append((rnd(col, 12) if c == "approach_angle" else col).alias(c))
+        out.append((rnd(col, ANGLE_DIGITS) if c == "approach_angle" else col).alias(c))
     return out
 
 
@@ -628,7 +630,7 @@ def m2(spark, sf):
     df = M.assemble(M.fill_features(risk_fixed(spark, sf)))
     names = [f"f_{c}" for c in S.ML_FEATURES]
     un = M.unpack(df, "features", names)
-    return un.select("event_id", *[rnd(n, 12).alias(n) if n == "f_approach_angle" else F.col(n) for n in names])
+    return un.select("event_id", *[rnd(n, ANGLE_DIGITS).alias(n) if n == "f_approach_angle" else F.col(n) for n in names])
 
 
 @query("m3_scale")
@@ -717,7 +719,7 @@ def q1_approx(spark, sf):
 def q2(spark, sf):
     df = P.trajectories(P.clean(ast(spark, sf), method="exact"), planets(spark, sf))
     return df.select("event_id", rnd("earth_distance", 3).alias("earth_distance"), "relative_velocity",
-                     rnd("approach_angle", 12).alias("approach_angle"), "size_factor", "distance_factor",
+                     rnd("approach_angle", ANGLE_DIGITS).alias("approach_angle"), "size_factor", "distance_factor",
                      "velocity_factor", "enhanced_collision_probability", "risk_level", *HORIZON_COLS)
 
 

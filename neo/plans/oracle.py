@@ -21,6 +21,7 @@ GM = D(K.GM_SUN)
 SOI = D(K.SOI_BATCH_AU * K.AU_KM)
 EOS = D(K.EARTH_ORBITAL_SPEED)
 Z = D(0.0)
+ANGLE_DIGITS = 9   # same rounding as the Spark side for atan2 results
 
 ORACLE: dict[str, str] = {}
 
@@ -297,7 +298,7 @@ sql("f13_relative_velocity",
     f"SELECT event_id, {dist3('vel_x', 'vel_y', 'vel_z', EOS, Z, Z)} AS relative_velocity FROM asteroids",
     "asteroids")
 sql("f14_approach_angle",
-    f"SELECT event_id, {r(f'abs(atan2(pos_y - {Z}, pos_x - {AU}))', 12)} AS approach_angle FROM asteroids",
+    f"SELECT event_id, {r(f'abs(atan2(pos_y - {Z}, pos_x - {AU}))', ANGLE_DIGITS)} AS approach_angle FROM asteroids",
     "asteroids")
 sql("f15_size_factor", f"SELECT event_id, least(size / {D(10.0)}, {D(1.0)}) AS size_factor FROM asteroids",
     "asteroids")
@@ -383,7 +384,7 @@ SELECT event_id, coalesce(size, {D(1.0)}) AS diameter_km, {norm3('vel_x', 'vel_y
   {dist3('pos_x', 'pos_y', 'pos_z', AU, Z, Z)} / {AU} AS distance_earth_au,
   coalesce(mass, {D(K.DEFAULT_ASTEROID_MASS_KG)}) AS mass_kg,
   {_MI['orbital_eccentricity']} AS orbital_eccentricity, {_MI['inclination_deg']} AS inclination_deg,
-  {r('atan2(vel_y, vel_x)', 12)} AS approach_angle, {_MI['albedo']} AS albedo,
+  {r('atan2(vel_y, vel_x)', ANGLE_DIGITS)} AS approach_angle, {_MI['albedo']} AS albedo,
   {_MI['rotation_period_h']} AS rotation_period_h, {_MI['surface_temp_k']} AS surface_temp_k
 FROM asteroids""", "asteroids")
 sql("f32_row_zscore", f"""
@@ -540,13 +541,13 @@ _INT = ("hour_of_day", "day_of_year")
 
 def _ml(c: str, prefix: str = "") -> str:
     e = f"coalesce({c}, {Z})" if c not in _INT else f"CAST(coalesce({c}, 0) AS INTEGER)"
-    return f"{r(e, 12) if c == 'approach_angle' else e} AS {prefix}{c}"
+    return f"{r(e, ANGLE_DIGITS) if c == 'approach_angle' else e} AS {prefix}{c}"
 
 
 sql("m1_fill_features", f"SELECT event_id, {', '.join(_ml(c) for c in S.ML_FEATURES)} FROM risk", "asteroids",
     ctes=RF)
 sql("m2_assemble", "SELECT event_id, " + ", ".join(
-    (f"{r(f'CAST(coalesce({c}, {Z}) AS DOUBLE)', 12)}" if c == "approach_angle"
+    (f"{r(f'CAST(coalesce({c}, {Z}) AS DOUBLE)', ANGLE_DIGITS)}" if c == "approach_angle"
      else f"CAST(coalesce({c}, 0) AS DOUBLE)") + f" AS f_{c}" for c in S.ML_FEATURES) + " FROM risk",
     "asteroids", ctes=RF)
 
@@ -594,7 +595,7 @@ angular_momentum_magnitude, timestamp_unix, hour_of_day, day_of_year FROM clean"
 _Q2 = FEAT + ",\n" + iqr_ctes("feat", "clean") + "," + LATEST_EARTH + "," + risk_ctes("clean", "tr", EX, EY, EZ) \
     + "," + horizons_ctes("tr", "hz")
 sql("q2_trajectories", f"""
-SELECT event_id, round(earth_distance, 3) AS earth_distance, relative_velocity, round(approach_angle, 12)
+SELECT event_id, round(earth_distance, 3) AS earth_distance, relative_velocity, round(approach_angle, {ANGLE_DIGITS})
   AS approach_angle, size_factor, distance_factor, velocity_factor, enhanced_collision_probability, risk_level,
   {HORIZON_COLS} FROM hz""", "asteroids", "planets", ctes=_Q2)
 sql("q3_ml_ready", _scaled("cr", "s_"), "asteroids",
