@@ -1,12 +1,17 @@
-"""Every catalog query against its SQL oracle on the smallest tables."""
+"""Every catalog query against its SQL oracle (smallest tables by default;
+set NEO_ORACLE_SF=/root/testdata/sf0.1 to run the same check at a larger scale)."""
+
+import os
 
 import duckdb
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_SMALL as _DEFAULT
 from tools.check_oracle import TABLES, compare
 
+SF_SMALL = os.environ.get("NEO_ORACLE_SF", _DEFAULT)
+
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()
 SLOW = {"m6_train_classifier", "m8_score_model", "m9_save_load", "q6_train"}
