@@ -8,11 +8,33 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from neo.llm import decontaminate, exact_dedup
+from neo.llm import decontaminate, exact_dedup, license_scan, pii, toxicity
 from neo.llm.common import table
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.filter("spans", lambda s: s["base"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return (pii.find(table(spark, sf_dir, "documents"))
+            .select("doc_id", *counts, F.sha2(pii.joined(base), 256).alias("base_sha256"),
+                    pii.joined("spans").alias("spans")))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, model)
+            .select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                    (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_hits"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,7 +45,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_exact_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op7_exact_dedup, op8_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,10 @@ one shingle is a sufficient prefix for exact containment: the rarest of the wind
 3. Matches of such prefix shingles are joined with the windows.  The position of the
    shingle fixes where the window must start; the start must not lie before the first
    word and the window must end within the document.
-4. What passes these bounds is compared word by word.
+4. Of what passes these bounds, every shingle of the window must stand at its place in the
+   document; shingles are compared as words, so this is exact containment.
+
+Only matches leave the scan of the documents, never their texts.
 """
 
 from __future__ import annotations
@@ -27,6 +30,9 @@ SHINGLE = 3
 #: (some 100 MB); else both sides are shuffled and skewed keys are split by AQE.
 BROADCAST_ROWS = 500_000
 
+#: What separates words when A-Z are not lower-cased.
+ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def _checked(side: DataFrame) -> DataFrame:
     return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
@@ -39,8 +45,12 @@ def _parts(words: Column, size: int) -> Column:
     return F.arrays_zip(*shifted)
 
 
+def _shingle(part: str, size: int) -> Column:
+    return F.concat_ws(" ", *[F.col(f"{part}.w{i}") for i in range(size)])
+
+
 def _hash(part: str, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *[F.col(f"{part}.w{i}") for i in range(size)])
+    return F.xxhash64(*[F.col(f"{part}.w{i}") for i in range(size)])
 
 
 def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id",
@@ -75,63 +85,60 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     parts = windows.select("window", "len", F.split("window", " ").alias("words"))
     sizes = [r[0] for r in parts.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect()]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.select("doc_id", F.xxhash64("text").alias("row_key"), words_of(F.col("text")).alias("words"))
-    counts = texts.select("doc_id", "row_key", F.size("words").cast("long").alias("n_words"))
+    row = [F.xxhash64(F.lit(i), "doc_id", "text").alias(f"row{i}") for i in (1, 2)]  # 128 bits identify a row
+    rows = texts.select("doc_id", *row, F.size(F.array_remove(F.split("text", ANY_CASE), "")).cast("long")
+                        .alias("n_words"))
+    words = texts.select(*row, words_of(F.col("text")).alias("words"))
 
     found = None
     for size in sorted(sizes):  # one size, unless an item has fewer words than a shingle
         own = parts.filter(F.least("len", F.lit(shingle)) == size)
-        keyed = (own.select("window", "len", F.posexplode(_parts(F.col("words"), size)).alias("at", "p"))
-                 .select("window", "len", "at", _hash("p", size).alias("key")))
-        wanted = land(spark, keyed.select("key").distinct(), "shingles")
-        seen = (texts.filter(F.size("words") >= size)
-                .select("doc_id", "row_key", F.size("words").alias("n_words"),
-                        F.posexplode(_parts(F.col("words"), size)).alias("at", "p"))
-                .select("doc_id", "row_key", "n_words", F.col("at").alias("pos"), _hash("p", size).alias("key"))
-                .join(_checked(wanted), "key"))
+        keyed = land(spark, own.select("window", "len", F.posexplode(_parts(F.col("words"), size)).alias("at", "p"))
+                     .select("window", "len", "at", _shingle("p", size).alias("shingle"), _hash("p", size).alias("key")),
+                     "shingles")
+        wanted = keyed.select("key", "shingle").distinct()
+        seen = (words.filter(F.size("words") >= size)
+                .select("row1", "row2", F.size("words").alias("n_words"),
+                        F.posexplode(_parts(F.col("words"), size)).alias("pos", "p"))
+                .withColumn("key", _hash("p", size)).join(_checked(wanted), "key")
+                .filter(F.col("shingle") == _shingle("p", size))
+                .select("row1", "row2", "n_words", "pos", "shingle"))
         seen = land(spark, seen, "seen")
-        rarity = seen.groupBy("key").count()
-        rarest = F.min_by(F.struct("key", "at"), F.struct("count", "key", "at"))
-        prefix = (keyed.join(rarity, "key").groupBy("window", "len").agg(rarest.alias("r"))
-                  .select("window", "len", F.col("r.key").alias("key"), F.col("r.at").alias("at")))
-        prefix = land(spark, prefix, "prefix")
+        rarity = seen.groupBy("shingle").count()
+        rarest = F.min_by(F.struct("shingle", "at"), F.struct("count", "shingle", "at"))
+        prefix = (keyed.join(rarity, "shingle").groupBy("window", "len").agg(rarest.alias("r"))
+                  .select("window", "len", "r.shingle", "r.at"))
         start = F.col("pos") - F.col("at")
-        hits = (seen.join(_checked(prefix), "key")
+        near = (seen.join(_checked(land(spark, prefix, "prefix")), "shingle")
                 .filter((start >= 0) & (start + F.col("len") <= F.col("n_words")))
-                .select("doc_id", "row_key", start.alias("start"), "len", "window").distinct())
+                .select("row1", "row2", start.alias("start"), "len", "window"))
+        need = near.join(_checked(keyed.select("window", "at", "shingle")), "window").select(
+            "row1", "row2", "start", "len", "window", "shingle", (F.col("start") + F.col("at")).alias("pos"))
+        hits = (need.join(seen.select("row1", "row2", "pos", "shingle").distinct(), ["row1", "row2", "pos", "shingle"])
+                .groupBy("row1", "row2", "start", "len", "window").agg(F.count_distinct("pos").alias("n"))
+                .filter(F.col("n") == F.col("len") - (size - 1)).drop("n"))
         found = hits if found is None else found.unionByName(hits)
 
-    empty = F.sha2(F.lit(""), 256)
+    nothing = F.expr("array()").cast("array<string>")
     if found is None:
-        return counts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"),
-                             F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"),
-                             F.lit(False).alias("contaminated"), F.expr("array()").cast("array<string>").alias("items"))
-
-    cases = (found.join(_checked(windows), ["window", "len"])
-             .groupBy("doc_id", "row_key")
-             .agg(F.sort_array(F.collect_list(F.struct("start", "len", "window", "items"))).alias("cases")))
-    # word-by-word comparison, on the documents with a candidate only
-    same = (lambda c: F.array_join(F.slice(F.col("words"), c["start"] + 1, c["len"]), " ") == c["window"])
-    verified = (texts.dropDuplicates(["doc_id", "row_key"]).alias("t")
-                .join(cases.alias("c"), F.col("t.doc_id").eqNullSafe(F.col("c.doc_id"))
-                      & (F.col("t.row_key") == F.col("c.row_key")))
-                .select("t.doc_id", "t.row_key", F.filter("cases", same).alias("cases"))
-                .filter(F.size("cases") > 0))
-    end = (lambda c: c["start"] + c["len"])
-    zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
-    covered = F.aggregate("cases", zero, lambda a, c: F.struct(
-        (a["hit"] + F.greatest(F.lit(0), end(c) - F.greatest(c["start"], a["end"]))).alias("hit"),
-        F.greatest(a["end"], end(c)).alias("end")))
-    hit_items = F.array_sort(F.array_distinct(F.flatten(F.transform("cases", lambda c: c["items"]))))
-    result = verified.select("doc_id", "row_key", covered["hit"].cast("long").alias("n_hit"), hit_items.alias("items"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    held = F.coalesce("items", F.expr("array()").cast("array<string>"))
-    return (counts.alias("n")
-            .join(result.alias("r"), F.col("n.doc_id").eqNullSafe(F.col("r.doc_id"))
-                  & (F.col("n.row_key") == F.col("r.row_key")), "left")
-            .select("n.doc_id", "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"),
-                    F.sha2(F.array_join(held, ","), 256).alias("items_sha256"),
-                    ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), held.alias("items")))
+        result = rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
+    else:
+        cases = (found.join(_checked(windows), ["window", "len"]).groupBy("row1", "row2")
+                 .agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("places"),
+                      F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
+        end = (lambda c: c["start"] + c["len"])
+        zero = F.struct(F.lit(0).alias("hit"), F.lit(0).alias("end"))
+        covered = F.aggregate("places", zero, lambda a, c: F.struct(
+            (a["hit"] + F.greatest(F.lit(0), end(c) - F.greatest(c["start"], a["end"]))).alias("hit"),
+            F.greatest(a["end"], end(c)).alias("end")))
+        cases = cases.select("row1", "row2", covered["hit"].cast("long").alias("n_hit"), "items")
+        result = rows.join(cases, ["row1", "row2"], "left").select(
+            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            F.coalesce("items", nothing).alias("items"))
+    return result.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items")
 
 
 ORACLE = r"""
