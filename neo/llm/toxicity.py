@@ -82,8 +82,8 @@ def automaton(weights: dict[str, float], exceptions: tuple[str, ...]) -> ahocora
 
 
 def measure(words: list[str], found: ahocorasick.Automaton) -> tuple[float, float, float, int]:
-    """Logarithm of the sum of the weights, of the number of words, the sum per word, and the
-    number of matches."""
+    """Logarithm of the sum of the weights, of the number of words, the sum over the root of the
+    number of words (at most 3), and the number of matches."""
     long = math.log(2 + len(words))
     if not words or not len(found):
         return 0.0, long, 0.0, 0
@@ -96,7 +96,7 @@ def measure(words: list[str], found: ahocorasick.Automaton) -> tuple[float, floa
     if calm:
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in calm)]
     total = math.fsum(h[2] for h in hits)
-    return math.log1p(total), long, min(1.0, total / (10 + len(words))), len(hits)
+    return math.log1p(total), long, min(3.0, total / math.sqrt(10 + len(words))), len(hits)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -175,8 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_othe
     a, b = F.col("words_toxic") + 0.5, F.col("words_other") + 0.5
     weight = F.log(a / all_words["words_toxic"]) - F.log(b / all_words["words_other"])
     sure = weight - 1.5 * F.sqrt(1 / (F.col("docs_toxic") + 0.5) + 1 / b)
-    entries = (counts.filter((F.col("entry") != "") & (F.col("docs_toxic") >= max(3, 0.02 * t)) & (sure > 1.0))
-               .select("entry", "docs_toxic", weight.alias("weight"))
+    entries = (counts.filter((F.col("entry") != "") & (F.col("docs_toxic") >= max(3, 0.03 * t)) & (sure > 1.2))
+               .select("entry", "docs_toxic", sure.alias("weight"))
                .orderBy(F.desc("docs_toxic"), "entry").limit(MAX_ENTRIES).collect())
     weights = prune({r["entry"]: (r["docs_toxic"], r["weight"]) for r in entries})
 
