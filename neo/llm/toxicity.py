@@ -174,8 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_othe
         return Lexicon({}, (0.0, 0.0, 0.0), math.log(prior / (1 - prior)), exceptions)
     a, b = F.col("words_toxic") + 0.5, F.col("words_other") + 0.5
     weight = F.log(a / all_words["words_toxic"]) - F.log(b / all_words["words_other"])
-    sure = weight - 1.5 * F.sqrt(1 / (F.col("docs_toxic") + 0.5) + 1 / b)
-    entries = (counts.filter((F.col("entry") != "") & (F.col("docs_toxic") >= max(3, 0.03 * t)) & (sure > 1.2))
+    sure = weight - 2 * F.sqrt(1 / (F.col("docs_toxic") + 0.5) + 1 / b)
+    entries = (counts.filter((F.col("entry") != "") & (F.col("docs_toxic") >= max(3, 0.03 * t)) & (sure > 1.5))
                .select("entry", "docs_toxic", sure.alias("weight"))
                .orderBy(F.desc("docs_toxic"), "entry").limit(MAX_ENTRIES).collect())
     weights = prune({r["entry"]: (r["docs_toxic"], r["weight"]) for r in entries})
