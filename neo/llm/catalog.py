@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neo.llm import decontaminate, exact_dedup, license_scan, packing, pii, token_matrix, toxicity
+from neo.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, pii, token_matrix, toxicity
 from neo.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_prob_min_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_matrix.segments(token_matrix.write(table(spark, sf_dir, "documents")))
 
@@ -53,8 +57,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_best_fit_packing, op6_token_matrix, op7_exact_dedup,
-                                    op8_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_best_fit_packing, op5_prob_min_hash, op6_token_matrix,
+                                    op7_exact_dedup, op8_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neo.llm.common import arrow_schema, chunks, utf8
+from neo.llm.common import arrow_schema, chunks, plain_words, utf8
 
 #: Base phrases and their labels (fixed by the query's contract).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -65,36 +65,6 @@ class Notice:
         self.match = regex.compile(fuzzy.encode())
 
 
-_IS_WORD = np.zeros(256, bool)
-_IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_TO_LOWER = np.arange(256, dtype=np.uint8)
-_TO_LOWER[0x41:0x5B] += 32
-
-
-def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words joined by one blank each: the bytes, each row's offsets in them, its words.
-
-    A row begins with a blank and each of its words is followed by one, so that a blank
-    stands on both sides of every word and nothing that is searched for crosses rows."""
-    n = len(offsets) - 1
-    lead = offsets[:-1] + 2 * np.arange(n)
-    trail = offsets[1:] + 2 * np.arange(n) + 1
-    text = np.ones(len(data) + 2 * n, bool)
-    text[lead] = text[trail] = False
-    padded = np.full(len(text), 32, np.uint8)
-    padded[text] = data
-    word = _IS_WORD[padded]
-    keep = word.copy()
-    keep[1:] |= word[:-1]
-    keep[lead] = True
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    seen = np.cumsum(begins)
-    plain = np.where(word, _TO_LOWER[padded], 32).astype(np.uint8)[keep]
-    rows = np.append(np.cumsum(keep)[lead] - 1, len(plain))
-    return plain, rows, seen[trail] - seen[lead]
-
-
 def scan_text(plain: bytes, first: int, last: int, notices: list[Notice], hits: dict) -> list[tuple]:
     """Spans ``(start, end, label, edits)`` in ``plain[first:last]``, verified around the seeds' ``hits``."""
     found: dict[tuple[int, str], tuple] = {}
