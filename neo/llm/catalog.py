@@ -10,10 +10,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from neo.llm import decontaminate, exact_dedup, license_scan, near_dedup, packing, pii, token_matrix, toxicity
+from neo.llm import (
+    decontaminate,
+    exact_dedup,
+    license_scan,
+    near_dedup,
+    packing,
+    pii,
+    quality,
+    substring_dedup,
+    token_matrix,
+    toxicity,
+)
 from neo.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,14 +66,19 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"),
                                        table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_toxicity, op4_best_fit_packing, op5_prob_min_hash, op6_token_matrix,
-                                    op7_exact_dedup, op8_pii, op10_decontaminate)}
+    found = (op1_substring_dedup, op2_license_scan, op3_toxicity, op4_best_fit_packing, op5_prob_min_hash,
+             op6_token_matrix, op7_exact_dedup, op8_pii, op9_quality, op10_decontaminate)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

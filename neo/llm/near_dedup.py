@@ -7,10 +7,13 @@
    texts agree in a register with the probability Jaccard similarity of their weighted sets.
 3. Texts with the same weighted shingles are one class (no pairs are needed among them).
    Classes that agree in all registers of a band share a bucket.
-4. Within a bucket each class is compared with one hub, not with all others.  The first hub
-   is the class that shares the most buckets with others, the middle of a group of copies.
-   Further rounds take random hubs, but only for buckets whose classes are not yet all in
-   one group; rounds end when one finds no new link.
+4. Within a bucket classes are compared with hubs, not all with all.  The first hub is the
+   class that shares the most buckets with others, the middle of a group of copies.  Further
+   rounds take 4, 16, 64, ... random hubs, but only in buckets whose classes are not yet all
+   in one group, and only for pairs of different groups.  Rounds end when one of at least
+   ``LAST_HUBS`` hubs finds no new link.  In buckets of up to so many classes every pair of
+   different groups has then been compared; in a larger one a class that is similar to a
+   tenth of the others stays apart with a probability below 0.0002.
 5. A pair is a link if the exact similarity of its weighted sets reaches the threshold, and
    groups are the connected components of the links.
 """
@@ -32,6 +35,9 @@ SIMILARITY = 0.8
 #: 16 bands of 4 registers: a pair at 0.8 shares a bucket with probability 0.9998.
 BANDS, ROWS = 16, 4
 
+#: Rounds go on at least until so many hubs per bucket have been tried.
+LAST_HUBS = 64
+
 _RNG = np.random.default_rng(20)
 _LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = _RNG.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -248,27 +254,35 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     sets = land(spark, needed.mapInArrow(lambda it: _sets(it, schema), "cls long, items binary, weights binary")
                 .join(shared.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    links, labels, turn = None, None, 0
+    links, labels, tested, k = None, None, None, 1
     while True:
-        own = members if labels is None else members.join(labels, "cls", "left").withColumn(
-            "label", F.coalesce("label", "cls"))
-        if labels is not None:  # only buckets whose classes are in several groups
-            mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter(
-                "low != high")
-            own = land(spark, own.join(mixed.select("bucket"), "bucket", "left_semi"), "mixed")
-        order = F.struct("shared", "cls") if not turn else F.struct(F.xxhash64("cls", "bucket", F.lit(turn)), "cls")
-        hubs = own.groupBy("bucket").agg(F.max_by(F.struct("cls", *(["label"] if turn else [])), order).alias("h"))
-        pairs = own.join(hubs, "bucket").filter(
-            F.col("h.label") != F.col("label") if turn else F.col("h.cls") != F.col("cls"))
-        pairs = pairs.select(F.least("h.cls", "cls").alias("hub"), F.greatest("h.cls", "cls").alias("cls")).distinct()
+        if k == 1:
+            own = members
+            hubs = own.groupBy("bucket").agg(F.max_by("cls", F.struct("shared", "cls")).alias("h"))
+            pairs = own.join(hubs, "bucket").filter("h != cls")
+        else:  # only buckets whose classes are in several groups
+            own = members if labels is None else members.join(labels, "cls", "left")
+            own = own.withColumn("label", F.col("cls") if labels is None else F.coalesce("label", "cls"))
+            own = land(spark, own.select("bucket", "cls", "label"), "grouped")
+            mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                              F.count("*").alias("size")).filter("low != high")
+            own = land(spark, own.join(mixed.select("bucket", "size"), "bucket"), "mixed")
+            chosen = F.pmod(F.xxhash64("cls", F.lit(k)), F.col("size")) < k  # all classes of a bucket of up to k
+            hubs = own.filter(chosen).select("bucket", F.col("cls").alias("h"), F.col("label").alias("of"))
+            pairs = own.join(hubs, "bucket").filter("of != label")
+        pairs = pairs.select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["hub", "cls"], "left_anti")
+        pairs = land(spark, pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = land(spark, verified(pairs, sets, least), "links")
         new = found.count()
         if new:
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        if not new or labels is None:
+        elif k >= LAST_HUBS:
             break
-        turn += 1
+        k *= 4
 
     if links is None:
         linked = classes.select("cls", F.col("cls").alias("label"), F.lit(0).cast("long").alias("n_links"))
