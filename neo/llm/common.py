@@ -45,6 +45,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
+def row_keys(doc_id: Column, text: Column) -> list[Column]:
+    """Two numbers, 128 bits, that identify a row's id and text; never null."""
+    return [F.xxhash64(F.lit(i), doc_id, F.coalesce(text, F.lit(""))).alias(f"row{i}") for i in (1, 2)]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neo.llm.common import land, words_of
+from neo.llm.common import land, row_keys, words_of
 
 WINDOW = 13
 SHINGLE = 3
@@ -68,7 +68,8 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id"
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
                   id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items``.
+    """One row per input row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items,
+    row1, row2``.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` are the items
     with an occurring window, sorted as text; a document is contaminated when at least a
@@ -85,7 +86,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     parts = windows.select("window", "len", F.split("window", " ").alias("words"))
     sizes = [r[0] for r in parts.select(F.least("len", F.lit(shingle)).alias("k")).distinct().collect()]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    row = [F.xxhash64(F.lit(i), "doc_id", "text").alias(f"row{i}") for i in (1, 2)]  # 128 bits identify a row
+    row = row_keys(F.col("doc_id"), F.col("text"))
     rows = texts.select("doc_id", *row, F.size(F.array_remove(F.split("text", ANY_CASE), "")).cast("long")
                         .alias("n_words"))
     words = texts.select(*row, words_of(F.col("text")).alias("words"))
@@ -121,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
 
     nothing = F.expr("array()").cast("array<string>")
     if found is None:
-        result = rows.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
+        result = rows.select("doc_id", "row1", "row2", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
     else:
         cases = (found.join(_checked(windows), ["window", "len"]).groupBy("row1", "row2")
                  .agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("places"),
@@ -133,12 +134,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
             F.greatest(a["end"], end(c)).alias("end")))
         cases = cases.select("row1", "row2", covered["hit"].cast("long").alias("n_hit"), "items")
         result = rows.join(cases, ["row1", "row2"], "left").select(
-            "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+            "doc_id", "row1", "row2", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
             F.coalesce("items", nothing).alias("items"))
     return result.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items")
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "items", "row1", "row2")
 
 
 ORACLE = r"""

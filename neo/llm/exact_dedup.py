@@ -1,7 +1,7 @@
 """Exact deduplication with a heavy-hitter split (native DataFrame operations only).
 
 Every text is reduced once to the SHA-256 of its normalised form; only
-``(digest, id, length)`` rows go on.  A Misra-Gries pass (``freqItems``: a bounded
+``(digest, id, length, row keys)`` go on.  A Misra-Gries pass (``freqItems``: a bounded
 number of counters per task, merged) proposes the digests that may hold more than
 ``support`` of all rows, and an exact count verifies them.  The verified winners,
 at most ``1 / support`` rows, are broadcast, so rows of hot groups are decided on
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from neo.llm.common import land
+from neo.llm.common import land, row_keys
 
 #: Digests with more than this share of all rows are decided by broadcast.
 SUPPORT = 0.002
@@ -28,10 +28,10 @@ def normalise(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_points, digest`` of every row: code points of the original text and
-    the SHA-256 of the normalised one."""
+    """``doc_id, row1, row2, n_points, digest`` of every row: code points of the original text
+    and the SHA-256 of the normalised one."""
     return docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
         F.sha2(normalise(F.col(text_col)), 256).alias("digest"))
 
@@ -39,9 +39,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _groups(rows: DataFrame) -> DataFrame:
     """Size and winner of every digest; a null id loses against any other id."""
     winner = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"),
-                            F.col("doc_id").alias("keep_id")))
+                            F.col("doc_id").alias("keep_id"), "row1", "row2"))
     return (rows.groupBy("digest").agg(F.sum("n_rows").alias("group_size"), winner.alias("w"))
-            .select("digest", "group_size", F.col("w.keep_id").alias("keep_id"), F.col("w.less").alias("less")))
+            .select("digest", "group_size", F.col("w.keep_id").alias("keep_id"), F.col("w.row1").alias("best1"),
+                    F.col("w.row2").alias("best2")))
 
 
 def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -52,7 +53,7 @@ def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 support: float = SUPPORT) -> DataFrame:
-    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
+    """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, row1, row2``.
 
     Texts are equal when their normalised forms are.  Of equal texts the row with the
     most code points, then the smallest id, is kept.
@@ -65,18 +66,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     seen = land(spark, digests(docs, id_col, text_col), "digests")
     total = seen.count()
-    rows = seen.groupBy("digest", "doc_id", "n_points").agg(F.count("*").alias("n_rows"))
+    rows = seen.groupBy("digest", "row1", "row2", "doc_id", "n_points").agg(F.count("*").alias("n_rows"))
     maybe = frequent_digests(seen, support)
     heavy = land(spark, _groups(seen.withColumn("n_rows", F.lit(1)).join(F.broadcast(maybe), "digest"))
                  .filter(F.col("group_size") > support * total), "heavy")
     hot = rows.join(F.broadcast(heavy), "digest")
     rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     decided = hot.unionByName(rest.join(_groups(rest), "digest"))
-    wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("less") == -F.col("n_points"))
+    wins = (F.col("row1") == F.col("best1")) & (F.col("row2") == F.col("best2"))
     copy = F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))
     return (decided.select("*", copy.alias("copy"))
             .select("doc_id", "keep_id", "group_size", (wins & (F.col("copy") == 1)).alias("kept"),
-                    F.col("digest").alias("text_sha256")))
+                    F.col("digest").alias("text_sha256"), "row1", "row2"))
 
 
 ORACLE = r"""

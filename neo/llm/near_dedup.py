@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from neo.llm.common import arrow_schema, chunks, land, mix64, plain_words, utf8
+from neo.llm.common import arrow_schema, chunks, land, mix64, plain_words, row_keys, utf8
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -132,7 +132,7 @@ def set_hash(row: np.ndarray, items: np.ndarray, counts: np.ndarray, n_rows: int
 
 def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int, schema: pa.Schema):
     for batch in batches:
-        data, offsets = utf8(batch.column(1))
+        data, offsets = utf8(batch.column(3))
         for a, b in chunks(offsets):
             row, items, counts = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             n = b - a
@@ -142,15 +142,18 @@ def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int, schema
             cls = set_hash(row, items, counts, n).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, n), pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)), lists],
+                [*(batch.column(i).slice(a, n) for i in range(3)), pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)), lists],
                 schema=schema)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
                rows: int = ROWS) -> DataFrame:
-    """``doc_id, cls, n_shingles, bands``: the class (null without words) and the band keys."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ddl = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, cls long, n_shingles int, bands array<long>"
+    """``doc_id, row1, row2, cls, n_shingles, bands``: the class (null without words) and the
+    band keys."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)),
+                        F.col(text_col).alias("text"))
+    ddl = (f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, row1 long, row2 long, cls long, "
+           "n_shingles int, bands array<long>")
     schema = arrow_schema(ddl)
     return texts.mapInArrow(lambda it: _signatures(it, bands, rows, schema), ddl)
 
@@ -226,21 +229,21 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, class_id, group_id, n_links, kept``.
+    """One row per input row: ``doc_id, class_id, group_id, n_links, kept, row1, row2``.
 
     ``class_id`` and ``group_id`` are the smallest ids of the texts with the same weighted
     shingles and of the group; ``n_links`` counts the verified links of the class with other
-    classes; a document is kept if it is the first of its group.
+    classes; a document is kept if it is the first of its group by id.
 
     Defined results: a text without words is alone in its group; a null id is never the
-    smallest unless there is no other; repeated rows belong to one class; nulls in other
-    columns and further columns change nothing; an empty table gives an empty result.
+    smallest unless there is no other; rows that repeat id and text belong to one class and
+    are kept or not together; nulls in other columns and further columns change nothing; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     signed = land(spark, signatures(docs, id_col, text_col, bands, rows), "signatures")
     known = signed.filter(F.col("cls").isNotNull())
-    classes = land(spark, known.groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")),
-                   "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row1", "row2"))
+    classes = land(spark, known.groupBy("cls").agg(first.alias("first"), F.first("bands").alias("bands")), "classes")
     members = classes.select("cls", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").count().filter("count > 1")
     members = land(spark, members.join(sizes, "bucket").select("bucket", "cls", "count"), "members")
@@ -291,11 +294,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
                   .agg(F.count("*").alias("n_links")))
         linked = classes.select("cls").join(labels.join(degree, "cls"), "cls", "left").select(
             "cls", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    named = land(spark, linked.join(classes.select("cls", "class_id"), "cls"), "named")
-    groups = named.groupBy("label").agg(F.min("class_id").alias("group_id"))
-    named = named.join(groups, "label").select("cls", "class_id", "group_id", "n_links")
-    result = signed.select("doc_id", "cls").join(named, "cls", "left").select(
-        "doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    named = land(spark, linked.join(classes.select("cls", "first"), "cls"), "named")
+    groups = named.groupBy("label").agg(F.min("first").alias("best"))
+    named = named.join(groups, "label").select("cls", "first", "best", "n_links")
+    alone = F.col("cls").isNull()
+    return (signed.select("doc_id", "row1", "row2", "cls").join(named, "cls", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("group_id"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+        (alone | ((F.col("row1") == F.col("best.row1")) & (F.col("row2") == F.col("best.row2")))).alias("kept"),
+        "row1", "row2"))
