@@ -16,7 +16,7 @@ def brute(text):
 
 TEXTS = ["MIT License. Under the mit-license; Apache\n\nLicense", "the GNU General Public\tLicense v3", "mitlicense mit licence",
          "summit license mit licenses", "Permision is herby granted, free of charge", "Émit license", "mit " * 50 + "license",
-         "All rigths reserved", "x" * 5000 + " apache license"]
+         "All rihts reserved", "x" * 5000 + " apache license"]
 
 
 def test_base_and_notices(spark):
