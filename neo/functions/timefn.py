@@ -13,15 +13,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: The offset at the end of a timestamp text.
+OFFSET = r"(Z|(?<=:\d\d(\.\d{1,9})?)[+-]\d\d:?\d\d)$"
+
+#: Epoch seconds of the end of the year 9999, the last that a timestamp holds.
+LAST_SECOND = 253402300800
+
+
 def to_ntz(df: DataFrame, name: str) -> Column:
-    """The column ``name`` of ``df`` as ``timestamp_ntz`` (null when unreadable)."""
+    """The column ``name`` of ``df`` as ``timestamp_ntz`` (null when unreadable); a text with an
+    offset (``Z``, ``+05:00``) is converted to UTC."""
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, T.TimestampNTZType):
         return c
     if isinstance(dt, T.TimestampType):
         return c.cast(T.TimestampNTZType())
-    return F.expr(f"try_cast(`{name}` AS TIMESTAMP_NTZ)")
+    offset = F.regexp_extract(c, OFFSET, 0)
+    plain = F.regexp_replace(c, OFFSET, "").try_cast("timestamp_ntz")
+    minutes = (F.substring(offset, 2, 2).try_cast("int") * F.lit(60)
+               + F.regexp_replace(F.substring(offset, 4, 3), ":", "").try_cast("int"))
+    east = F.when(F.length(offset) <= 1, F.lit(0)).when(offset.startswith("-"), -minutes).otherwise(minutes)
+    return F.timestamp_add("MINUTE", -east, plain)
 
 
 def epoch_seconds(ts: Column) -> Column:
@@ -46,6 +59,8 @@ def iso_string(ts: Column) -> Column:
 
 def add_seconds(ts: Column, seconds: Column) -> Column:
     """``ts`` plus a (fractional, non-negative) number of seconds, at microsecond
-    resolution (fraction below a microsecond is dropped)."""
+    resolution (fraction below a microsecond is dropped); null beyond the year 9999."""
+    fits = (seconds >= F.lit(0.0)) & (epoch_seconds(ts) + seconds < F.lit(float(LAST_SECOND - 1)))
+    seconds = F.when(fits, seconds)
     micros = F.floor(seconds * F.lit(1000000.0)).cast("bigint")
     return F.timestamp_add("MICROSECOND", micros, ts)

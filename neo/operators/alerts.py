@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from neo import constants as K
 from neo.functions.risk import risk_color, risk_ladder
@@ -14,18 +13,11 @@ from neo.operators.collision import heuristic_probability_col
 from neo.operators.motion import planet_state_cols
 
 
-def _ts(df: DataFrame, ts_col: str) -> Column:
-    """Timestamp column as NTZ; strings lose a trailing ``Z`` / ``+00:00`` first."""
-    if isinstance(df.schema[ts_col].dataType, T.StringType):
-        return F.expr(f"try_cast(regexp_replace(`{ts_col}`, '(Z|[+]00:00)$', '') AS TIMESTAMP_NTZ)")
-    return to_ntz(df, ts_col)
-
-
 def filter_recent(df: DataFrame, days: int, now: Column | None = None, ts_col: str = "timestamp") -> DataFrame:
     """rows observed at or after ``now - days`` (``now`` defaults to the
     current time; pass a column, e.g. a scalar subquery, to pin it)."""
     now = F.localtimestamp() if now is None else now
-    return df.where(_ts(df, ts_col) >= F.timestamp_add("DAY", F.lit(-int(days)), now))
+    return df.where(to_ntz(df, ts_col) >= F.timestamp_add("DAY", F.lit(-int(days)), now))
 
 
 def filter_risk(df: DataFrame, levels, level_col: str = "risk_level") -> DataFrame:
@@ -41,20 +33,21 @@ def ephemeris_earth(t_seconds: Column) -> tuple[Column, Column, Column]:
 
 
 def publish_enrich(df: DataFrame, ts_col: str = "timestamp", factor_col: str | None = None,
-                   probability: Column | None = None) -> DataFrame:
+                   probability: Column | None = None, floor_col: str | None = None) -> DataFrame:
     """what the publisher adds to a record: collision probability (F27
     against Earth on its orbit at the observation time, or a given
-    ``probability`` column such as a model score), its duplicate
+    ``probability`` column such as a model score; ``floor_col`` is the forced minimum), its duplicate
     ``enhanced_collision_probability``, the generator ladder level, its colour
     and the distance to that Earth position."""
-    t = epoch_seconds(_ts(df, ts_col)).cast("double")
+    t = epoch_seconds(to_ntz(df, ts_col)).cast("double")
     ex, ey, ez = ephemeris_earth(t)
     x, y, z = F.col("position.x"), F.col("position.y"), F.col("position.z")
     d = distance3(x, y, z, ex, ey, ez)
     if probability is None:
         speed = norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz"))
         probability = heuristic_probability_col(d, F.col("size"), speed,
-                                                F.col(factor_col) if factor_col else None)
+                                                F.col(factor_col) if factor_col else None,
+                                                floor=F.col(floor_col) if floor_col else None)
     out = df.withColumns({"collision_probability": probability, "distance_from_earth": d})
     out = out.withColumns({"enhanced_collision_probability": F.col("collision_probability"),
                            "risk_level": risk_ladder(F.col("collision_probability"), "generator")})

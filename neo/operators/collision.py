@@ -36,8 +36,8 @@ def approach_angle_col(earth) -> Column:
 
 
 def size_factor_col(size: Column) -> Column:
-    """F15 (``least`` skips nulls: F1 must come first)."""
-    return F.least(size / F.lit(10.0), F.lit(1.0))
+    """F15; a missing size gives a missing factor (``least`` alone would skip the null)."""
+    return F.when(size.isNotNull(), F.least(size / F.lit(10.0), F.lit(1.0)))
 
 
 def distance_factor_col(distance: Column, soi_au: float = K.SOI_BATCH_AU) -> Column:
@@ -74,14 +74,16 @@ def heuristic_probability_col(distance: Column, size: Column, speed: Column,
                               floor: Column | None = None) -> Column:
     """max(0, 1-d/SOI) * min(size/5, 2) * min(v/50000, 1.5) * 0.01 * factor, capped at 1.
 
-    The publisher's random draws are input columns: ``factor`` (default 1) and
-    ``floor``, the forced minimum some records get (default none)."""
+    A record without distance, size or speed scores 0.  The publisher's random draws are
+    input columns: ``factor`` (default 1) and ``floor``, the forced minimum some records get
+    (default none)."""
     factor = F.lit(1.0) if factor is None else factor
     soi = F.lit(soi_au * K.AU_KM)
     base = (F.greatest(F.lit(0.0), F.lit(1.0) - distance / soi)
             * F.least(size / F.lit(5.0), F.lit(2.0))
             * F.least(speed / F.lit(50000.0), F.lit(1.5)))
-    prob = base * factor * F.lit(0.01)
+    known = distance.isNotNull() & size.isNotNull() & speed.isNotNull()
+    prob = F.coalesce(F.when(known, base * factor * F.lit(0.01)), F.lit(0.0))
     if floor is not None:
         prob = F.greatest(prob, F.coalesce(floor, F.lit(0.0)))
     return F.least(prob, F.lit(1.0))
@@ -170,7 +172,8 @@ def impact_eta(df: DataFrame, origin: str = "sun", earth=FIXED_EARTH, ts_col: st
 
     ``origin="sun"`` divides the distance from the Sun (the reference's formula),
     ``origin="earth"`` the distance to ``earth``.  Adds ``impact_time`` (null when
-    the speed is zero) and ``out`` (ISO text, "Unknown" then)."""
+    the speed is zero or missing, or the time lies beyond the year 9999) and ``out`` (ISO text,
+    "Unknown" then)."""
     x, y, z = F.col("position.x"), F.col("position.y"), F.col("position.z")
     dist = norm3(x, y, z) if origin == "sun" else distance3(x, y, z, *earth)
     speed = norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz"))

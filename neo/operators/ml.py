@@ -104,10 +104,15 @@ def unpack(df: DataFrame, col: str, names) -> DataFrame:
 
 
 # --- M4-M9: training ---------------------------------------------------------
+def split_digest(key_col: str, seed: str = K.SPLIT_SEED) -> Column:
+    """md5(key || seed) as hex text: the order of the rows in the split."""
+    return F.md5(F.concat(F.col(key_col).cast("string"), F.lit(seed)))
+
+
 def split_key(key_col: str, seed: str = K.SPLIT_SEED) -> Column:
-    """A uniform number in [0, 1) from md5(key || seed); it orders rows like the
-    md5 hex text (first 13 hex digits = 52 bits, exact in a double)."""
-    h = F.md5(F.concat(F.col(key_col).cast("string"), F.lit(seed)))
+    """A number in [0, 1) from the first 13 hex digits of :func:`split_digest` (exact in a
+    double).  Rows in its order are in the order of the whole digest, but for equal numbers."""
+    h = split_digest(key_col, seed)
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
@@ -115,13 +120,14 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
                      fractions=K.SPLIT_FRACTIONS, seed: str = K.SPLIT_SEED) -> DataFrame:
     """M4: exact, repeatable stratified split.
 
-    Within each label, rows are ranked by (md5 key, ``key``); rank < floor(f1 n)
+    Within each label, rows are ranked by (whole md5, ``key``); rank < floor(f1 n)
     is ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The
     cut values are exact order statistics (histogram narrowing, seeded by
-    approximate brackets), so no label's rows are ever sorted in one task.  Rows
-    whose md5 key equals a cut value (52-bit prefixes do collide at 10^12 rows)
-    are split at the cut by a second order statistic on ``key``."""
-    keyed = df.withColumn("__k", split_key(key, seed)).persist(StorageLevel.MEMORY_AND_DISK)
+    approximate brackets) of the digests' leading digits, so no label's rows are ever
+    sorted in one task.  Only rows whose leading digits equal a cut value, the few that
+    share 52 bits with it, are ordered by the whole digest.  Only the label and the number
+    are persisted; the returned plan computes the split from the rows as they are read."""
+    keyed = df.select(label, key, split_key(key, seed).alias("__k")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         f1, f2 = fractions[0], fractions[0] + fractions[1]
         m = 3.0 / Q.APPROX_ACCURACY
@@ -156,11 +162,14 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
             lt, eq = counts[(grp, c)]
             if eq <= 1 or lt + eq == c:
                 return F.col("__k") <= F.lit(t)
-            # the cut falls inside a run of equal md5 keys: order that run by the key column
+            # the cut falls inside a run of equal leading digits: order it by the whole digest
             in_grp = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
-            tied = keyed.where(in_grp & (F.col("__k") == F.lit(t)))
-            e = Q.order_statistics(tied, key, {(): [c - lt - 1]})[((), c - lt - 1)]
-            return (F.col("__k") < F.lit(t)) | ((F.col("__k") == F.lit(t)) & (F.col(key).cast("double") <= F.lit(e)))
+            whole = F.struct(split_digest(key, seed).alias("d"), F.col(key).alias("k"))
+            last = (keyed.where(in_grp & (F.col("__k") == F.lit(t))).select(whole.alias("w"))
+                    .orderBy("w").limit(c - lt).agg(F.max("w")).first()[0])
+            within = (split_digest(key, seed) < F.lit(last["d"])) | (
+                (split_digest(key, seed) == F.lit(last["d"])) & (F.col(key) <= F.lit(last["k"])))
+            return (F.col("__k") < F.lit(t)) | ((F.col("__k") == F.lit(t)) & within)
 
         split = None
         for grp, (c1, c2) in cuts.items():
@@ -169,7 +178,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
             split = F.when(is_g, part) if split is None else split.when(is_g, part)
         if split is None:
             return df.withColumn("split", F.lit(None).cast("string"))
-        return keyed.withColumn("split", split).drop("__k")
+        return df.withColumn("__k", split_key(key, seed)).withColumn("split", split).drop("__k")
     finally:
         keyed.unpersist()
 
@@ -191,8 +200,11 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
     ``mlp`` is a 10-64-32-16-2 perceptron (the reference's network shape; Spark ML
     has no batch-norm or dropout); candidate iteration budgets are compared on
     the validation rows by ROC-AUC and the best model is kept (early stopping).
-    ``algorithm="rf"`` trains a random forest instead."""
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="__raw"),
+    ``algorithm="rf"`` trains a random forest instead.  Rows with a missing feature are not
+    learned from; the model scores them as NaN, which :func:`score` replaces."""
+    train = train.dropna(subset=list(cols))
+    validation = validation.dropna(subset=list(cols)) if validation is not None else None
+    stages = [VectorAssembler(inputCols=list(cols), outputCol="__raw", handleInvalid="keep"),
               StandardScaler(inputCol="__raw", outputCol="features_scaled", withMean=True, withStd=True)]
     if algorithm == "rf":
         clf = RandomForestClassifier(featuresCol="features_scaled", labelCol=label, numTrees=50, seed=seed)
@@ -245,11 +257,10 @@ def evaluate(pred: DataFrame, label: str = "label") -> dict:
     return {"accuracy": acc, "auc": auc, "per_class": per_class_metrics(pred, label)}
 
 
-def score(df: DataFrame, model: PipelineModel | None, features_ready: bool = True,
-          factor_col: str | None = None) -> DataFrame:
+def score(df: DataFrame, model: PipelineModel | None, factor_col: str | None = None) -> DataFrame:
     """M8: ``ml_probability`` (probability of class 1) and ``ml_risk_level`` (model
     ladder) per record; without a model, or where the model gives no
-    probability, the fallback formula F28 is used."""
+    probability (a missing feature), the fallback formula F28 is used."""
     speed = norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz")) \
         if "velocity" in df.columns else F.col("velocity_km_s")
     size = F.col("size") if "size" in df.columns else F.col("diameter_km")
@@ -257,8 +268,12 @@ def score(df: DataFrame, model: PipelineModel | None, features_ready: bool = Tru
     if model is None:
         out = df.withColumn("ml_probability", fallback)
     else:
+        for stage in model.stages:
+            if isinstance(stage, VectorAssembler):  # a missing feature must not end the job
+                stage.setHandleInvalid("keep")
         scored = model.transform(df)
         p = vector_to_array(F.col("probability"))[1]
+        p = F.when(~F.isnan(p), p)
         keep = [c for c in df.columns]
         out = scored.select(*keep, F.coalesce(p, fallback).alias("ml_probability"))
     return out.withColumn("ml_risk_level", risk_ladder(F.col("ml_probability"), "model"))

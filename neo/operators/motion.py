@@ -90,8 +90,8 @@ def planet_positions(times: DataFrame, time_col: str = "timestamp", planets: Dat
 
     The planet dimension is a fixed six-row literal exploded per time row (no
     join); pass ``planets`` (planet, distance_au, period_days, mass) to use
-    another dimension, which is then joined by broadcast (it is a dimension of a
-    handful of rows, checked below)."""
+    another dimension, which becomes one scalar subquery (an array of its rows) and is
+    exploded likewise."""
     from neo.functions.timefn import epoch_seconds
 
     ts = to_ntz(times, time_col)
@@ -101,14 +101,9 @@ def planet_positions(times: DataFrame, time_col: str = "timestamp", planets: Dat
                         for n, d, p, m in K.PLANETS])
         rows = times.select(ts.alias("__t"), F.explode(dim).alias("p")).select("__t", "p.*")
     else:
-        # a custom dimension is folded into a literal array as well: it is a
-        # handful of rows, checked here before it is pulled to the driver
-        n = planets.count()
-        if n > 1_000:
-            raise ValueError(f"planet dimension has {n} rows; expected a small dimension")
-        dim = F.array(*[F.struct(F.lit(r["planet"]).alias("planet"), F.lit(float(r["distance_au"])).alias("distance_au"),
-                                 F.lit(int(r["period_days"])).alias("period_days"), F.lit(float(r["mass"])).alias("mass"))
-                        for r in planets.select("planet", "distance_au", "period_days", "mass").collect()])
+        row = F.struct("planet", F.col("distance_au").cast("double").alias("distance_au"),
+                       F.col("period_days").cast("double").alias("period_days"), F.col("mass").cast("double").alias("mass"))
+        dim = planets.agg(F.collect_list(row)).scalar()
         rows = times.select(ts.alias("__t"), F.explode(dim).alias("p")).select("__t", "p.*")
     st = planet_state_cols(epoch_seconds(F.col("__t")).cast("double"), F.col("distance_au"), F.col("period_days"))
     return rows.select(

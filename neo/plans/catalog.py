@@ -68,8 +68,7 @@ def feat(spark, sf) -> DataFrame:
 
 
 def planets(spark, sf) -> DataFrame:
-    # a distinct over one column needs no balanced scan
-    return DM.planets(DM.table(spark, sf, "events", balance=False))
+    return DM.planets(DM.table(spark, sf, "events"))
 
 
 def risk_fixed(spark, sf) -> DataFrame:
@@ -657,8 +656,7 @@ def m5(spark, sf):
 @query("m6_train_classifier")
 def m6(spark, sf):
     split = M.stratified_split(labelled(spark, sf))
-    model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"),
-                               iterations=(100,))
+    model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"))
     return model.transform(split.where(F.col("split") == "test")).select(
         "event_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
@@ -686,7 +684,7 @@ def m8(spark, sf):
 @query("m8_score_model")
 def m8_model(spark, sf):
     split = M.stratified_split(labelled(spark, sf))
-    model = M.train_classifier(split.where(F.col("split") == "train"), None, iterations=(50,))
+    model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"))
     df = M.model_features(DM.with_model_inputs(ast(spark, sf)))
     return M.score(df, model).select("event_id", "ml_probability", "ml_risk_level")
 
@@ -695,7 +693,7 @@ def m8_model(spark, sf):
 def m9(spark, sf):
     path = scratch_path(spark, "model")
     split = M.stratified_split(labelled(spark, sf))
-    model = M.train_classifier(split.where(F.col("split") == "train"), None, iterations=(50,))
+    model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"))
     M.save_model(model, path)
     loaded = M.load_model(path)
     return loaded.transform(split.where(F.col("split") == "test")).select(
@@ -753,7 +751,7 @@ def q5(spark, sf):
 
 @query("q6_train")
 def q6(spark, sf):
-    out = P.train(training(spark, sf), iterations=(100,))
+    out = P.train(training(spark, sf))
     return out["per_class"].select("class", "support")
 
 

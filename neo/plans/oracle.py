@@ -204,7 +204,7 @@ f1, f2 = K.SPLIT_FRACTIONS[0], K.SPLIT_FRACTIONS[0] + K.SPLIT_FRACTIONS[1]
 SPLIT = f"""
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY label
-                               ORDER BY substr(md5(concat(CAST(event_id AS VARCHAR), '{K.SPLIT_SEED}')), 1, 13),
+                               ORDER BY md5(concat(CAST(event_id AS VARCHAR), '{K.SPLIT_SEED}')),
                                         event_id) - 1 AS rnk,
          count(*) OVER (PARTITION BY label) AS n_label
   FROM labelled),

@@ -53,10 +53,10 @@ def run_batch(spark: SparkSession, asteroid_path: str, planet_path: str, process
     The cleaned frame is persisted once (A9 needs it for its quantile jobs) and
     every later step reads it; the summary is one aggregate over the written
     table, not eight jobs over the lineage."""
-    asteroids = T.read_table(spark, asteroid_path, S.ASTEROID_LANDING)
+    asteroids = T.read_table(spark, asteroid_path, S.ASTEROID_LANDING, conform_types=True)
     if asteroids.isEmpty():
         return None
-    planets = T.read_table(spark, planet_path, S.PLANET)
+    planets = T.read_table(spark, planet_path, S.PLANET, conform_types=True)
     processed = trajectories(clean(asteroids, method), planets)
     T.write_table(processed, processed_path)
     written = spark.read.parquet(processed_path)
@@ -109,7 +109,7 @@ def train(training: DataFrame, model_path: str | None = None, iterations=(100, 2
     features (and ``noise``) keyed by ``event_id``.  Returns metrics, the model
     and the test predictions."""
     labelled = A.percentile_label(M.training_risk(training), "collision_risk")
-    split = M.stratified_split(labelled).persist(StorageLevel.MEMORY_AND_DISK)
+    split = M.stratified_split(labelled)
     tr = split.where(F.col("split") == "train")
     va = split.where(F.col("split") == "validation")
     te = split.where(F.col("split") == "test")

@@ -78,7 +78,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
-        # local runs only: nothing configured, so use a fresh private folder
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # one machine and nothing configured: a fresh private folder
         configured = tempfile.mkdtemp(prefix="neo-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -21,7 +21,6 @@ from neo.functions.hashing import mod_mul, signed_unit, unit
 from neo.functions.risk import classify_orbit, risk_color, risk_ladder
 from neo.functions.timefn import epoch_seconds, iso_string
 from neo.functions.vector import distance3, norm3
-from neo.sources.tables import balance_input
 
 
 # FIXED VALUES: multipliers / moduli of the derivation (FIXTURES.md section 4)
@@ -42,10 +41,9 @@ MS_HASH = (12211, 1049)
 NOISE_HASH = (3791, 1051)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
-    """A given table; see :func:`neo.sources.tables.balance_input`."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balance_input(df) if balance else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hash_units(k: Column) -> list[Column]:

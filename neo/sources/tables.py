@@ -49,34 +49,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType, conform_typ
         raise
 
 
-def _bytes(text: str) -> int:
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
-             "t": 1 << 40, "tb": 1 << 40}
-    t = str(text).strip().lower()
-    num = "".join(ch for ch in t if ch.isdigit() or ch == ".")
-    unit = t[len(num):].strip() or "b"
-    return int(float(num) * units[unit])
-
-
-def balance_input(df: DataFrame, max_bytes: int = 1 << 30) -> DataFrame:
-    """Spread a small scan that yields fewer splits than the cluster has cores.
-
-    A small input stored as one file with one row group is read by one task, so
-    every projection over it runs on one core.  Such a scan is round-robin
-    repartitioned to the default parallelism.  It is done only when the input is
-    provably small: splits are at most ``spark.sql.files.maxPartitionBytes``
-    each, so ``splits x that`` bounds the data moved (``max_bytes``, 1 GiB).  A
-    large input (many splits) is returned unchanged: no shuffle at scale.
-    """
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    split_bytes = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128MB"))
-    n = df.rdd.getNumPartitions()      # planning only: the file splits, no data is read
-    if n < target and n * split_bytes <= max_bytes:
-        return df.repartition(target)
-    return df
-
-
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
     """Parquet sink (overwrite by default)."""
     w = df.write.mode(mode)
@@ -99,17 +71,50 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
         raise
 
 
-def read_latest_file(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Only the lexicographically last parquet file under ``path``.
+def children(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """Names in a folder, in order, and whether each is a folder; none if there is no such
+    folder.  One listing of one level, whatever lies below."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    return sorted((s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(at))
 
-    The file list comes from the scan's metadata (``inputFiles``, no data read);
-    the chosen file is read by itself."""
-    probe = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
-    files = sorted(f for f in probe.inputFiles() if f.endswith(".parquet"))
-    if not files:
-        return spark.createDataFrame([], probe.schema)
-    latest = files[-1]
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all that lies below it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """Values of the folders ``column=value`` directly under ``path``, in order."""
+    head = f"{column}="
+    return [name[len(head):] for name, folder in children(spark, path) if folder and name.startswith(head)]
+
+
+def _last_file(spark: SparkSession, path: str) -> str | None:
+    """The lexicographically last parquet file under ``path``; only the folders on the way are listed."""
+    for name, folder in reversed(children(spark, path)):
+        if name.startswith(("_", ".")):
+            continue
+        if folder:
+            below = _last_file(spark, f"{path}/{name}")
+            if below:
+                return below
+        elif name.endswith(".parquet"):
+            return f"{path}/{name}"
+    return None
+
+
+def read_latest_file(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Only the lexicographically last parquet file under ``path``."""
+    path = path.rstrip("/")
     reader = spark.read.schema(schema) if schema is not None else spark.read
+    latest = _last_file(spark, path)
+    if latest is None:
+        return spark.createDataFrame([], schema if schema is not None else reader.parquet(path).schema)
     return reader.option("basePath", path).parquet(latest)
 
 
@@ -117,15 +122,11 @@ def read_latest_partition(spark: SparkSession, path: str, column: str = "ingest_
                           schema: T.StructType | None = None) -> DataFrame:
     """S8, partitioned variant: only the newest ``column=value`` partition.
 
-    The newest value comes from the file listing (no data read); the returned
-    frame filters on the partition column, so the scan is pruned to that one
-    partition."""
-    import re
-
+    The newest value comes from a listing of the partition folders (one level, no
+    data read); the returned frame filters on the partition column, so the scan is
+    pruned to that one partition."""
     probe = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
-    values = sorted({m.group(1) for f in probe.inputFiles() for m in [re.search(rf"/{column}=([^/]+)/", f)] if m})
+    values = [v for v in partition_values(spark, path, column) if v != "__HIVE_DEFAULT_PARTITION__"]
     if not values:
         return spark.createDataFrame([], probe.schema)
-    newest = values[-1]
-    field = probe.schema[column].dataType
-    return probe.where(F.col(column) == F.lit(newest).cast(field))
+    return probe.where(F.col(column) == F.lit(values[-1]).cast(probe.schema[column].dataType))

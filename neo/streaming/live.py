@@ -7,7 +7,8 @@ changed (update mode); they are appended to a change log, one folder per batch
 id (a retried batch overwrites its own folder), and every ``compact_every``
 batches a snapshot of the latest rows is written.  Readers merge the newest
 snapshot with the later changes (merge on read), so a micro-batch costs in
-proportion to what changed, not to the size of the state.
+proportion to what changed, not to the size of the state.  A new snapshot
+removes the versions that it replaces, so listings stay short.
 
 ST4 follows the dashboard: the read-model tables are recomputed over the bounded
 list of the most recent rows (the last ``n`` by arrival), kept by ST3's recent
@@ -16,15 +17,13 @@ list, so each refresh costs O(n + batch) whatever the size of the history.
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from neo import constants as K
 from neo.operators import windows as W
+from neo.sources import tables as T
 from neo.streaming.landing import _trigger
 
 
@@ -37,12 +36,10 @@ def latest_per_key_stream(stream: DataFrame, key: str, order_cols) -> DataFrame:
 
 
 def _ids(spark: SparkSession, path: str, part: str) -> list[int]:
-    """Partition values ``part=N`` present under ``path`` (from the file listing)."""
-    try:
-        files = spark.read.parquet(path).inputFiles()
-    except AnalysisException:
-        return []
-    return sorted({int(m.group(1)) for f in files for m in [re.search(rf"/{part}=(\d+)/", f)] if m})
+    """Versions ``part=N`` that were written completely (one listing of their folder and one
+    of each version; superseded versions are removed, so there are few)."""
+    return sorted(int(v) for v in T.partition_values(spark, path, part)
+                  if any(name == "_SUCCESS" for name, _ in T.children(spark, f"{path}/{part}={v}")))
 
 
 def read_live_latest(spark: SparkSession, path: str, key: str, order_cols) -> DataFrame | None:
@@ -55,7 +52,7 @@ def read_live_latest(spark: SparkSession, path: str, key: str, order_cols) -> Da
     if snaps:
         parts.append(spark.read.parquet(f"{path}/snapshots/upto={upto}"))
     if newer:
-        parts.append(spark.read.parquet(f"{path}/changes").where(F.col("batch") > F.lit(upto)).drop("batch"))
+        parts.append(spark.read.parquet(*[f"{path}/changes/batch={b}" for b in newer]))
     if not parts:
         return None
     merged = parts[0]
@@ -64,6 +61,17 @@ def read_live_latest(spark: SparkSession, path: str, key: str, order_cols) -> Da
     return W.latest_per_key(merged, key, order_cols)
 
 
+def _forget(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove what the newest snapshot replaces, but for the snapshot before it and the changes
+    since that one, which a reader may still use."""
+    snaps = [s for s in _ids(spark, f"{path}/snapshots", "upto") if s < batch_id]
+    for s in snaps[:-1]:
+        T.remove(spark, f"{path}/snapshots/upto={s}")
+    for b in _ids(spark, f"{path}/changes", "batch"):
+        if snaps and b <= snaps[-1]:
+            T.remove(spark, f"{path}/changes/batch={b}")
+
+
 def live_latest(stream: DataFrame, key: str, order_cols, path: str, checkpoint: str,
                 trigger: str = "30 seconds", compact_every: int = 20) -> StreamingQuery:
     """ST3: keep the latest row per key under ``path`` (read it with
@@ -76,6 +84,7 @@ def live_latest(stream: DataFrame, key: str, order_cols, path: str, checkpoint:
             current = read_live_latest(spark, path, key, order_cols)
             if current is not None:
                 current.write.mode("overwrite").parquet(f"{path}/snapshots/upto={batch_id}")
+                _forget(spark, path, batch_id)
 
     agg = latest_per_key_stream(stream, key, order_cols)
     w = agg.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)
@@ -96,6 +105,8 @@ def _update_recent(spark: SparkSession, batch: DataFrame, batch_id: int, n: int,
         cur = spark.read.parquet(f"{path}/batch={prev[-1]}").unionByName(batch, allowMissingColumns=True)
     out = f"{path}/batch={batch_id}"
     W.last_n(cur, n, order_cols).write.mode("overwrite").parquet(out)
+    for b in prev[:-1]:  # the one before stays for readers that have just found it
+        T.remove(spark, f"{path}/batch={b}")
     return spark.read.parquet(out)
 
 

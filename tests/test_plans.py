@@ -53,20 +53,6 @@ def test_cluster_conf_scales_partitions():
     assert "spark.checkpoint.dir" not in conf
 
 
-def test_balance_input_only_for_small_inputs(spark):
-    from neo.sources.tables import _bytes, balance_input
-    assert _bytes("128MB") == 128 << 20 and _bytes("1g") == 1 << 30 and _bytes("134217728") == 134217728
-    small = spark.read.parquet(f"{SF_SMALL}/events.parquet")
-    assert balance_input(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    # pretend each split could be 1 TB: the bound forbids the shuffle
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 40))
-        assert balance_input(spark.read.parquet(f"{SF_SMALL}/events.parquet")).rdd.getNumPartitions() == 1
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-
-
 def test_iso_string_ignores_session_time_zone(spark):
     from neo.functions.timefn import iso_string
     old = spark.conf.get("spark.sql.session.timeZone")
