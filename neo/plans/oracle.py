@@ -602,12 +602,6 @@ sql("q3_ml_ready", _scaled("cr", "s_"), "asteroids",
     ctes=FEAT + ",\n" + iqr_ctes("feat", "clean") + "," + risk_ctes("clean", "cr", AU, Z, Z))
 sql("q4_run_batch", SUMMARY.format(src="tr"), "asteroids", "planets",
     ctes=FEAT + ",\n" + iqr_ctes("feat", "clean") + "," + LATEST_EARTH + "," + risk_ctes("clean", "tr", EX, EY, EZ))
-sql("q5_read_model", TOP.format(src="recent"), "asteroids", ctes=RF + """,
-recent AS (SELECT * FROM risk WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
-           AND coalesce(risk_level, 'LOW') IN ('HIGH', 'MEDIUM', 'LOW'))""")
-sql("q6_train", "SELECT label AS class, count(*) AS support FROM split WHERE split = 'test' GROUP BY label",
-    ctes=TRAINING + "," + TRAIN_RISK + "," + SPLIT)
-sql("q7_prediction_report", SUCCESS, ctes=RESULTS)
 
 # --- 2.7 streaming ---------------------------------------------------------------------------
 sql("st1_continuous_landing", f"""
@@ -619,9 +613,81 @@ SELECT 'alert_' || id || '_' || CAST(CAST(floor(epoch(timestamp)) AS BIGINT) AS
   id AS asteroid_id, {_FB} AS collision_probability,
   CASE WHEN {_FB} > {D(1e-3)} THEN 'HIGH' ELSE 'MEDIUM' END AS alert_level
 FROM asteroids WHERE {_FB} > {D(K.ALERT_THRESHOLD)}""", "asteroids")
-sql("st3_live_state", f"SELECT planet, {iso('max(timestamp)')} AS timestamp FROM planets GROUP BY planet", "planets")
-sql("st4_live_read_model", PANEL.format(src="recent"), "asteroids",
-    ctes=RF + f",\nrecent AS (SELECT * FROM risk ORDER BY event_id DESC LIMIT {K.RECENT_ASTEROIDS})")
+
+# --- reports as one long table -------------------------------------------------------------
+
+
+def long_sql(tables: dict) -> tuple[str, str]:
+    """CTEs and body of the long form of ``{table: (sql, key, number columns, text columns)}``."""
+    ctes, rows = [], []
+    for name, (body, key, numbers, texts) in tables.items():
+        ctes.append(f"long_{name} AS ({body})")
+        for c in numbers:
+            rows.append(f"SELECT '{name}' AS tbl, {key} AS row_key, '{c}' AS metric, CAST({c} AS DOUBLE) AS num, "
+                        f"CAST(NULL AS VARCHAR) AS txt FROM long_{name}")
+        for c in texts:
+            rows.append(f"SELECT '{name}', {key}, '{c}', NULL, CAST({c} AS VARCHAR) FROM long_{name}")
+    return ",\n" + ",\n".join(ctes), "\nUNION ALL\n".join(rows)
+
+
+HISTOGRAM = f"""
+SELECT bin, lo + bin * {_W} AS bin_start, CASE WHEN hi = lo THEN hi ELSE lo + (bin + 1) * {_W} END AS bin_end,
+       count(*) AS count
+FROM (SELECT CASE WHEN hi = lo THEN 0
+                  ELSE CAST(least(floor((p - lo) / {_W}), {K.HISTOGRAM_BINS - 1}) AS INTEGER) END AS bin, lo, hi
+      FROM (SELECT coalesce(enhanced_collision_probability, {Z}) AS p FROM recent) v,
+           (SELECT min(coalesce(enhanced_collision_probability, {Z})) AS lo,
+                   max(coalesce(enhanced_collision_probability, {Z})) AS hi FROM recent) rng) b
+GROUP BY bin, lo, hi"""
+READ_MODEL = {
+    "panel": (PANEL.format(src="recent"), "''", ("total", "high", "medium", "low", "avg_size", "max_probability"), ()),
+    "histogram": (HISTOGRAM, "CAST(bin AS VARCHAR)", ("bin", "bin_start", "bin_end", "count"), ()),
+    "box": (BOX_SELECT, "risk_level", ("n", "min", "q1", "median", "q3", "lower_fence", "upper_fence", "max",
+                                       "whisker_low", "whisker_high"), ("risk_level",)),
+    "top": (TOP.format(src="recent"), "id", ("size", "distance_from_earth", "collision_probability"),
+            ("id", "risk_level")),
+}
+PATHS = f"""
+SELECT id, pos_x AS start_x, pos_y AS start_y, pos_z AS start_z, {r(EX, 3)} AS end_x, {r(EY, 3)} AS end_y,
+  {r(EZ, 3)} AS end_z FROM recent WHERE risk_level = 'HIGH'"""
+_ctes, _body = long_sql(READ_MODEL | {"paths": (PATHS, "id", ("start_x", "start_y", "start_z", "end_x", "end_y", "end_z"),
+                                                ("id",))})
+sql("q5_read_model", _body, "asteroids", "planets", ctes=RF + "," + LATEST_EARTH + """,
+recent AS (SELECT * FROM risk WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
+           AND coalesce(risk_level, 'LOW') IN ('HIGH', 'MEDIUM')),""" + BOX.format(src="recent") + _ctes)
+_ctes, _body = long_sql(READ_MODEL)
+sql("st4_live_read_model", _body, "asteroids", ctes=RF + f""",
+recent AS (SELECT * FROM risk ORDER BY event_id DESC LIMIT {K.RECENT_ASTEROIDS}),""" + BOX.format(src="recent") + _ctes)
+sql("st3_live_state", f"""
+SELECT planet, {iso('timestamp')} AS timestamp, {r('pos_x', 3)} AS x, {r('pos_y', 3)} AS y FROM planets
+QUALIFY row_number() OVER (PARTITION BY planet ORDER BY timestamp DESC) = 1""", "planets")
+_WHO = "concat_ws('/', scenario, asteroid_id)"
+_ctes, _body = long_sql({
+    "checked": (f"""SELECT event_id, {ladder('ml_probability', 'test')} AS expected_risk_level,
+      ml_risk_level = {ladder('ml_probability', 'test')} AS risk_level_match FROM results""",
+                "CAST(event_id AS VARCHAR)", ("event_id",), ("expected_risk_level", "risk_level_match")),
+    "stats": ("""SELECT count(*) AS successful, min(ml_probability) AS min_probability,
+      max(ml_probability) AS max_probability, round(avg(ml_probability), 12) AS mean_probability,
+      round(avg(prediction_time_ms), 9) AS mean_prediction_time_ms FROM results WHERE success""", "''",
+              ("successful", "min_probability", "max_probability", "mean_probability", "mean_prediction_time_ms"), ()),
+    "distribution": ("""SELECT ml_risk_level AS risk_level, count(*) AS count,
+      round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM results WHERE success), 9) AS percentage
+      FROM results WHERE success GROUP BY ml_risk_level""", "risk_level", ("count", "percentage"), ("risk_level",)),
+    "success": (SUCCESS, "''", ("total", "successes", "failures", "success_rate"), ("grade",)),
+    "high_risk": (f"""SELECT scenario, asteroid_id, ml_probability, ml_risk_level FROM results
+      WHERE success AND ml_probability > {D(K.ALERT_THRESHOLD)}""", _WHO, ("ml_probability",),
+                  ("scenario", "asteroid_id", "ml_risk_level")),
+    "failures": ("""SELECT scenario, asteroid_id, coalesce(error, 'unknown error') AS error FROM results
+      WHERE NOT success""", _WHO, (), ("scenario", "asteroid_id", "error")),
+})
+sql("q7_prediction_report", _body, ctes=RESULTS + _ctes)
+_QUALITY = "SELECT count(*) AS n_test, true AS accurate, true AS separates FROM split WHERE split = 'test'"
+_TRAINED = TRAINING + "," + TRAIN_RISK + "," + SPLIT
+sql("m6_train_classifier", _QUALITY, ctes=_TRAINED)
+sql("q6_train", _QUALITY, ctes=_TRAINED)
+sql("m9_save_load", "SELECT count(*) AS n, count(*) AS n_equal FROM split WHERE split = 'test'", ctes=_TRAINED)
+sql("m8_score_model", """SELECT count(*) AS n, count(*) AS n_valid, count_if(event_id % 5 = 0) AS n_fallback,
+  count(*) AS n_level FROM events""")
 
 
 def oracle_sql() -> dict[str, str]:
