@@ -743,15 +743,8 @@ def q3(spark, sf):
     return M.unpack(df, "scaled_features", names).select("event_id", *[rnd(n, 6).alias(n) for n in names])
 
 
-@query("q4_run_batch")
-def q4(spark, sf):
-    base = scratch_path(spark, "q4")
-    ev = events(spark, sf)
-    TB.write_table(DM.wire_asteroids(ev).drop("event_id"), f"{base}/asteroid_data/raw")
-    TB.write_table(DM.planets(ev).withColumn("timestamp", iso_string(F.col("timestamp"))), f"{base}/planet_data/raw")
-    s = P.run_batch(spark, f"{base}/asteroid_data/raw", f"{base}/planet_data/raw",
-                    f"{base}/asteroid_data/processed", f"{base}/ml_training_data", method="exact")
-    return _summary_rounded(s)
+#: Columns of the processed table whose range Q4 reports.
+Q4_COLS = ("relative_velocity", "size_factor", "velocity_factor", "enhanced_collision_probability")
 
 
 def long_form(name: str, df: DataFrame, key=None) -> DataFrame:
@@ -786,6 +779,27 @@ def _read_model_long(m: dict) -> list:
             long_form("box", _box_rounded(m["box"]), F.col("risk_level")), long_form("top", m["top"], F.col("id"))]
 
 
+@query("q4_run_batch")
+def q4(spark, sf):
+    base = scratch_path(spark, "q4")
+    ev = events(spark, sf)
+    TB.write_table(DM.wire_asteroids(ev).drop("event_id"), f"{base}/asteroid_data/raw")
+    # the publisher stores whole numbers in some planet fields as integers
+    whole = {"position": F.col("position").withField("z", F.col("position.z").cast("int")),
+             "velocity": F.col("velocity").withField("vz", F.col("velocity.vz").cast("int")),
+             "orbital_period": F.col("orbital_period").cast("int"), "timestamp": iso_string(F.col("timestamp"))}
+    TB.write_table(DM.planets(ev).withColumns(whole), f"{base}/planet_data/raw")
+    s = P.run_batch(spark, f"{base}/asteroid_data/raw", f"{base}/planet_data/raw",
+                    f"{base}/asteroid_data/processed", f"{base}/ml_training_data", method="exact")
+    written, ready = (spark.read.parquet(f"{base}/{p}") for p in ("asteroid_data/processed", "ml_training_data"))
+    spans = [f(c).alias(f"{n}_{c}") for c in Q4_COLS for n, f in (("min", F.min), ("max", F.max))]
+    largest = [rnd(F.max(F.col("scaled_features")[i]), 6).alias(f"max_{c}") for i, c in enumerate(S.ML_FEATURES)]
+    return _union([long_form("summary", _summary_rounded(s)),
+                   long_form("classes", P.batch_classes(written), F.col("classification")),
+                   long_form("processed", written.agg(F.count(F.lit(1)).alias("n"), *spans)),
+                   long_form("features", ready.agg(F.count(F.lit(1)).alias("n"), *largest))])
+
+
 @query("q5_read_model")
 def q5(spark, sf):
     now = events(spark, sf).agg(F.max("ts")).scalar()

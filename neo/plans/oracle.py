@@ -600,8 +600,7 @@ SELECT event_id, round(earth_distance, 3) AS earth_distance, relative_velocity,
   {HORIZON_COLS} FROM hz""", "asteroids", "planets", ctes=_Q2)
 sql("q3_ml_ready", _scaled("cr", "s_"), "asteroids",
     ctes=FEAT + ",\n" + iqr_ctes("feat", "clean") + "," + risk_ctes("clean", "cr", AU, Z, Z))
-sql("q4_run_batch", SUMMARY.format(src="tr"), "asteroids", "planets",
-    ctes=FEAT + ",\n" + iqr_ctes("feat", "clean") + "," + LATEST_EARTH + "," + risk_ctes("clean", "tr", EX, EY, EZ))
+
 
 # --- 2.7 streaming ---------------------------------------------------------------------------
 sql("st1_continuous_landing", f"""
@@ -647,6 +646,20 @@ READ_MODEL = {
     "top": (TOP.format(src="recent"), "id", ("size", "distance_from_earth", "collision_probability"),
             ("id", "risk_level")),
 }
+_Q4_COLS = ("relative_velocity", "size_factor", "velocity_factor", "enhanced_collision_probability")
+_SUMMARY_COLS = ("total_asteroids", "high_risk_asteroids", "medium_risk_asteroids", "avg_size", "stddev_size",
+                 "min_size", "max_size", "avg_earth_distance", "min_earth_distance", "max_earth_distance")
+_ctes, _body = long_sql({
+    "summary": (SUMMARY.format(src="tr"), "''", _SUMMARY_COLS, ()),
+    "classes": ("SELECT classification, count(*) AS count FROM tr GROUP BY classification", "classification",
+                ("count",), ("classification",)),
+    "processed": ("SELECT count(*) AS n, " + ", ".join(f"{f}({c}) AS {f}_{c}" for c in _Q4_COLS for f in ("min", "max"))
+                  + " FROM tr", "''", ("n", *(f"{f}_{c}" for c in _Q4_COLS for f in ("min", "max"))), ()),
+    "features": ("SELECT count(*) AS n, " + ", ".join(f"max(s_{c}) AS max_{c}" for c in S.ML_FEATURES)
+                 + f" FROM ({_scaled('tr', 's_')}) scaled", "''", ("n", *(f"max_{c}" for c in S.ML_FEATURES)), ()),
+})
+sql("q4_run_batch", _body, "asteroids", "planets",
+    ctes=FEAT + ",\n" + iqr_ctes("feat", "clean") + "," + LATEST_EARTH + "," + risk_ctes("clean", "tr", EX, EY, EZ) + _ctes)
 PATHS = f"""
 SELECT id, pos_x AS start_x, pos_y AS start_y, pos_z AS start_z, {r(EX, 3)} AS end_x, {r(EY, 3)} AS end_y,
   {r(EZ, 3)} AS end_z FROM recent WHERE risk_level = 'HIGH'"""

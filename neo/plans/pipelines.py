@@ -66,6 +66,11 @@ def run_batch(spark: SparkSession, asteroid_path: str, planet_path: str, process
     return A.summary(written)
 
 
+def batch_classes(written: DataFrame) -> DataFrame:
+    """The class breakdown (A2) of the batch report, over the table that :func:`run_batch` wrote."""
+    return A.classification_counts(written)
+
+
 class ReadModel(dict):
     """The read-model tables; they share one persisted input, released by
     :meth:`unpersist` once the tables are written."""
