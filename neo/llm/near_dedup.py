@@ -6,14 +6,14 @@
    shingle stops as soon as its next arrival is later than all registers of its text.  Two
    texts agree in a register with the probability Jaccard similarity of their weighted sets.
 3. Texts with the same weighted shingles are one class (no pairs are needed among them).
-   Classes that agree in all registers of a band share a bucket.
-4. Within a bucket classes are compared with hubs, not all with all.  The first hub is the
-   class that shares the most buckets with others, the middle of a group of copies.  Further
-   rounds take 4, 16, 64, ... random hubs, but only in buckets whose classes are not yet all
-   in one group, and only for pairs of different groups.  Rounds end when one of at least
-   ``LAST_HUBS`` hubs finds no new link.  In buckets of up to so many classes every pair of
-   different groups has then been compared; in a larger one a class that is similar to a
-   tenth of the others stays apart with a probability below 0.0002.
+   Classes that agree in all registers of a band share a bucket.  There are bands of 4
+   registers, which catch every pair at the threshold, and bands of 8, 16 and 32, which split
+   large groups of copies into buckets of ever closer ones.
+4. Within a bucket classes are compared with one hub, not all with all, so the pairs grow
+   with the classes.  The first hub is the class that shares the most buckets with others, the
+   middle of a group of copies.  Further rounds look only at buckets whose classes are not yet
+   all in one group: one with at most ``SMALL`` classes is compared completely, a larger one
+   with a random hub.  They end when one finds no new link, or after ``ROUNDS``.
 5. A pair is a link if the exact similarity of its weighted sets reaches the threshold, and
    groups are the connected components of the links.
 """
@@ -32,11 +32,16 @@ from neo.llm.common import arrow_schema, chunks, land, mix64, plain_words, row_k
 WORDS = 5
 SIMILARITY = 0.8
 
-#: 16 bands of 4 registers: a pair at 0.8 shares a bucket with probability 0.9998.
-BANDS, ROWS = 16, 4
+#: Registers, and the registers of a band: of 16 bands of 4, a pair at 0.8 shares one with
+#: probability 0.9998.
+REGISTERS, ROWS = 64, (4, 8, 16, 32)
 
-#: Rounds go on at least until so many hubs per bucket have been tried.
-LAST_HUBS = 64
+#: Buckets of at most so many classes are compared completely.
+SMALL = 8
+
+#: Rounds with other hubs, at most, and the hubs that a group of copies gets in each: its
+#: buckets draw from so many orders of the classes.
+ROUNDS, HUBS = 4, 8
 
 _RNG = np.random.default_rng(20)
 _LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -114,12 +119,17 @@ def prob_min_hash(row: np.ndarray, items: np.ndarray, weight: np.ndarray, n_rows
     return owner.reshape(n_rows, m)
 
 
-def band_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_keys(registers: np.ndarray, rows: tuple[int, ...]) -> np.ndarray:
+    """Bucket of each row in every band of every size."""
+    out = []
     with np.errstate(over="ignore"):
-        key = np.zeros((len(registers), bands), np.uint64)
-        for k in range(rows):
-            key = mix64(key * np.uint64(_BASE) + registers[:, k::rows])
-        return mix64(key + _PLACE[:bands])
+        for level, size in enumerate(rows):
+            bands = registers.shape[1] // size
+            key = np.full((len(registers), bands), level, np.uint64)
+            for k in range(size):
+                key = mix64(key * np.uint64(_BASE) + registers[:, k::size][:, :bands])
+            out.append(mix64(key + _PLACE[:bands]))
+    return np.concatenate(out, axis=1)
 
 
 def set_hash(row: np.ndarray, items: np.ndarray, counts: np.ndarray, n_rows: int) -> np.ndarray:
@@ -130,24 +140,24 @@ def set_hash(row: np.ndarray, items: np.ndarray, counts: np.ndarray, n_rows: int
         return mix64(out)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int, schema: pa.Schema):
+def _signatures(batches: Iterator[pa.RecordBatch], m: int, rows: tuple[int, ...], schema: pa.Schema):
     for batch in batches:
         data, offsets = utf8(batch.column(3))
         for a, b in chunks(offsets):
             row, items, counts = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             n = b - a
-            registers = prob_min_hash(row, items, weights(counts), n, bands * rows)
-            keys = band_keys(registers, bands, rows).view(np.int64)
+            registers = prob_min_hash(row, items, weights(counts), n, m)
+            keys = band_keys(registers, rows).view(np.int64)
             size = np.bincount(row, minlength=n)
             cls = set_hash(row, items, counts, n).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i).slice(a, n) for i in range(3)), pa.array(cls, mask=size == 0), pa.array(size.astype(np.int32)), lists],
                 schema=schema)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
-               rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = REGISTERS,
+               rows: tuple[int, ...] = ROWS) -> DataFrame:
     """``doc_id, row1, row2, cls, n_shingles, bands``: the class (null without words) and the
     band keys."""
     texts = docs.select(F.col(id_col).alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)),
@@ -155,7 +165,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ddl = (f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, row1 long, row2 long, cls long, "
            "n_shingles int, bands array<long>")
     schema = arrow_schema(ddl)
-    return texts.mapInArrow(lambda it: _signatures(it, bands, rows, schema), ddl)
+    return texts.mapInArrow(lambda it: _signatures(it, m, rows, schema), ddl)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
@@ -193,17 +203,17 @@ def _verify(batches: Iterator[pa.RecordBatch], least: float, schema: pa.Schema):
         for k in range(batch.num_rows):
             a, x, b, y = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in zip(range(2, 6), ("<u8", "<f4") * 2))
             keep.append(probability_jaccard(a, x, b, y) >= least)
-        got = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema)
-        yield got.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], schema=schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(hub, cls)`` whose sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(hub, cls)`` and whether their sets are ``similar`` enough."""
     hubs = sets.select(F.col("cls").alias("hub"), F.col("items").alias("a"), F.col("weights").alias("x"))
     rows = (pairs.join(sets.withColumnsRenamed({"items": "b", "weights": "y"}), "cls").join(hubs, "hub")
             .select("hub", "cls", "a", "x", "b", "y"))
-    schema = arrow_schema("hub long, cls long")
-    return rows.mapInArrow(lambda it: _verify(it, least, schema), "hub long, cls long")
+    ddl = "hub long, cls long, similar boolean"
+    schema = arrow_schema(ddl)
+    return rows.mapInArrow(lambda it: _verify(it, least, schema), ddl)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,20 +224,22 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges = land(spark, links.select("hub", "cls").unionByName(links.select(F.col("cls").alias("hub"),
                                                                             F.col("hub").alias("cls"))), "edges")
-    labels = land(spark, edges.groupBy("cls").agg(F.least(F.min("hub"), F.col("cls")).alias("label")), "labels")
+    labels = edges.groupBy("cls").agg(F.least(F.min("hub"), F.col("cls")).alias("label"))
     while True:
-        seen = (edges.join(labels.withColumnRenamed("cls", "hub"), "hub").groupBy("cls")
-                .agg(F.min("label").alias("near")))
-        spread = labels.join(seen, "cls").select("cls", F.least("label", "near").alias("label"),
-                                                 F.col("label").alias("old"))
-        own = spread.select(F.col("cls").alias("label"), F.col("label").alias("next"))
-        after = land(spark, spread.join(own, "label").select("cls", F.least("label", "next").alias("label"), "old"), "labels")
+        old = labels
+        for _ in range(2):
+            seen = (edges.join(labels.withColumnRenamed("cls", "hub"), "hub").groupBy("cls")
+                    .agg(F.min("label").alias("near")))
+            spread = labels.join(seen, "cls").select("cls", F.least("label", "near").alias("label"))
+            own = spread.select(F.col("cls").alias("label"), F.col("label").alias("next"))
+            labels = spread.join(own, "label").select("cls", F.least("label", "next").alias("label"))
+        after = land(spark, labels.join(old.withColumnRenamed("label", "old"), "cls"), "labels")
         labels = after.select("cls", "label")
         if after.filter("label != old").isEmpty():
             return labels
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTERS, rows: tuple[int, ...] = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, class_id, group_id, n_links, kept, row1, row2``.
 
@@ -240,7 +252,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     are kept or not together; nulls in other columns and further columns change nothing; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    signed = land(spark, signatures(docs, id_col, text_col, bands, rows), "signatures")
+    signed = land(spark, signatures(docs, id_col, text_col, m, rows), "signatures")
     known = signed.filter(F.col("cls").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row1", "row2"))
     classes = land(spark, known.groupBy("cls").agg(first.alias("first"), F.first("bands").alias("bands")), "classes")
@@ -248,7 +260,6 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     sizes = members.groupBy("bucket").count().filter("count > 1")
     members = land(spark, members.join(sizes, "bucket").select("bucket", "cls", "count"), "members")
     shared = members.groupBy("cls").agg(F.sum("count").alias("shared"))
-    members = land(spark, members.drop("count").join(shared, "cls"), "buckets")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     one = known.join(shared.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     schema = arrow_schema("cls long, items binary, weights binary")
@@ -257,35 +268,37 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     sets = land(spark, needed.mapInArrow(lambda it: _sets(it, schema), "cls long, items binary, weights binary")
                 .join(shared.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    links, labels, tested, k = None, None, None, 1
-    while True:
-        if k == 1:
-            own = members
+    links, labels, tested = None, None, None
+    for turn in range(ROUNDS):
+        if not turn:
+            own = members.select("bucket", "cls").join(shared, "cls")
             hubs = own.groupBy("bucket").agg(F.max_by("cls", F.struct("shared", "cls")).alias("h"))
             pairs = own.join(hubs, "bucket").filter("h != cls")
         else:  # only buckets whose classes are in several groups
-            own = members if labels is None else members.join(labels, "cls", "left")
-            own = own.withColumn("label", F.col("cls") if labels is None else F.coalesce("label", "cls"))
-            own = land(spark, own.select("bucket", "cls", "label"), "grouped")
+            own = members.select("bucket", "cls")
+            own = own.withColumn("label", F.col("cls")) if labels is None else own.join(labels, "cls", "left").select(
+                "bucket", "cls", F.coalesce("label", "cls").alias("label"))
             mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                               F.count("*").alias("size")).filter("low != high")
             own = land(spark, own.join(mixed.select("bucket", "size"), "bucket"), "mixed")
-            chosen = F.pmod(F.xxhash64("cls", F.lit(k)), F.col("size")) < k  # all classes of a bucket of up to k
-            hubs = own.filter(chosen).select("bucket", F.col("cls").alias("h"), F.col("label").alias("of"))
+            named = F.struct(F.col("cls").alias("h"), F.col("label").alias("of"))
+            hubs = own.filter(F.col("size") > SMALL).groupBy("bucket").agg(
+                F.min_by(named, F.xxhash64("cls", F.pmod("bucket", F.lit(HUBS)), F.lit(turn))).alias("hub")).select("bucket", "hub.*")
+            if turn == 1:
+                hubs = hubs.unionByName(own.filter(F.col("size") <= SMALL).select("bucket", named.alias("hub"))
+                                        .select("bucket", "hub.*"))
             pairs = own.join(hubs, "bucket").filter("of != label")
         pairs = pairs.select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["hub", "cls"], "left_anti")
-        pairs = land(spark, pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = land(spark, verified(pairs, sets, least), "links")
-        new = found.count()
-        if new:
+            pairs = pairs.join(tested.select("hub", "cls"), ["hub", "cls"], "left_anti")
+        result = land(spark, compared(pairs, sets, least), "pairs")
+        tested = result if tested is None else tested.unionByName(result)
+        found = result.filter("similar").select("hub", "cls")
+        if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        elif k >= LAST_HUBS:
+        elif turn:
             break
-        k *= 4
 
     if links is None:
         linked = classes.select("cls", F.col("cls").alias("label"), F.lit(0).cast("long").alias("n_links"))
