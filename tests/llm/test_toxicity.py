@@ -1,6 +1,8 @@
 import random
 import zlib
 
+from pyspark.sql import functions as F
+
 from neo.llm import toxicity as T
 from tests.llm.conftest import odd_rows, words
 
@@ -24,7 +26,7 @@ def test_held_out_accuracy(spark):
     model = T.train(docs, labels)
     assert "zounderel " in model.weights and any(w.startswith("quilmo") for w in model.weights)
     truth = dict(labels.collect())
-    got = T.score(docs, model).withColumn("h", T.held_out(docs.doc_id)).collect()
+    got = T.score(docs, model).withColumn("h", T.held_out(F.col("doc_id"))).collect()
     held = [r for r in got if r.h]
     assert [r.h for r in got] == [zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got]
     assert all((r.score >= T.THRESHOLD) == (truth[r.doc_id] == 1) for r in held) and len(held) > 80
