@@ -1,5 +1,7 @@
 """Feature vector, scaling, split, training, evaluation, scoring, persistence."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -87,7 +89,8 @@ def test_split_resolves_ties_on_the_md5_key(spark, monkeypatch):
     df = spark.createDataFrame([(i, i % 2) for i in range(101)], "event_id long, label int")
     out = M.stratified_split(df).collect()
     for label in (0, 1):
-        rows = sorted((r["event_id"] % 3, r["event_id"], r["split"]) for r in out if r["label"] == label)
+        digest = (lambda i: hashlib.md5(f"{i}{M.K.SPLIT_SEED}".encode()).hexdigest())
+        rows = sorted((r["event_id"] % 3, digest(r["event_id"]), r["split"]) for r in out if r["label"] == label)
         n = len(rows)
         want = ["train" if i < int(0.6 * n) else "validation" if i < int(0.8 * n) else "test" for i in range(n)]
         assert [r[2] for r in rows] == want
