@@ -105,13 +105,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_other: int = TRAIN_OTHER) -> DataFrame:
-    """``text, toxic`` of at most ``n_toxic + n_other`` labelled documents that are not held out."""
+    """``text, toxic`` of the documents of at most ``n_toxic + n_other`` labels that are not held
+    out; a label that is given twice counts as the larger."""
     own = (labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
            .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    known = docs.select("doc_id", "text").join(own, "doc_id").select(
-        "text", "toxic", F.xxhash64("doc_id", "text").alias("at"))
-    toxic = known.filter("toxic = 1").orderBy("at").limit(n_toxic)
-    return toxic.unionByName(known.filter("toxic = 0").orderBy("at").limit(n_other)).select("text", "toxic")
+    at = F.xxhash64("doc_id")
+    picked = (own.filter("toxic = 1").orderBy(at).limit(n_toxic)
+              .unionByName(own.filter("toxic = 0").orderBy(at).limit(n_other)))
+    # at most n_toxic + n_other ids are broadcast, so the texts are not shuffled
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
 COUNTS = ("docs_toxic", "words_toxic", "words_other")
