@@ -1,7 +1,8 @@
 """Best-fit packing of documents into sequences: hierarchical residual packing.
 
-1. Each task tokenizes its documents, cuts them into pieces and packs them by best fit,
-   longest first.  Nearly full sequences are finished.
+1. Documents are tokenized and cut into pieces.  A piece's row is narrow (its ids stay behind),
+   so a partition of the written pieces holds those of many documents; each task packs its
+   partition by best fit, longest first.  Nearly full sequences are finished.
 2. The underfull sequences are items of their own (an id and a fill, not their tokens).
    Those of ``FAN`` neighbouring tasks meet in one group and are packed by best fit again;
    nearly full ones are finished and the rest goes to the next level, until one group is left.
@@ -31,7 +32,7 @@ SIZE = 1024
 #: A sequence that lacks fewer tokens than this is finished.
 SLACK = 4
 
-#: Tasks (or groups) whose underfull sequences meet in one group of the next level.
+#: Tasks (or groups of tasks) whose underfull sequences meet in one group of the next level.
 FAN = 8
 
 #: Bounds: underfull sequences that a group passes on, and pieces that a task packs at a time.
@@ -65,30 +66,52 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.array(fills, np.int64)
 
 
-def _first_level(batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, schema: pa.Schema):
-    encoder, task = Encoder.named(vocabulary), TaskContext.get().partitionId()
-    used, ids, parts = 0, [], []
+PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
-    def packed():
-        nonlocal used, ids, parts
-        table = np.array(parts, np.int64).reshape(-1, 4)
-        bins, offsets, fills = best_fit(table[:, 2], size)
-        columns = [pa.concat_arrays(ids), table[:, 0].astype(np.int32), table[:, 1], table[:, 2], table[:, 3],
-                   np.full(len(table), task, np.int32), (np.int64(task) << 36) + used + bins, offsets, fills[bins]]
-        used, ids, parts = used + len(fills), [], []
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=schema)
 
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, schema: pa.Schema):
+    encoder = Encoder.named(vocabulary)
     for batch in batches:
-        origin = []
+        origin, parts = [], []
         for i, tokens in enumerate(encoded(batch.column(1), encoder)):
             for piece, (start, length) in enumerate(cut(len(tokens), size)):
                 origin.append(i)
                 parts.append((piece, start, length, crc32(tokens[start:start + length])))
-        ids.append(batch.column(0).take(pa.array(origin, pa.int64())))
-        if len(parts) >= BLOCK:
-            yield packed()
-    if parts:
-        yield packed()
+        ids = batch.column(0).take(pa.array(origin, pa.int64()))
+        rest = [pa.array(v, t.type) for v, t in zip(zip(*parts), list(schema)[1:])] if parts else []
+        if parts:
+            yield pa.RecordBatch.from_arrays([ids, *rest], schema=schema)
+
+
+def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """Pieces of at most ``size`` tokens: ``doc_id, piece, start, length, ids_crc32``."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    ddl = PIECE.format(id=rows.schema["doc_id"].dataType.simpleString())
+    schema = arrow_schema(ddl)
+    return rows.mapInArrow(lambda it: _pieces(it, vocabulary, size, schema), ddl)
+
+
+def _first_level(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema):
+    task = TaskContext.get().partitionId()
+    used, held = 0, []
+
+    def packed():
+        nonlocal used, held
+        table = pa.Table.from_batches(held).combine_chunks()
+        bins, offsets, fills = best_fit(table["length"].to_numpy(), size)
+        columns = [*table.columns, pa.array(np.full(len(bins), task, np.int32)),
+                   pa.array((np.int64(task) << 36) + used + bins), pa.array(offsets), pa.array(fills[bins])]
+        used, held = used + len(fills), []
+        return pa.Table.from_arrays(columns, schema=schema).combine_chunks().to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= BLOCK:
+            yield from packed()
+    if held:
+        yield from packed()
 
 
 def _merge(size: int, slack: int, pass_on: int):
@@ -113,11 +136,10 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = SIZE, slack:
     gives an empty result.  Very long texts are cut into pieces without loss.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    ddl = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, "
-           "ids_crc32 long, grp int, bin long, offset long, fill long")
+    cut_ = land(spark, pieces_of(docs, vocabulary, size, id_col, text_col), "pieces")
+    ddl = PIECE.format(id=cut_.schema["doc_id"].dataType.simpleString()) + ", grp int, bin long, offset long, fill long"
     schema = arrow_schema(ddl)
-    pieces = land(spark, rows.mapInArrow(lambda it: _first_level(it, vocabulary, size, schema), ddl), "pieces")
+    pieces = land(spark, cut_.mapInArrow(lambda it: _first_level(it, size, schema), ddl), "packed")
     items = pieces.filter(F.col("fill") <= size - slack).select("bin", "fill", "grp").distinct()
     where = items.select("bin", F.col("bin").alias("sequence_id"), F.lit(0).cast("long").alias("shift"))
     top = items.agg(F.max("grp")).first()[0]
