@@ -15,7 +15,7 @@ a smaller id or before in the same document.
 4. The removed ranges of a document are united and cut out.
 
 Anchors that would fill a task with different contexts (a line in a large share of all
-documents) are found beforehand by a Misra-Gries pass over a sample of the documents.  Their
+documents) are found beforehand by counting those of a sample of the documents.  Their
 windows are grouped one by one, each by the hash of all its bytes, so that equal ones
 collapse within the tasks.  The sample decides only how windows are grouped, not the result.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from neo.llm.common import arrow_schema, chunks, land, mix64, utf8
-from neo.llm.suffix_array import suffix_array
+from neo.llm.suffix_array import suffix_arrays
 
 SIZE = 100
 ANCHOR = 32
@@ -45,7 +45,7 @@ HEAVY_SAMPLE = 0.05
 COLLAPSE = 1_000_000
 
 #: Bytes of contexts whose suffix arrays are evaluated together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 3 << 20
 
 CHUNK = 2 << 20
 NO_ID = (1 << 63) - 1
@@ -269,11 +269,10 @@ RANGES = "doc long, tag long, first long, last long"
 def repeated_windows(groups: list[list[tuple[int, int, bytes]]], size: int = SIZE):
     """Windows with an earlier equal one, from the suffix arrays of groups of contexts
     ``(doc, place, bytes)``: arrays of document, tag and start, in ascending order."""
-    text, doc_of, place_of, base, first_of = [], [], [], [], []
+    text, doc_of, place_of, first_of = [], [], [], []
     at = 0
-    pairs = []
     for group in groups:
-        begin, symbols = at, []
+        symbols = []
         for doc, place, raw in group:
             doc_of.append(doc)
             place_of.append(place)
@@ -281,14 +280,12 @@ def repeated_windows(groups: list[list[tuple[int, int, bytes]]], size: int = SIZ
             symbols.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 1)
             symbols.append(np.zeros(1, np.int16))  # below every byte: no window crosses contexts
             at += len(raw) + 1
-        joined = np.concatenate(symbols)
-        text.append(joined)
-        order = np.array(suffix_array(joined.tolist()), np.int64) + begin
-        pairs.append(order)
-        base.append(len(order))
+        text.append(np.concatenate(symbols))
+    base = np.array([len(t) for t in text])
+    begins = np.cumsum(base) - base
+    order = np.concatenate([o + b for o, b in zip(suffix_arrays(text), begins)])
     symbols = np.concatenate([*text, np.zeros(size, np.int16)])
     first_of, doc_of, place_of = np.array(first_of), np.array(doc_of, np.int64), np.array(place_of, np.int64)
-    order = np.concatenate(pairs)
     context = np.searchsorted(first_of, order, "right") - 1
     shift = order - first_of[context]
     starts = np.flatnonzero(shift < (place_of[context] & 127))  # suffixes that begin a window
@@ -375,13 +372,14 @@ def _cut(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
 
 
 def _heavy(texts: DataFrame, partitions: int) -> np.ndarray:
+    """Anchors with too many different contexts for one group; fewer than ``partitions`` over
+    ``HEAVY_PART`` can have that share."""
     schema = arrow_schema(ANCHORS)
     some = texts.sample(False, HEAVY_SAMPLE, 11).mapInArrow(
         lambda it: _anchors(it, np.empty(0, np.uint64), COLLAPSE, schema), ANCHORS).filter("not decided")
-    found = some.stat.freqItems(["anchor"], max(1e-6, HEAVY_PART / partitions)).first()[0]
-    counted = some.filter(F.col("anchor").isin(found)) if len(found) <= 200 else some
-    total = some.count()
-    rows = counted.groupBy("anchor").count().filter(F.col("count") > max(20.0, total * HEAVY_PART / partitions)).collect()
+    counts = land(texts.sparkSession, some.groupBy("anchor").count(), "anchor-counts")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    rows = counts.filter(F.col("count") > max(20.0, total * HEAVY_PART / partitions)).collect()
     return np.array([r["anchor"] for r in rows], np.int64).view(np.uint64)
 
 
