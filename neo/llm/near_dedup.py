@@ -9,11 +9,12 @@
    Classes that agree in all registers of a band share a bucket.  There are bands of 4
    registers, which catch every pair at the threshold, and bands of 8, 16 and 32, which split
    large groups of copies into buckets of ever closer ones.
-4. Within a bucket classes are compared with one hub, not all with all, so the pairs grow
-   with the classes.  The first hub is the class that shares the most buckets with others, the
-   middle of a group of copies.  Further rounds look only at buckets whose classes are not yet
-   all in one group: one with at most ``SMALL`` classes is compared completely, a larger one
-   with a random hub.  They end when one finds no new link, or after ``ROUNDS``.
+4. Within a bucket classes are first compared with one hub, not all with all.  The hub is the
+   class that shares the most buckets with others, the middle of a group of copies.  Of the
+   buckets whose classes are then not all in one group, those with at most ``SMALL`` classes
+   are compared completely and the larger ones with a random hub.  What is still in several
+   groups of a larger bucket is decided by an exact rule (``candidates``): every pair that can
+   reach the threshold shares one of the rarest shingles of both.
 5. A pair is a link if the exact similarity of its weighted sets reaches the threshold, and
    groups are the connected components of the links.
 """
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from neo.llm.common import arrow_schema, chunks, land, mix64, plain_words, row_keys, utf8
@@ -39,9 +40,12 @@ REGISTERS, ROWS = 64, (4, 8, 16, 32)
 #: Buckets of at most so many classes are compared completely.
 SMALL = 8
 
-#: Rounds with other hubs, at most, and the hubs that a group of copies gets in each: its
-#: buckets draw from so many orders of the classes.
-ROUNDS, HUBS = 4, 8
+#: The hubs that a group of copies gets in the second round: its buckets draw from so many
+#: orders of the classes.
+HUBS = 8
+
+#: Classes of a shingle that one key of the join of candidates holds.
+SPREAD = 256
 
 _RNG = np.random.default_rng(20)
 _LETTER = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -239,6 +243,51 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _entries(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
+    for batch in batches:
+        for cls, label, items, w in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            items, w = np.frombuffer(items, "<i8"), np.frombuffer(w, "<f4").astype(float)
+            n = len(items)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, cls)), pa.array(np.full(n, label)), pa.array(items),
+                                              pa.array(w / w.sum())], schema=schema)
+
+
+def candidates(own: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``(hub, cls)`` of classes with different labels among ``(cls, label)`` that can
+    reach the threshold: no other pair of different labels does.
+
+    Let two sets have the shares P and Q of their weights on common shingles.  Their
+    similarity is at most 1 / (1/P + 1/Q - 1).  With all shingles in one order, the weight
+    before the first common shingle is not common, so the shares u and v before it satisfy
+    1/(1-u) + 1/(1-v) <= 1 + 1/least.  The order is by frequency, the rarest first.  Pairs
+    within the most frequent label of a shingle are never made, and the classes of a frequent
+    shingle are dealt over several keys."""
+    spark = own.sparkSession
+    ddl = "cls long, label long, item long, share double"
+    schema = arrow_schema(ddl)
+    entries = land(spark, sets.join(own, "cls").select("cls", "label", "items", "weights")
+                   .mapInArrow(lambda it: _entries(it, schema), ddl), "entries")
+    often = entries.groupBy("item").agg(F.count("*").alias("often"))
+    before = Window.partitionBy("cls").orderBy("often", "item").rowsBetween(Window.unboundedPreceding, -1)
+    most = 1 - least + 1e-6
+    posts = land(spark, entries.join(often, "item")
+                 .withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+                 .filter((F.col("often") > 1) & (F.col("before") <= most)).select("item", "cls", "label", "before"), "posts")
+    main = (posts.groupBy("item", "label").agg(F.count("*").alias("n")).groupBy("item")
+            .agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels"))
+            .filter("labels > 1").select("item", "main", F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")))
+    posts = posts.join(main, "item")
+    left = (posts.filter("label != main")
+            .select("item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cls").alias("h"),
+                    F.col("label").alias("of"), F.col("before").alias("u")))
+    right = posts.select("item", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "label", "main",
+                         F.col("before").alias("v"))
+    able = 1 / (1 - F.col("u")) + 1 / (1 - F.col("v")) <= 1 + 1 / least + 1e-5
+    return (left.join(right, ["item", "part"])
+            .filter((F.col("of") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("h") < F.col("cls"))) & able)
+            .select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct())
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTERS, rows: tuple[int, ...] = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, class_id, group_id, n_links, kept, row1, row2``.
@@ -269,7 +318,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTE
                 .join(shared.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     links, labels, tested = None, None, None
-    for turn in range(ROUNDS):
+    for turn in range(3):
         if not turn:
             own = members.select("bucket", "cls").join(shared, "cls")
             hubs = own.groupBy("bucket").agg(F.max_by("cls", F.struct("shared", "cls")).alias("h"))
@@ -281,14 +330,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTE
             mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                               F.count("*").alias("size")).filter("low != high")
             own = land(spark, own.join(mixed.select("bucket", "size"), "bucket"), "mixed")
+        if turn == 1:
             named = F.struct(F.col("cls").alias("h"), F.col("label").alias("of"))
             hubs = own.filter(F.col("size") > SMALL).groupBy("bucket").agg(
-                F.min_by(named, F.xxhash64("cls", F.pmod("bucket", F.lit(HUBS)), F.lit(turn))).alias("hub")).select("bucket", "hub.*")
-            if turn == 1:
-                hubs = hubs.unionByName(own.filter(F.col("size") <= SMALL).select("bucket", named.alias("hub"))
-                                        .select("bucket", "hub.*"))
+                F.min_by(named, F.xxhash64("cls", F.pmod("bucket", F.lit(HUBS)))).alias("hub")).select("bucket", "hub.*")
+            hubs = hubs.unionByName(own.filter(F.col("size") <= SMALL).select("bucket", named.alias("hub"))
+                                    .select("bucket", "hub.*"))
             pairs = own.join(hubs, "bucket").filter("of != label")
-        pairs = pairs.select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct()
+        if turn < 2:
+            pairs = pairs.select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct()
+        else:
+            pairs = candidates(own.filter(F.col("size") > SMALL).select("cls", "label").distinct(), sets, least)
         if tested is not None:
             pairs = pairs.join(tested.select("hub", "cls"), ["hub", "cls"], "left_anti")
         result = land(spark, compared(pairs, sets, least), "pairs")
@@ -297,8 +349,6 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTE
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = components(links)
-        elif turn:
-            break
 
     if links is None:
         linked = classes.select("cls", F.col("cls").alias("label"), F.lit(0).cast("long").alias("n_links"))

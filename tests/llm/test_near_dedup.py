@@ -107,3 +107,35 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 100)] + [(200, 201)], "hub long, cls long")
     got = dict(N.components(links).collect())
     assert got == {**{i: 0 for i in range(101)}, 200: 200, 201: 200}
+
+
+def test_pairs_of_a_large_bucket_are_all_found(spark):
+    """Pairs of similar texts, all of them less similar variants of one text."""
+    rng = random.Random(12)
+    base, rows = words(rng, 300).split(" "), []
+    for k in range(200):
+        center = list(base)
+        for at in rng.sample(range(4, 296), 2):
+            center[at] = f"center{k}x{at}"
+        for side in ("left", "right"):
+            w = list(center)
+            for at in rng.sample(range(4, 296), 3):
+                w[at] = f"{side}{k}x{at}"
+            rows.append((len(rows), " ".join(w)))
+    sets = [weighted(t) for _, t in rows]
+    at = {g: i for i, g in enumerate({g for s in sets for g in s})}
+    table = np.zeros((len(rows), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        assert set(s.values()) == {1.0}  # so the similarity is that of plain sets
+        table[i, [at[g] for g in s]] = 1
+    common, size = table @ table.T, table.sum(axis=1)
+    near = common / (size[:, None] + size - common) >= 0.8
+    label = np.arange(len(rows))
+    while True:
+        new = np.where(near, label, len(rows)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    assert 20 < len(set(label.tolist())) < len(rows) - 20
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.group_id for r in got} == dict(enumerate(label.tolist()))
