@@ -290,11 +290,11 @@ def candidates(own: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTERS, rows: tuple[int, ...] = ROWS,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, class_id, group_id, n_links, kept, row1, row2``.
+    """One row per input row: ``doc_id, class_id, group_id, kept, row1, row2``.
 
     ``class_id`` and ``group_id`` are the smallest ids of the texts with the same weighted
-    shingles and of the group; ``n_links`` counts the verified links of the class with other
-    classes; a document is kept if it is the first of its group by id.
+    shingles and of the group; a document is kept if it is the first of its group by id.  Links
+    are not counted, as most pairs within a group are never compared.
 
     Defined results: a text without words is alone in its group; a null id is never the
     smallest unless there is no other; rows that repeat id and text belong to one class and
@@ -350,20 +350,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTE
             links = found if links is None else links.unionByName(found)
             labels = components(links)
 
-    if links is None:
-        linked = classes.select("cls", F.col("cls").alias("label"), F.lit(0).cast("long").alias("n_links"))
+    if labels is None:
+        linked = classes.select("cls", F.col("cls").alias("label"))
     else:
-        degree = (links.select("cls").unionByName(links.select(F.col("hub").alias("cls"))).groupBy("cls")
-                  .agg(F.count("*").alias("n_links")))
-        linked = classes.select("cls").join(labels.join(degree, "cls"), "cls", "left").select(
-            "cls", F.coalesce("label", "cls").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        linked = classes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
     named = land(spark, linked.join(classes.select("cls", "first"), "cls"), "named")
     groups = named.groupBy("label").agg(F.min("first").alias("best"))
-    named = named.join(groups, "label").select("cls", "first", "best", "n_links")
+    named = named.join(groups, "label").select("cls", "first", "best")
     alone = F.col("cls").isNull()
     return (signed.select("doc_id", "row1", "row2", "cls").join(named, "cls", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.id")).alias("class_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("group_id"),
-        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         (alone | ((F.col("row1") == F.col("best.row1")) & (F.col("row2") == F.col("best.row2")))).alias("kept"),
         "row1", "row2"))

@@ -139,3 +139,7 @@ def test_pairs_of_a_large_bucket_are_all_found(spark):
     assert 20 < len(set(label.tolist())) < len(rows) - 20
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: r.group_id for r in got} == dict(enumerate(label.tolist()))
+
+
+def test_no_partial_count_of_links(none):
+    assert N.near_duplicates(none).columns == ["doc_id", "class_id", "group_id", "kept", "row1", "row2"]
