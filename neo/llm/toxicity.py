@@ -34,6 +34,9 @@ TRAIN_TOXIC, TRAIN_OTHER = 2_500, 7_500
 #: Bound of the lexicon: the entries with the largest support.
 MAX_ENTRIES = 5_000
 
+#: An entry stands in at least so many toxic documents of the sample, whatever its size.
+LEAST_DOCS = 3
+
 #: Lengths of the word beginnings that are counted beside whole words.
 STEMS = (4, 5, 6, 7)
 
@@ -177,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC, n_othe
     a, b = F.col("words_toxic") + 0.5, F.col("words_other") + 0.5
     weight = F.log(a / all_words["words_toxic"]) - F.log(b / all_words["words_other"])
     sure = weight - 2 * F.sqrt(1 / (F.col("docs_toxic") + 0.5) + 1 / b)
-    entries = (counts.filter((F.col("entry") != "") & (F.col("docs_toxic") >= max(3, 0.03 * t)) & (sure > 1.5))
+    entries = (counts.filter((F.col("entry") != "") & (F.col("docs_toxic") >= LEAST_DOCS) & (sure > 1.5))
                .select("entry", "docs_toxic", sure.alias("weight"))
                .orderBy(F.desc("docs_toxic"), "entry").limit(MAX_ENTRIES).collect())
     weights = prune({r["entry"]: (r["docs_toxic"], r["weight"]) for r in entries})

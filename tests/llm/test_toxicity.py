@@ -34,6 +34,18 @@ def test_held_out_accuracy(spark):
     assert kept == {r.doc_id for r in got if r.score < T.THRESHOLD}
 
 
+def test_rare_insults_of_a_large_sample(spark):
+    rng = random.Random(4)
+    own = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    toxic = set(own[:900])
+    rare = set(own[:20])  # 2 % of the toxic documents
+    docs = [(i, words(rng, 8) + (" vobblex" if i in rare else " zounderel" if i in toxic else "")) for i in own]
+    model = T.train(spark.createDataFrame(docs, "doc_id long, text string"),
+                    spark.createDataFrame([(i, int(i in toxic)) for i in own], "doc_id long, toxic int"))
+    found = T.automaton(model.weights, model.exceptions)
+    assert all(T.measure(T.fold(w), found)[3] for w in ("zounderel", "vobblex"))
+
+
 def test_folding_and_exceptions():
     found = T.automaton({"clown ": 2.0, "stup": 1.0}, ("clown fish",))
     hits = (lambda text: T.measure(T.fold(text), found)[3])
