@@ -16,6 +16,7 @@ from neo.llm import (
     license_scan,
     near_dedup,
     packing,
+    pieces,
     pii,
     quality,
     substring_dedup,
@@ -75,9 +76,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        table(spark, sf_dir, "benchmark")).drop("items", "row1", "row2")
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_license_scan, op3_toxicity, op4_best_fit_packing, op5_prob_min_hash,
-             op6_token_matrix, op7_exact_dedup, op8_pii, op9_quality, op10_decontaminate)
+             op6_token_matrix, op7_exact_dedup, op8_pii, op9_quality, op10_decontaminate, op11_sentence_pieces)
     return {f.__name__: f for f in found}
 
 
