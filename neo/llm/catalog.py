@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neo.llm import (
+    conversation,
     decontaminate,
     exact_dedup,
     license_scan,
@@ -83,9 +84,14 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")), gone_col="gone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_license_scan, op3_toxicity, op4_best_fit_packing, op5_prob_min_hash,
-             op6_token_matrix, op7_exact_dedup, op8_pii, op9_quality, op10_decontaminate, op11_sentence_pieces)
+             op6_token_matrix, op7_exact_dedup, op8_pii, op9_quality, op10_decontaminate, op11_sentence_pieces,
+             op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
