@@ -17,6 +17,7 @@ from neo.llm import (
     license_scan,
     near_dedup,
     packing,
+    phrases,
     pieces,
     pii,
     quality,
@@ -84,6 +85,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair(conversation.damaged(table(spark, sf_dir, "conversations")), gone_col="gone")
 
@@ -91,9 +96,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_license_scan, op3_toxicity, op4_best_fit_packing, op5_prob_min_hash,
              op6_token_matrix, op7_exact_dedup, op8_pii, op9_quality, op10_decontaminate, op11_sentence_pieces,
-             op13_conversation_repair)
+             op12_phrase_mining, op13_conversation_repair)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op10_decontaminate": decontaminate.ORACLE,
+            "op12_phrase_mining": phrases.ORACLE}

@@ -195,8 +195,8 @@ class _Block:
         self.texts.append(text)
         self.chars += len(text)
 
-    def full(self) -> bool:
-        return len(self.codes) >= BLOCK_ROWS or self.chars >= BLOCK_CHARS
+    def full(self, most: int) -> bool:
+        return len(self.codes) >= most or self.chars >= BLOCK_CHARS
 
     def summary(self) -> dict:
         """The result of a conversation that is this block."""
@@ -222,7 +222,7 @@ class _Block:
                       "digests": self.digests, "low": self.low, "high": self.high, "n_turns": self.n_turns}
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], with_turns: bool, schema: pa.Schema):
+def _blocks(batches: Iterator[pa.RecordBatch], with_turns: bool, most: int, schema: pa.Schema):
     """Blocks of sorted rows ``conv, gone, turn, role, text``."""
     block, out, size, first = None, [], 0, True
 
@@ -237,13 +237,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], with_turns: bool, schema: pa.Sche
                     size += block.chars
                     first = False
                 block = _Block(conv, True, set())
-            elif block.full():
+            elif block.full(most):
                 out.append(block.row(False, with_turns))
                 size += block.chars
                 block = _Block(conv, False, block.seen)
             if not gone:
                 block.add(turn, role, text)
-            if size > BLOCK_CHARS or len(out) >= BLOCK_ROWS:
+            if size > BLOCK_CHARS or len(out) >= most:
                 yield packed()
                 out, size = [], 0
     if block is not None:
@@ -398,7 +398,7 @@ def _converged(spark: SparkSession, edge: DataFrame, conv: str) -> DataFrame:
 
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-           text_col: str = "text", gone_col: str | None = None, with_turns: bool = False) -> DataFrame:
+           text_col: str = "text", gone_col: str | None = None, with_turns: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per conversation: ``conv_id``, its faults, the cost and letters of the cheapest
     edits, the hash of the repaired text, and with ``with_turns`` the repaired rows of each of its
     blocks (``block, turns``, then one row per block and no figures).
@@ -424,7 +424,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     lists = "turns array<struct<role: string, text: string>>"
     ddl = (f"conv {conv}, whole boolean, {SUMMARY}, roles array<string>, texts array<string>, codes binary, "
            f"places array<int>, digests array<binary>, low long, high long, n_turns long, {lists}")
-    found = land(spark, _map(rows, _blocks, ddl, with_turns).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    found = land(spark, _map(rows, _blocks, ddl, with_turns, block_rows).withColumn("block", F.monotonically_increasing_id()), "blocks")
     edge = found.filter("not whole")
     costs = _converged(spark, edge, conv)
     exits = _map(costs.select("conv", "block", "codes", "costs"), _exits, f"conv {conv}, block long, exits binary")

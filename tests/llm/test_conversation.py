@@ -132,8 +132,7 @@ def test_edits_against_search():
 
 
 @pytest.mark.parametrize("size", [3, 4_096])
-def test_conversations(spark, monkeypatch, size):
-    monkeypatch.setattr(C, "BLOCK_ROWS", size)
+def test_conversations(spark, size):
     rng = random.Random(size)
     rows = [(c, *r) for c in range(60) for r in talk(rng, rng.randrange(1, 12))]
     rows += [(99, *r) for r in talk(rng, 400)] + [(None, *r) for r in talk(rng, 20)]
@@ -143,21 +142,20 @@ def test_conversations(spark, monkeypatch, size):
     df = frame(spark, rows)
     spark.conf.set("spark.sql.shuffle.partitions", "6")
     try:
-        assert figures(C.repair(df)) == {c: w[0] for c, w in want.items()}
+        assert figures(C.repair(df, block_rows=size)) == {c: w[0] for c, w in want.items()}
         turns = {}
-        for r in sorted(C.repair(df, with_turns=True).collect(), key=lambda r: r.block):
+        for r in sorted(C.repair(df, with_turns=True, block_rows=size).collect(), key=lambda r: r.block):
             turns.setdefault(r.conv_id, []).extend((t.role, t.text) for t in r.turns)
         assert turns == {c: w[1] for c, w in want.items()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def test_one_conversation_over_many_tasks(spark, monkeypatch):
+def test_one_conversation_over_many_tasks(spark):
     """A conversation in many blocks, with long stretches in which nothing converges at once."""
-    monkeypatch.setattr(C, "BLOCK_ROWS", 16)
     rows = [(1, i, "tool", f"{i}.") for i in range(300)] + [(1, 300 + i, "user", "same.") for i in range(300)]
     rows += [(1, 600 + i, "assistant", f"{i % 7}") for i in range(200)] + [(2, i, "user", "") for i in range(100)]
-    got = figures(C.repair(frame(spark, rows, 9)))
+    got = figures(C.repair(frame(spark, rows, 9), block_rows=16))
     assert got == {c: brute([r[1:] for r in rows if r[0] == c])[0] for c in (1, 2)}
 
 
