@@ -44,10 +44,10 @@ SLOTS, BITS = 1 << 22, 1 << 24
 SHARES = (0.125, 0.5, 1.0)
 
 #: Bytes of text that a numpy pass works on.
-PASS = 2 << 20
+PASS = 1 << 20
 
 #: Words of a row of runs, and words that grow at a time.
-ROW, RUN = 1_024, 1 << 19
+ROW, RUN = 1_024, 1 << 18
 
 #: Parts in which the best phrases of a language are ranked before they are ranked together.
 PARTS = 32
