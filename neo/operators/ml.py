@@ -6,14 +6,14 @@ scoring is ``model.transform`` over whole partitions, never one row per call.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import (
+    MultilayerPerceptronClassificationModel,
+    MultilayerPerceptronClassifier,
+    RandomForestClassifier,
+)
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,10 @@ from neo import constants as K
 from neo import schemas as S
 from neo.functions.risk import risk_ladder
 from neo.functions.vector import distance3, norm3
-from neo.operators import quantiles as Q
+from neo.operators import ranks as R
 from neo.operators.collision import model_fallback_probability_col
+from neo.session import scratch_path
+from neo.sources.tables import remove
 
 MODEL_INPUTS = ("orbital_eccentricity", "inclination_deg", "albedo", "rotation_period_h", "surface_temp_k")
 
@@ -109,78 +111,22 @@ def split_digest(key_col: str, seed: str = K.SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.col(key_col).cast("string"), F.lit(seed)))
 
 
-def split_key(key_col: str, seed: str = K.SPLIT_SEED) -> Column:
-    """A number in [0, 1) from the first 13 hex digits of :func:`split_digest` (exact in a
-    double).  Rows in its order are in the order of the whole digest, but for equal numbers."""
-    h = split_digest(key_col, seed)
-    return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
-
-
 def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
                      fractions=K.SPLIT_FRACTIONS, seed: str = K.SPLIT_SEED) -> DataFrame:
     """M4: exact, repeatable stratified split.
 
     Within each label, rows are ranked by (whole md5, ``key``); rank < floor(f1 n)
-    is ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The
-    cut values are exact order statistics (histogram narrowing, seeded by
-    approximate brackets) of the digests' leading digits, so no label's rows are ever
-    sorted in one task.  Only rows whose leading digits equal a cut value, the few that
-    share 52 bits with it, are ordered by the whole digest.  Only the label and the number
-    are persisted; the returned plan computes the split from the rows as they are read."""
-    keyed = df.select(label, key, split_key(key, seed).alias("__k")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        f1, f2 = fractions[0], fractions[0] + fractions[1]
-        m = 3.0 / Q.APPROX_ACCURACY
-        probs = sorted({round(min(1.0, max(0.0, f + d)), 6) for f in (f1, f2) for d in (-m, m)})
-        stats = Q.group_stats(keyed, "__k", [label], probs=probs)
-        ranks, cuts, brackets = {}, {}, {}
-        for grp, (n, _lo, _hi, approx, *_inf) in stats.items():
-            c1, c2 = math.floor(f1 * n), math.floor(f2 * n)
-            cuts[grp] = (c1, c2)
-            ranks[grp] = [c - 1 for c in (c1, c2) if c >= 1]
-            for f, c in ((f1, c1), (f2, c2)):
-                lo_p, hi_p = (round(min(1.0, max(0.0, f + d)), 6) for d in (-m, m))
-                brackets[(grp, c - 1)] = (approx[lo_p], approx[hi_p])
-        got = Q.order_statistics(keyed, "__k", ranks, [label], stats=stats, brackets=brackets)
-        # tie check at every cut value: rows below and equal, in one aggregate
-        cut_vals = {(grp, c): got[(grp, c - 1)] for grp, cs in cuts.items() for c in cs if c >= 1}
-        counts = {}
-        if cut_vals:
-            aggs = []
-            for i, ((grp, _c), t) in enumerate(cut_vals.items()):
-                in_grp = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
-                aggs += [F.count_if(in_grp & (F.col("__k") < F.lit(t))).alias(f"lt{i}"),
-                         F.count_if(in_grp & (F.col("__k") == F.lit(t))).alias(f"eq{i}")]
-            row = keyed.agg(*aggs).first()
-            counts = {gc: (row[f"lt{i}"], row[f"eq{i}"]) for i, gc in enumerate(cut_vals)}
-
-        def boundary(grp, c):
-            """Predicate 'rank < c' within the group."""
-            if c < 1:
-                return F.lit(False)
-            t = cut_vals[(grp, c)]
-            lt, eq = counts[(grp, c)]
-            if eq <= 1 or lt + eq == c:
-                return F.col("__k") <= F.lit(t)
-            # the cut falls inside a run of equal leading digits: order it by the whole digest
-            in_grp = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
-            whole = F.struct(split_digest(key, seed).alias("d"), F.col(key).alias("k"))
-            last = (keyed.where(in_grp & (F.col("__k") == F.lit(t))).select(whole.alias("w"))
-                    .orderBy("w").limit(c - lt).agg(F.max("w")).first()[0])
-            within = (split_digest(key, seed) < F.lit(last["d"])) | (
-                (split_digest(key, seed) == F.lit(last["d"])) & (F.col(key) <= F.lit(last["k"])))
-            return (F.col("__k") < F.lit(t)) | ((F.col("__k") == F.lit(t)) & within)
-
-        split = None
-        for grp, (c1, c2) in cuts.items():
-            is_g = F.col(label) == F.lit(grp[0]) if grp[0] is not None else F.col(label).isNull()
-            part = F.when(boundary(grp, c1), "train").when(boundary(grp, c2), "validation").otherwise("test")
-            split = F.when(is_g, part) if split is None else split.when(is_g, part)
-        if split is None:
-            return df.withColumn("split", F.lit(None).cast("string"))
-        return df.withColumn("__k", split_key(key, seed)).withColumn("split", split).drop("__k")
-    finally:
-        keyed.unpersist()
+    is ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The last row of a
+    part is an order statistic of each label (:mod:`neo.operators.ranks`): any number of labels is one
+    plan, no label is sorted in one task, and nothing comes to the driver.  The rows are read once
+    more against the table of cuts, one row a label."""
+    own = F.struct(split_digest(key, seed).alias("d"), F.col(key).alias("k"))
+    f1, f2 = fractions[0], fractions[0] + fractions[1]
+    at = {name: F.floor(F.lit(f) * F.col("n")) - 1 for name, f in (("_train", f1), ("_validation", f2))}
+    cuts = R.order_values(df, own, at, [label]).select(F.col(label).alias("_of"), *at)
+    joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_of")), "left")
+    split = F.when(own <= F.col("_train"), "train").when(own <= F.col("_validation"), "validation").otherwise("test")
+    return joined.select(*[df[c] for c in df.columns], split.alias("split"))
 
 
 def fit_scaler(train: DataFrame, cols=S.TRAINING_FEATURES, out: str = "scaled"):
@@ -192,37 +138,69 @@ def fit_scaler(train: DataFrame, cols=S.TRAINING_FEATURES, out: str = "scaled"):
     return pipe.fit(train)
 
 
+def probability_of_one(df: DataFrame, col: str = "probability") -> Column:
+    """Probability of class 1 as a double; a model's probability vector or a plain column."""
+    return vector_to_array(F.col(col))[1] if df.schema[col].dataType.typeName() == "vectorudt" else F.col(col).cast("double")
+
+
+def log_loss(pred: DataFrame, label: str = "label") -> float:
+    """Mean binary cross-entropy of scored rows."""
+    p = F.least(F.greatest(probability_of_one(pred), F.lit(1e-12)), F.lit(1 - 1e-12))
+    return pred.agg(F.avg(-F.log(F.when(F.col(label) == 1, p).otherwise(1 - p)))).first()[0]
+
+
 def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols=S.TRAINING_FEATURES,
-                     label: str = "label", layers=(10, 64, 32, 16, 2), iterations=(100, 200),
-                     algorithm: str = "mlp", seed: int = 42) -> PipelineModel:
+                     label: str = "label", layers=(10, 64, 32, 16, 2), iterations: int = 300, step: int = 20,
+                     patience: int = 3, algorithm: str = "mlp", seed: int = 42) -> PipelineModel:
     """M6: assembler + scaler (fitted on train) + classifier as one pipeline.
 
     ``mlp`` is a 10-64-32-16-2 perceptron (the reference's network shape; Spark ML
-    has no batch-norm or dropout); candidate iteration budgets are compared on
-    the validation rows by ROC-AUC and the best model is kept (early stopping).
+    has no batch-norm or dropout).  One run is trained in slices of ``step`` iterations, each starting
+    from the weights of the one before.  After a slice the loss on the validation rows is measured; after
+    ``patience`` slices without a better one the run ends, and the best slice's weights are the
+    model.  The scaled rows are written once and read by every slice.
+
     ``algorithm="rf"`` trains a random forest instead.  Rows with a missing feature are not
     learned from; the model scores them as NaN, which :func:`score` replaces."""
     train = train.dropna(subset=list(cols))
-    validation = validation.dropna(subset=list(cols)) if validation is not None else None
     stages = [VectorAssembler(inputCols=list(cols), outputCol="__raw", handleInvalid="keep"),
               StandardScaler(inputCol="__raw", outputCol="features_scaled", withMean=True, withStd=True)]
     if algorithm == "rf":
         clf = RandomForestClassifier(featuresCol="features_scaled", labelCol=label, numTrees=50, seed=seed)
         return Pipeline(stages=stages + [clf]).fit(train)
-    layers = list(layers)
-    layers[0] = len(cols)
-    best, best_auc = None, -1.0
-    for it in iterations:
-        clf = MultilayerPerceptronClassifier(featuresCol="features_scaled", labelCol=label, layers=layers,
-                                             maxIter=int(it), blockSize=128, seed=seed)
-        model = Pipeline(stages=stages + [clf]).fit(train)
-        if validation is None:
-            return model
-        auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                            metricName="areaUnderROC").evaluate(model.transform(validation))
-        if auc > best_auc:
-            best, best_auc = model, auc
-    return best
+    spark = train.sparkSession
+    prepared = Pipeline(stages=stages).fit(train)
+    path = scratch_path(spark, "training")
+
+    def landed(df: DataFrame, name: str) -> DataFrame:
+        prepared.transform(df).select(label, "features_scaled").write.parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    try:
+        rows = landed(train, "train")
+        held = landed(validation.dropna(subset=list(cols)), "validation") if validation is not None else None
+        best, least, waited, weights = None, float("inf"), 0, None
+        for done in range(0, iterations, step):
+            clf = MultilayerPerceptronClassifier(
+                featuresCol="features_scaled", labelCol=label, layers=[len(cols), *layers[1:]],
+                maxIter=min(step, iterations - done), blockSize=128, seed=seed)
+            if weights is not None:
+                clf = clf.setInitialWeights(weights)
+            model = clf.fit(rows)
+            weights = model.weights
+            if held is None:
+                best = model
+                continue
+            loss = log_loss(model.transform(held), label)
+            if best is None or loss < least:
+                best, least, waited = model, loss, 0
+            else:
+                waited += 1
+                if waited >= patience:
+                    break
+        return PipelineModel(stages=[*prepared.stages, best])
+    finally:
+        remove(spark, path)
 
 
 def per_class_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -249,24 +227,44 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
                     F.avg((F.col(prediction).cast("int") == F.col(label).cast("int")).cast("double")).alias("accuracy"))
 
 
+def roc_auc(pred: DataFrame, score: str = "probability", label: str = "label") -> DataFrame:
+    """M7 (ROC-AUC): the exact share of (positive, negative) pairs that the score puts in order, ties as
+    half: ``auc``, one row; null without both classes.  Rows without a score are left out.
+
+    The ranks are running totals over the distinct scores (:mod:`neo.operators.ranks`): no task sorts them
+    all, and no threshold is left out as in a binned curve."""
+    rows = pred.select(probability_of_one(pred, score).alias("p"), F.col(label).alias("y"))
+    totals = R.running_totals(rows, "p", {"pos": (F.col("y") == 1).cast("long"), "neg": (F.col("y") == 0).cast("long")})
+    pos, neg, before = (F.col(c).cast("decimal(19, 0)") for c in ("pos", "neg", "neg_before"))
+    ordered = F.sum((2 * pos * before + pos * neg).cast("decimal(38, 0)")).cast("double")
+    return totals.agg(F.try_divide(ordered, 2.0 * F.max("pos_all") * F.max("neg_all")).alias("auc"))
+
+
 def evaluate(pred: DataFrame, label: str = "label") -> dict:
     """M7: accuracy, ROC-AUC and the per-class table."""
-    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="probability",
-                                        metricName="areaUnderROC").evaluate(pred)
-    acc = accuracy(pred, label).first()["accuracy"]
-    return {"accuracy": acc, "auc": auc, "per_class": per_class_metrics(pred, label)}
+    return {"accuracy": accuracy(pred, label).first()["accuracy"], "auc": roc_auc(pred, label=label).first()["auc"],
+            "per_class": per_class_metrics(pred, label)}
 
 
-def score(df: DataFrame, model: PipelineModel | None, factor_col: str | None = None) -> DataFrame:
+def score(df: DataFrame, model: PipelineModel | MultilayerPerceptronClassificationModel | None, factor_col: str | None = None) -> DataFrame:
     """M8: ``ml_probability`` (probability of class 1) and ``ml_risk_level`` (model
     ladder) per record; without a model, or where the model gives no
-    probability (a missing feature), the fallback formula F28 is used."""
+    probability (a missing feature), the fallback formula F28 is used.  ``model`` is a pipeline with its
+    scaler, or a bare classifier: without a scaler every record is standardised by itself (F32)."""
     speed = norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz")) \
         if "velocity" in df.columns else F.col("velocity_km_s")
     size = F.col("size") if "size" in df.columns else F.col("diameter_km")
     fallback = model_fallback_probability_col(size, speed, F.col(factor_col) if factor_col else None)
     if model is None:
         out = df.withColumn("ml_probability", fallback)
+    elif not isinstance(model, PipelineModel):  # a network saved without its scaler: F32
+        features = F.array(*[F.col(c).cast("double") for c in S.TRAINING_FEATURES])
+        complete = ~F.exists(F.col("__features"), lambda x: x.isNull() | F.isnan(x))
+        rows = row_zscore(df.withColumn("__features", features), "__features", "__z")
+        some = F.when(complete, F.col("__z")).otherwise(F.array(*[F.lit(0.0)] * len(S.TRAINING_FEATURES)))
+        scored = model.transform(rows.withColumn(model.getFeaturesCol(), array_to_vector(some)))
+        p = F.when(complete, vector_to_array(F.col("probability"))[1])
+        out = scored.select(*df.columns, F.coalesce(p, fallback).alias("ml_probability"))
     else:
         for stage in model.stages:
             if isinstance(stage, VectorAssembler):  # a missing feature must not end the job

@@ -85,8 +85,8 @@ def planet_state_cols(t_seconds: Column, distance_au, period_days) -> dict[str,
             "vx": -speed * F.sin(angle), "vy": speed * F.cos(angle), "vz": F.lit(0.0)}
 
 
-def planet_positions(times: DataFrame, time_col: str = "timestamp", planets: DataFrame | None = None) -> DataFrame:
-    """F30 as an operator: every row of ``times`` gets the state of each planet.
+def planet_positions(times: DataFrame, time_col: str = "timestamp", planets: DataFrame | None = None, keep=()) -> DataFrame:
+    """F30 as an operator: every row of ``times`` gets the state of each planet; columns in ``keep`` stay.
 
     The planet dimension is a fixed six-row literal exploded per time row (no
     join); pass ``planets`` (planet, distance_au, period_days, mass) to use
@@ -99,15 +99,15 @@ def planet_positions(times: DataFrame, time_col: str = "timestamp", planets: Dat
         dim = F.array(*[F.struct(F.lit(n).alias("planet"), F.lit(d).alias("distance_au"),
                                  F.lit(p).alias("period_days"), F.lit(m).alias("mass"))
                         for n, d, p, m in K.PLANETS])
-        rows = times.select(ts.alias("__t"), F.explode(dim).alias("p")).select("__t", "p.*")
+        rows = times.select(*keep, ts.alias("__t"), F.explode(dim).alias("p")).select(*keep, "__t", "p.*")
     else:
         row = F.struct("planet", F.col("distance_au").cast("double").alias("distance_au"),
                        F.col("period_days").cast("double").alias("period_days"), F.col("mass").cast("double").alias("mass"))
         dim = planets.agg(F.collect_list(row)).scalar()
-        rows = times.select(ts.alias("__t"), F.explode(dim).alias("p")).select("__t", "p.*")
+        rows = times.select(*keep, ts.alias("__t"), F.explode(dim).alias("p")).select(*keep, "__t", "p.*")
     st = planet_state_cols(epoch_seconds(F.col("__t")).cast("double"), F.col("distance_au"), F.col("period_days"))
     return rows.select(
-        "planet", F.col("__t").alias("timestamp"),
+        *keep, "planet", F.col("__t").alias("timestamp"),
         F.struct(st["x"].alias("x"), st["y"].alias("y"), st["z"].alias("z")).alias("position"),
         F.struct(st["vx"].alias("vx"), st["vy"].alias("vy"), st["vz"].alias("vz")).alias("velocity"),
         "mass", F.col("period_days").cast("double").alias("orbital_period"))

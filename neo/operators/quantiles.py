@@ -1,15 +1,13 @@
-"""Exact order statistics and quantiles without sorting or gathering a group.
-
-``percentile``/``percentile_cont`` keep every distinct value of a group in one
-task's buffer, and a window ``row_number`` puts a whole group into one task:
-neither survives a group holding a third of 100 TB.  Here the k-th smallest
-value is found by *histogram narrowing*: each round is one aggregation pass
-(``groupBy(bucket).agg(count, min, max)`` with map-side combine) over the
-candidate interval, the driver picks the bucket holding rank k (a few thousand
-small rows), and the interval shrinks to that bucket's [min, max].  A round
-never moves rows, only bucket counts; a few rounds suffice (each cuts the
-interval by about the bucket count), and it ends exactly when the interval
-holds a single value.
+"""Exact order statistics and quantiles of one column without moving its rows.
+
+Nothing is sorted or shuffled by value: the k-th smallest value is found by *histogram
+narrowing*.  Each round is one aggregation pass (``groupBy(bucket).agg(count, min, max)`` with
+map-side combine) over the candidate interval, the driver picks the bucket that holds rank k
+(at most ``BUCKETS`` small rows a rank), and the interval shrinks to that bucket's [min, max].  A
+few rounds suffice; the search ends exactly when the interval holds one value.
+
+This is for a whole column and a handful of ranks, compared as doubles.  For groups, and for whole
+numbers, texts or structs, see :mod:`neo.operators.ranks`.
 
 Interpolated quantiles use the rule of DuckDB's ``quantile_cont`` and numpy's
 default: h = (n - 1) p, q = v[floor h] + (v[ceil h] - v[floor h]) (h - floor h).
@@ -18,7 +16,8 @@ default: h = (n - 1) p, q = v[floor h] + (v[ceil h] - v[floor h]) (h - floor h).
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -28,173 +27,126 @@ BUCKETS = 4096
 APPROX_ACCURACY = 10_000
 
 
-def _group_cond(by, key) -> object:
-    if not by:
-        return F.lit(True)
-    return reduce(lambda a, b: a & b, [
-        (F.col(c).isNull() if v is None else (F.col(c) == F.lit(v))) for c, v in zip(by, key)])
+class Stats(NamedTuple):
+    """Values that are neither null nor NaN: how many, the finite extremes, the infinite ones, and
+    approximate percentiles as first brackets."""
+
+    n: int
+    lo: float | None
+    hi: float | None
+    approx: dict
+    neg: int
+    pos: int
+
+
+def _values(df: DataFrame, value: str) -> DataFrame:
+    return df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def group_stats(df: DataFrame, value: str, by=(), probs=(), accuracy: int = APPROX_ACCURACY) -> dict:
-    """Per group (a bounded number of groups): count of non-null, non-NaN values,
-    min / max of the finite ones, counts of -inf and +inf; with ``probs``, also
-    approximate percentiles (``percentile_approx``, bounded sketches) used as
-    first brackets for the exact search.  ``{key: (n, lo, hi, approx, neg, pos)}``."""
-    v = F.col(value)
+def column_stats(base: DataFrame, probs=()) -> Stats:
+    v = F.col("v")
     finite = F.when(~v.isin(float("inf"), float("-inf")), v)
     aggs = [F.count(F.lit(1)).alias("n"), F.min(finite).alias("lo"), F.max(finite).alias("hi"),
             F.count_if(v == F.lit(float("-inf"))).alias("neg"), F.count_if(v == F.lit(float("inf"))).alias("pos")]
     if probs:
-        aggs.append(F.percentile_approx(v, [float(p) for p in probs], accuracy).alias("approx"))
-    rows = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by).agg(*aggs).collect()
-    out = {}
-    for r in rows:
-        if r["n"] == 0:          # a global aggregate of no rows
-            continue
-        key = tuple(r[c] for c in by)
-        approx = dict(zip(probs, [float(x) for x in r["approx"]])) if probs else {}
-        lo = float(r["lo"]) if r["lo"] is not None else None
-        hi = float(r["hi"]) if r["hi"] is not None else None
-        out[key] = (r["n"], lo, hi, approx, r["neg"], r["pos"])
-    return out
-
-
-def order_statistics(df: DataFrame, value: str, ranks: dict, by=(), stats: dict | None = None,
-                     buckets: int = BUCKETS, persist: bool = True, brackets: dict | None = None) -> dict:
-    """Exact k-th smallest values (0-based ``k``) of ``value`` per group.
-
-    ``ranks`` maps a group key tuple (``()`` without ``by``) to an iterable of
-    ranks.  Returns ``{(key, k): value}``.  Nulls and NaN are ignored.
-    ``brackets`` ``{(key, k): (lo, hi)}`` are optional first guesses (for example
-    approximate percentiles); each is verified in the first round and replaced
-    by the group's full range if it does not hold the rank.
-    """
-    by = list(by)
-    v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if stats is None:
-            stats = group_stats(base, "__v", by)
-        brackets = brackets or {}
-        # target: [key, k, lo, hi, below]; below None = not known yet (bracket guess)
-        targets, result = [], {}
-        for key, ks in ranks.items():
-            if key not in stats:
-                continue
-            n, lo, hi, _approx, neg, pos = stats[key]
-            for k in sorted(set(int(x) for x in ks)):
-                if not 0 <= k < n:
-                    raise ValueError(f"rank {k} outside 0..{n - 1} for group {key}")
-                if k < neg:                      # ranks on infinities need no search
-                    result[(key, k)] = float("-inf")
-                elif k >= n - pos:
-                    result[(key, k)] = float("inf")
-                elif lo == hi:
-                    result[(key, k)] = lo
-                elif (key, k) in brackets:
-                    blo, bhi = brackets[(key, k)]
-                    targets.append([key, k, max(lo, blo), min(hi, bhi), None])
-                else:
-                    targets.append([key, k, lo, hi, neg])
-        # lo and hi of an interval always fall into different buckets, so each round is at
-        # most one bucket wide: the search ends
-        while targets:
-            # one pass for every open target: tag each row with (target, bucket);
-            # bucket -1 counts the rows below a guessed bracket
-            tags = []
-            for i, (key, _k, lo, hi, below) in enumerate(targets):
-                grp = _group_cond(by, key)
-                inside = grp & (F.col("__v") >= F.lit(lo)) & (F.col("__v") <= F.lit(hi))
-                width = hi - lo
-                bucket = (F.least(F.floor((F.col("__v") - F.lit(lo)) / F.lit(width) * F.lit(float(buckets))),
-                                  F.lit(buckets - 1)).cast("long") if width > 0 else F.lit(0).cast("long"))
-                tag = F.when(inside, F.lit(i * (buckets + 1) + 1) + bucket)
-                if below is None:
-                    tag = tag.when(grp & (F.col("__v") < F.lit(lo)), F.lit(i * (buckets + 1)))
-                tags.append(tag)
-            tagged = base.select(F.col("__v"), F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
-            hist = tagged.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("lo"),
-                                          F.max("__v").alias("hi")).collect()
-            per_target: dict[int, list] = {}
-            for r in hist:
-                per_target.setdefault(r["t"] // (buckets + 1), []).append(
-                    (r["t"] % (buckets + 1) - 1, r["c"], r["lo"], r["hi"]))
-            still = []
-            for i, (key, k, lo, hi, below) in enumerate(targets):
-                cells = sorted(per_target.get(i, []))
-                if below is None:
-                    below = sum(c for b, c, _l, _h in cells if b < 0)
-                    cells = [x for x in cells if x[0] >= 0]
-                    if not below <= k < below + sum(c for _b, c, _l, _h in cells):
-                        _n, glo, ghi, _a, gneg, _p = stats[key]
-                        still.append([key, k, glo, ghi, gneg])   # bracket missed: full finite range
-                        continue
-                want = k - below
-                seen = 0
-                for _bucket, c, blo, bhi in cells:
-                    if seen + c > want:
-                        if blo == bhi or c == 1:
-                            result[(key, k)] = float(blo)
-                        else:
-                            still.append([key, k, float(blo), float(bhi), below + seen])
-                        break
-                    seen += c
-                else:
-                    raise RuntimeError("rank not found in histogram")
-            targets = still
-        return result
-    finally:
-        if persist:
-            base.unpersist()
+        aggs.append(F.percentile_approx(v, [float(p) for p in probs], APPROX_ACCURACY).alias("approx"))
+    r = base.agg(*aggs).first()
+    approx = dict(zip(probs, r["approx"])) if probs and r["n"] else {}
+    return Stats(r["n"], r["lo"], r["hi"], approx, r["neg"], r["pos"])
+
 
+def order_statistics(df: DataFrame, value: str, ranks: Iterable[int], brackets: dict | None = None,
+                     buckets: int = BUCKETS) -> dict[int, float]:
+    """Exact k-th smallest values (0-based ``k``) of ``value``; nulls and NaN are ignored.
 
-def quantiles(df: DataFrame, value: str, probs, by=(), persist: bool = True) -> dict:
-    """Exact linearly interpolated quantiles per group: ``{key: [q for p in probs]}``.
-    Groups without values are absent.  One pass for counts and approximate
+    ``brackets`` ``{k: (lo, hi)}`` are optional first guesses; each is verified in the first round
+    and replaced by the full range if it does not hold the rank."""
+    base = _values(df, value).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _search(base, column_stats(base), ranks, brackets or {}, buckets)
+    finally:
+        base.unpersist()
+
+
+def _search(base: DataFrame, stats: Stats, ranks: Iterable[int], brackets: dict, buckets: int = BUCKETS) -> dict[int, float]:
+    targets, result = [], {}  # target: [k, lo, hi, below]; below None = a guess, not known yet
+    for k in sorted({int(x) for x in ranks}):
+        if not 0 <= k < stats.n:
+            raise ValueError(f"rank {k} outside 0..{stats.n - 1}")
+        if k < stats.neg:                      # ranks on infinities need no search
+            result[k] = float("-inf")
+        elif k >= stats.n - stats.pos:
+            result[k] = float("inf")
+        elif stats.lo == stats.hi:
+            result[k] = stats.lo
+        elif k in brackets:
+            targets.append([k, max(stats.lo, brackets[k][0]), min(stats.hi, brackets[k][1]), None])
+        else:
+            targets.append([k, stats.lo, stats.hi, stats.neg])
+    v = F.col("v")
+    # lo and hi of an interval always fall into different buckets, so each round is at
+    # most one bucket wide: the search ends
+    while targets:
+        tags = []  # one pass for every open rank; bucket -1 counts the rows below a guessed bracket
+        for i, (_k, lo, hi, below) in enumerate(targets):
+            width = hi - lo
+            bucket = (F.least(F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(float(buckets))), F.lit(buckets - 1)).cast("long")
+                      if width > 0 else F.lit(0).cast("long"))
+            tag = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.lit(i * (buckets + 1) + 1) + bucket)
+            if below is None:
+                tag = tag.when(v < F.lit(lo), F.lit(i * (buckets + 1)))
+            tags.append(tag)
+        tagged = base.select("v", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())).alias("t"))
+        cells: dict[int, list] = {}
+        for r in tagged.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            cells.setdefault(r["t"] // (buckets + 1), []).append((r["t"] % (buckets + 1) - 1, r["c"], r["lo"], r["hi"]))
+        still = []
+        for i, (k, lo, hi, below) in enumerate(targets):
+            mine = sorted(cells.get(i, []))
+            if below is None:
+                below = sum(c for b, c, _l, _h in mine if b < 0)
+                mine = [x for x in mine if x[0] >= 0]
+                if not below <= k < below + sum(c for _b, c, _l, _h in mine):
+                    still.append([k, stats.lo, stats.hi, stats.neg])   # bracket missed: full finite range
+                    continue
+            for _bucket, c, blo, bhi in mine:
+                if below + c > k:
+                    if blo == bhi or c == 1:
+                        result[k] = blo
+                    else:
+                        still.append([k, blo, bhi, below])
+                    break
+                below += c
+            else:
+                raise RuntimeError("rank not found in histogram")
+        targets = still
+    return result
+
+
+def quantiles(df: DataFrame, value: str, probs) -> list[float] | None:
+    """Exact linearly interpolated quantiles; None without values.  One pass for counts and approximate
     brackets, then usually one histogram pass."""
-    by = list(by)
-    v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("__q")).where(F.col("__q").isNotNull() & ~F.isnan("__q"))
-    if persist:
-        base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    probs = [float(p) for p in probs]
+    margin = 3.0 / APPROX_ACCURACY
+    ends = {p: tuple(min(1.0, max(0.0, round(p + d, 6))) for d in (-margin, margin)) for p in probs}
+    base = _values(df, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        margin = 3.0 / APPROX_ACCURACY
-        ask = sorted({min(1.0, max(0.0, round(float(p) + d, 6))) for p in probs for d in (-margin, margin)})
-        stats = group_stats(base, "__q", by, probs=ask)
-        ranks, plan, brackets = {}, {}, {}
-        for key, (n, _lo, _hi, approx, _neg, _pos) in stats.items():
-            ks, pos = set(), []
-            for p in probs:
-                h = (n - 1) * float(p)
-                f, c = math.floor(h), math.ceil(h)
-                ks.update((f, c))
-                pos.append((h, f, c))
-                lo_p = min(1.0, max(0.0, round(float(p) - margin, 6)))
-                hi_p = min(1.0, max(0.0, round(float(p) + margin, 6)))
-                for k in (f, c):
-                    brackets[(key, k)] = (approx[lo_p], approx[hi_p])
-            ranks[key], plan[key] = ks, pos
-        got = order_statistics(base, "__q", ranks, by, stats=stats, persist=False, brackets=brackets)
-        out = {}
-        for key, pos in plan.items():
-            qs = []
-            for h, f, c in pos:
-                lo = got[(key, f)]
-                if c == f:
-                    qs.append(lo)
-                else:
-                    hi = got[(key, c)]
-                    qs.append(lo + (hi - lo) * (h - f))
-            out[key] = qs
+        stats = column_stats(base, sorted({e for pair in ends.values() for e in pair}))
+        if not stats.n:
+            return None
+        places = [((stats.n - 1) * p, p) for p in probs]
+        brackets = {k: tuple(stats.approx[e] for e in ends[p]) for h, p in places for k in (math.floor(h), math.ceil(h))}
+        got = _search(base, stats, brackets, brackets)
+        out = []
+        for h, _p in places:
+            lo, hi = got[math.floor(h)], got[math.ceil(h)]
+            out.append(lo if lo == hi else lo + (hi - lo) * (h - math.floor(h)))
         return out
     finally:
-        if persist:
-            base.unpersist()
+        base.unpersist()
 
 
 def quantile(df: DataFrame, value: str, p: float) -> float | None:
     """One exact interpolated quantile of the whole column (None when empty)."""
     got = quantiles(df, value, [p])
-    return got[()][0] if () in got else None
+    return got[0] if got else None

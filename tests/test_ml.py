@@ -1,7 +1,5 @@
 """Feature vector, scaling, split, training, evaluation, scoring, persistence."""
 
-import hashlib
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,7 +50,7 @@ def test_stratified_split_exact_shares(spark):
 
 def test_train_evaluate_save_load(spark, tmp_dir):
     out = P.train(DM.training_rows(DM.table(spark, SF_MED, "events")), model_path=f"{tmp_dir}/model",
-                  iterations=(60,))
+                  iterations=60)
     assert 0.0 <= out["accuracy"] <= 1.0 and out["auc"] > 0.8
     table = {r["class"]: r for r in out["per_class"].collect()}
     assert set(table) == {0, 1} and all(0 <= r["f1"] <= 1 for r in table.values())
@@ -69,7 +67,7 @@ def test_score_fallback_and_model(spark):
     fb = M.score(ast, None).select("ml_probability", "ml_risk_level").collect()
     assert all(0 <= r[0] <= 1 for r in fb)
     split = M.stratified_split(A.percentile_label(M.training_risk(DM.training_rows(ev)), "collision_risk"))
-    model = M.train_classifier(split.where("split = 'train'"), None, iterations=(20,))
+    model = M.train_classifier(split.where("split = 'train'"), None, iterations=20)
     scored = M.score(M.model_features(DM.with_model_inputs(ast)), model)
     assert scored.where("ml_probability IS NULL").count() == 0 and scored.count() == ast.count()
 
@@ -81,16 +79,54 @@ def test_per_class_metrics(spark):
     assert t[0]["support"] == 3 and t[0]["precision"] == pytest.approx(2 / 3)
 
 
-def test_split_resolves_ties_on_the_md5_key(spark, monkeypatch):
-    # force collisions: every row of a label gets one of three key values
-    def coarse_key(key_col, seed="42"):
-        return (F.col(key_col) % 3).cast("double")
-    monkeypatch.setattr(M, "split_key", coarse_key)
+def test_split_resolves_ties_on_the_key(spark, monkeypatch):
+    # force collisions: every row of a label gets one of three digests
+    monkeypatch.setattr(M, "split_digest", lambda key_col, seed="42": (F.col(key_col) % 3).cast("string"))
     df = spark.createDataFrame([(i, i % 2) for i in range(101)], "event_id long, label int")
     out = M.stratified_split(df).collect()
     for label in (0, 1):
-        digest = (lambda i: hashlib.md5(f"{i}{M.K.SPLIT_SEED}".encode()).hexdigest())
-        rows = sorted((r["event_id"] % 3, digest(r["event_id"]), r["split"]) for r in out if r["label"] == label)
+        rows = sorted((r["event_id"] % 3, r["event_id"], r["split"]) for r in out if r["label"] == label)
         n = len(rows)
         want = ["train" if i < int(0.6 * n) else "validation" if i < int(0.8 * n) else "test" for i in range(n)]
         assert [r[2] for r in rows] == want
+
+
+def _rows(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 2))
+    y = (x[:, 0] + 0.8 * rng.normal(size=n) > 0).astype(int)
+    return spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, y)], "a double, b double, label int")
+
+
+def test_training_is_one_run_that_stops_early(spark, monkeypatch):
+    starts, losses = [], []
+    real = M.MultilayerPerceptronClassifier.setInitialWeights
+    monkeypatch.setattr(M.MultilayerPerceptronClassifier, "setInitialWeights", lambda self, w: (starts.append(w), real(self, w))[1])
+    monkeypatch.setattr(M, "log_loss", lambda pred, label="label", own=M.log_loss: (losses.append(own(pred, label)), losses[-1])[1])
+    model = M.train_classifier(_rows(spark, 60, 1), _rows(spark, 200, 2), cols=["a", "b"], layers=(2, 16, 2), iterations=400,
+                               step=10, patience=2)
+    assert len(losses) < 40 and len(starts) == len(losses) - 1  # it ended early, every slice went on from the last
+    assert losses.index(min(losses)) == len(losses) - 3
+    kept = M.log_loss(model.transform(_rows(spark, 200, 2)))
+    assert kept == pytest.approx(min(losses))
+
+
+def test_score_without_a_scaler(spark):
+    ev = DM.table(spark, SF_SMALL, "events")
+    split = M.stratified_split(A.percentile_label(M.training_risk(DM.training_rows(ev)), "collision_risk"))
+    network = M.train_classifier(split.where("split = 'train'"), None, iterations=10).stages[-1]
+    df = M.model_features(DM.with_model_inputs(DM.asteroids(ev)))
+    df = df.withColumn("albedo", F.when(F.col("event_id") % 5 > 0, F.col("albedo")))
+    got = {r.event_id: r.ml_probability for r in M.score(df, network).collect()}
+    plain = {r.event_id: r.ml_probability for r in M.score(df, None).collect()}
+    assert all(got[i] == plain[i] for i in got if i % 5 == 0)
+    first = df.where("event_id = 1").first()
+    x = np.array([first[c] for c in S.TRAINING_FEATURES])
+    layer, at = (x - x.mean()) / (x.std() + 1e-8), 0
+    weights, sizes = network.weights.toArray(), network.getLayers()
+    for a, b in zip(sizes, sizes[1:]):
+        w, bias = weights[at:at + a * b].reshape((b, a), order="F"), weights[at + a * b:at + a * b + b]
+        at += a * b + b
+        layer = w @ layer + bias
+        layer = np.exp(layer) / np.exp(layer).sum() if b == 2 and at == len(weights) else 1 / (1 + np.exp(-layer))
+    assert got[1] == pytest.approx(layer[1], rel=1e-9)

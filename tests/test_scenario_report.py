@@ -52,7 +52,7 @@ def test_scenarios_through_fallback_report(spark):
 def test_scenarios_through_trained_model(spark):
     ev = DM.table(spark, SF_SMALL, "events")
     split = M.stratified_split(A.percentile_label(M.training_risk(DM.training_rows(ev)), "collision_risk"))
-    model = M.train_classifier(split.where("split = 'train'"), None, iterations=(30,))
+    model = M.train_classifier(split.where("split = 'train'"), None, iterations=30)
     feats = M.model_features(DM.with_model_inputs(scenarios_df(spark).withColumn("event_id", F.monotonically_increasing_id())))
     scored = M.score(feats, model)
     rows = scored.select("ml_probability", "ml_risk_level").collect()

@@ -8,13 +8,11 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from neo import schemas as S
-from neo.operators import windows as W
 from neo.sources import domain as DM
 from neo.sources import messages as MS
 from neo.sources import tables as TB
 from neo.streaming import enrich as SE
 from neo.streaming import landing as SL
-from neo.streaming import live as SV
 from tests.conftest import SF_SMALL
 from tests.fixtures import asteroid_df
 
@@ -108,40 +106,6 @@ def test_enrich_alert_stream(spark, tmp_dir):
     assert got.count() == ev.count() and {r[0] for r in got.select("alert_level").distinct().collect()} == {"MEDIUM"}
 
 
-def test_live_latest_equals_batch_across_batches_and_compaction(spark, tmp_dir):
-    ev, _ = _json_source(spark, tmp_dir)
-    src = spark.readStream.schema("offset long, key string, value string").option("maxFilesPerTrigger", 1) \
-        .json(f"{tmp_dir}/incoming")
-    recs = MS.parse_messages(src, S.ASTEROID_LANDING).select("id", F.col("offset").alias("event_id"), "size")
-    q = SV.live_latest(recs, "id", ["event_id"], f"{tmp_dir}/latest", f"{tmp_dir}/ck3", trigger="availableNow",
-                       compact_every=2)
-    q.awaitTermination()
-    # seven batches: what a snapshot replaces is gone, but for the one before it and the changes since
-    assert SV._ids(spark, f"{tmp_dir}/latest/changes", "batch") == [4, 5, 6]
-    assert SV._ids(spark, f"{tmp_dir}/latest/snapshots", "upto") == [3, 5]
-    live = SV.read_live_latest(spark, f"{tmp_dir}/latest", "id", ["event_id"])
-    batch = W.latest_per_asteroid(DM.asteroids(ev).select("id", "event_id", "size"))
-    assert live.count() == batch.count()
-    assert live.select("id", "event_id", "size").exceptAll(batch.select("id", "event_id", "size")).count() == 0
-
-
-def test_live_read_model_uses_recent_rows(spark, tmp_dir):
-    ev, _ = _json_source(spark, tmp_dir)
-    src = spark.readStream.schema("offset long, key string, value string").option("maxFilesPerTrigger", 3) \
-        .json(f"{tmp_dir}/incoming")
-    recs = MS.parse_messages(src, S.ASTEROID_LANDING).select(
-        "id", F.col("offset").alias("event_id"), "size", "distance_from_earth", "enhanced_collision_probability",
-        "risk_level")
-    q = SV.live_read_model(recs, f"{tmp_dir}/recent", f"{tmp_dir}/model", f"{tmp_dir}/ck5",
-                           trigger="availableNow", n=100)
-    q.awaitTermination()
-    recent = SV.read_recent(spark, f"{tmp_dir}/recent")
-    assert recent.count() == 100
-    top_ids = {r[0] for r in DM.asteroids(ev).orderBy(F.col("event_id").desc()).limit(100).select("event_id").collect()}
-    assert {r[0] for r in recent.select("event_id").collect()} == top_ids
-    assert spark.read.parquet(f"{tmp_dir}/model/panel").first()["total"] == 100
-
-
 def test_json_sink(spark, tmp_dir):
     df = asteroid_df(spark, [{"id": "a", "size": 1.5}])
     TB.write_json(df.select("id", "size"), f"{tmp_dir}/j")
@@ -203,17 +167,6 @@ def test_parse_keeps_partition_and_offset(spark):
     assert (r["key"], r["partition"], r["offset"], r["id"], r["size"]) == ("k", 3, 17, "a", 1.0)
 
 
-def test_live_recent_keeps_last_n(spark, tmp_dir):
-    ev, _ = _json_source(spark, tmp_dir)
-    src = spark.readStream.schema("offset long, key string, value string").option("maxFilesPerTrigger", 2) \
-        .json(f"{tmp_dir}/incoming")
-    q = SV.live_recent(src.select("offset", "key"), 50, ["offset"], f"{tmp_dir}/recent", f"{tmp_dir}/ck7",
-                       trigger="availableNow")
-    q.awaitTermination()
-    got = sorted(r[0] for r in SV.read_recent(spark, f"{tmp_dir}/recent").select("offset").collect())
-    assert got == sorted(r[0] for r in ev.orderBy(F.col("event_id").desc()).limit(50).select("event_id").collect())
-
-
 def test_alert_topic_roundtrip_with_default_topics(spark, tmp_dir):
     from neo.operators import alerts as AL
     ev = DM.table(spark, SF_SMALL, "events")
