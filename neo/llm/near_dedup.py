@@ -16,16 +16,18 @@
    groups of a larger bucket is decided by an exact rule (``candidates``): every pair that can
    reach the threshold shares one of the rarest shingles of both.
 5. A pair is a link if the exact similarity of its weighted sets reaches the threshold, and
-   groups are the connected components of the links.
+   groups are the connected components of the links.  A turn's links are first mapped to the
+   groups so far, so that each turn joins the groups it has found, not all links again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from neo.llm.common import arrow_schema, chunks, land, mix64, plain_words, row_keys, utf8
@@ -44,6 +46,14 @@ SMALL = 8
 #: orders of the classes.
 HUBS = 8
 
+#: Registers of the sketches that decide whether two sets of a large bucket are compared at all, and
+#: how far, in standard deviations, their share in agreement may lie below the threshold: a pair at the
+#: threshold lies lower with probability 0.000002.
+SKETCH, DEVIATIONS = 512, 4.6
+
+#: Rows of an Arrow batch that holds whole sets or texts.
+PAIR_ROWS, TEXT_ROWS = 256, 2_048
+
 #: Classes of a shingle that one key of the join of candidates holds.
 SPREAD = 256
 
@@ -136,6 +146,35 @@ def band_keys(registers: np.ndarray, rows: tuple[int, ...]) -> np.ndarray:
     return np.concatenate(out, axis=1)
 
 
+def register_bits(registers: np.ndarray) -> np.ndarray:
+    """Seven bits of every register, seven registers to a number: equal registers have equal bits."""
+    with np.errstate(over="ignore"):
+        small = (mix64(registers) >> np.uint64(57)).astype(np.uint8)
+    small = np.pad(small, ((0, 0), (0, -small.shape[1] % 7))).reshape(len(small), -1, 7)
+    return np.ascontiguousarray(np.pad(small, ((0, 0), (0, 0), (0, 1)))).view("<i8")[:, :, 0]
+
+
+def agreeing(left: str, right: str, m: int) -> Column:
+    """How many of ``m`` registers agree, from two columns of ``register_bits``.
+
+    A byte of the exclusive or is 0 to 127; adding 127 sets its top bit unless it is 0."""
+    low, top = F.lit(0x007F7F7F7F7F7F7F), F.lit(0x0080808080808080)
+    differ = F.zip_with(left, right, lambda a, b: F.bit_count((a.bitwiseXOR(b) + low).bitwiseAND(top)))
+    return F.lit(m) - F.aggregate(differ, F.lit(0), lambda total, n: total + n)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows while a table is written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def set_hash(row: np.ndarray, items: np.ndarray, counts: np.ndarray, n_rows: int) -> np.ndarray:
     """Hash of each row's weighted set."""
     out = np.zeros(n_rows, np.uint64)
@@ -221,7 +260,7 @@ def compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``cls, label`` of every class with a link: the smallest class of its component.
+    """``cls, label`` of every class with a link ``(hub, cls)``: the smallest class of its component.
 
     Labels spread along links and are then replaced by their own labels, so a chain of
     classes takes a logarithmic number of rounds."""
@@ -243,6 +282,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def regrouped(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``cls, label`` after links between classes: groups that a link joins get the smaller label."""
+    spark = labels.sparkSession
+    of = labels.select(F.col("cls").alias("of"), "label")
+    ends = (links.join(of.select(F.col("of").alias("hub"), F.col("label").alias("a")), "hub")
+            .join(of.select(F.col("of").alias("cls"), F.col("label").alias("b")), "cls")
+            .filter("a != b").select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("cls")).distinct())
+    new = components(ends).select(F.col("cls").alias("label"), F.col("label").alias("new"))
+    return land(spark, labels.join(new, "label", "left").select("cls", F.coalesce("new", "label").alias("label")), "groups")
+
+
 def _entries(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
     for batch in batches:
         for cls, label, items, w in zip(*(batch.column(c).to_pylist() for c in range(4))):
@@ -252,9 +302,21 @@ def _entries(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
                                               pa.array(w / w.sum())], schema=schema)
 
 
-def candidates(own: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _sketches(batches: Iterator[pa.RecordBatch], m: int, schema: pa.Schema):
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        items, w = (batch.column(i).to_pylist() for i in (1, 2))
+        row = np.repeat(np.arange(len(items)), [len(x) // 8 for x in items])
+        flat, weight = np.frombuffer(b"".join(items), "<u8"), np.frombuffer(b"".join(w), "<f4").astype(float)
+        small = register_bits(prob_min_hash(row, flat, weight, len(items), m))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(items) + 1, dtype=np.int32) * small.shape[1]), pa.array(small.ravel()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], schema=schema)
+
+
+def candidates(own: DataFrame, sets: DataFrame, least: float, m: int = SKETCH) -> DataFrame:
     """The pairs ``(hub, cls)`` of classes with different labels among ``(cls, label)`` that can
-    reach the threshold: no other pair of different labels does.
+    reach the threshold and whose sketches do not rule it out.
 
     Let two sets have the shares P and Q of their weights on common shingles.  Their
     similarity is at most 1 / (1/P + 1/Q - 1).  With all shingles in one order, the weight
@@ -265,8 +327,9 @@ def candidates(own: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     spark = own.sparkSession
     ddl = "cls long, label long, item long, share double"
     schema = arrow_schema(ddl)
-    entries = land(spark, sets.join(own, "cls").select("cls", "label", "items", "weights")
-                   .mapInArrow(lambda it: _entries(it, schema), ddl), "entries")
+    with arrow_rows(spark, PAIR_ROWS):
+        entries = land(spark, sets.join(own, "cls").select("cls", "label", "items", "weights")
+                       .mapInArrow(lambda it: _entries(it, schema), ddl), "entries")
     often = entries.groupBy("item").agg(F.count("*").alias("often"))
     before = Window.partitionBy("cls").orderBy("often", "item").rowsBetween(Window.unboundedPreceding, -1)
     most = 1 - least + 1e-6
@@ -276,15 +339,21 @@ def candidates(own: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     main = (posts.groupBy("item", "label").agg(F.count("*").alias("n")).groupBy("item")
             .agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("labels"))
             .filter("labels > 1").select("item", "main", F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")))
-    posts = posts.join(main, "item")
+    ddl = "cls long, regs array<long>"
+    schema2 = arrow_schema(ddl)
+    with arrow_rows(spark, PAIR_ROWS):
+        regs = land(spark, sets.join(own.select("cls").distinct(), "cls").select("cls", "items", "weights")
+                    .mapInArrow(lambda it: _sketches(it, m, schema2), ddl), "sketches")
+    posts = posts.join(main, "item").join(regs, "cls")
     left = (posts.filter("label != main")
             .select("item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("cls").alias("h"),
-                    F.col("label").alias("of"), F.col("before").alias("u")))
+                    F.col("label").alias("of"), F.col("before").alias("u"), F.col("regs").alias("x")))
     right = posts.select("item", F.pmod(F.xxhash64("cls"), "parts").cast("int").alias("part"), "cls", "label", "main",
-                         F.col("before").alias("v"))
+                         F.col("before").alias("v"), F.col("regs").alias("y"))
     able = 1 / (1 - F.col("u")) + 1 / (1 - F.col("v")) <= 1 + 1 / least + 1e-5
     return (left.join(right, ["item", "part"])
-            .filter((F.col("of") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("h") < F.col("cls"))) & able)
+            .filter((F.col("of") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("h") < F.col("cls"))) & able
+                    & (agreeing("x", "y", m) >= m * least - DEVIATIONS * (m * least * (1 - least)) ** 0.5))
             .select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct())
 
 
@@ -301,32 +370,32 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTE
     are kept or not together; nulls in other columns and further columns change nothing; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    signed = land(spark, signatures(docs, id_col, text_col, m, rows), "signatures")
+    with arrow_rows(spark, TEXT_ROWS):
+        signed = land(spark, signatures(docs, id_col, text_col, m, rows), "signatures")
     known = signed.filter(F.col("cls").isNotNull())
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "row1", "row2"))
     classes = land(spark, known.groupBy("cls").agg(first.alias("first"), F.first("bands").alias("bands")), "classes")
     members = classes.select("cls", F.explode("bands").alias("bucket"))
     sizes = members.groupBy("bucket").count().filter("count > 1")
     members = land(spark, members.join(sizes, "bucket").select("bucket", "cls", "count"), "members")
-    shared = members.groupBy("cls").agg(F.sum("count").alias("shared"))
+    shared = land(spark, members.groupBy("cls").agg(F.sum("count").alias("shared")), "shared")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     one = known.join(shared.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     schema = arrow_schema("cls long, items binary, weights binary")
     one = one.select(F.col("doc_id").alias("rep"))
     needed = texts.join(one, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = land(spark, needed.mapInArrow(lambda it: _sets(it, schema), "cls long, items binary, weights binary")
-                .join(shared.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    with arrow_rows(spark, TEXT_ROWS):
+        sets = land(spark, needed.mapInArrow(lambda it: _sets(it, schema), "cls long, items binary, weights binary")
+                    .join(shared.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    links, labels, tested = None, None, None
+    labels, tested = shared.select("cls", F.col("cls").alias("label")), None
     for turn in range(3):
         if not turn:
             own = members.select("bucket", "cls").join(shared, "cls")
             hubs = own.groupBy("bucket").agg(F.max_by("cls", F.struct("shared", "cls")).alias("h"))
             pairs = own.join(hubs, "bucket").filter("h != cls")
         else:  # only buckets whose classes are in several groups
-            own = members.select("bucket", "cls")
-            own = own.withColumn("label", F.col("cls")) if labels is None else own.join(labels, "cls", "left").select(
-                "bucket", "cls", F.coalesce("label", "cls").alias("label"))
+            own = members.select("bucket", "cls").join(labels, "cls")
             mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                               F.count("*").alias("size")).filter("low != high")
             own = land(spark, own.join(mixed.select("bucket", "size"), "bucket"), "mixed")
@@ -340,20 +409,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, m: int = REGISTE
         if turn < 2:
             pairs = pairs.select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct()
         else:
-            pairs = candidates(own.filter(F.col("size") > SMALL).select("cls", "label").distinct(), sets, least)
+            own = own.filter(F.col("size") > SMALL).select("cls", "label").distinct()
+            pairs = candidates(own, sets, least)
         if tested is not None:
             pairs = pairs.join(tested.select("hub", "cls"), ["hub", "cls"], "left_anti")
-        result = land(spark, compared(pairs, sets, least), "pairs")
+        with arrow_rows(spark, PAIR_ROWS):
+            result = land(spark, compared(pairs, sets, least), "pairs")
         tested = result if tested is None else tested.unionByName(result)
-        found = result.filter("similar").select("hub", "cls")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-
-    if labels is None:
-        linked = classes.select("cls", F.col("cls").alias("label"))
-    else:
-        linked = classes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
+        labels = regrouped(labels, result.filter("similar").select("hub", "cls"))
+
+    linked = classes.select("cls").join(labels, "cls", "left").select("cls", F.coalesce("label", "cls").alias("label"))
     named = land(spark, linked.join(classes.select("cls", "first"), "cls"), "named")
     groups = named.groupBy("label").agg(F.min("first").alias("best"))
     named = named.join(groups, "label").select("cls", "first", "best")

@@ -143,3 +143,21 @@ def test_pairs_of_a_large_bucket_are_all_found(spark):
 
 def test_no_partial_count_of_links(none):
     assert N.near_duplicates(none).columns == ["doc_id", "class_id", "group_id", "kept", "row1", "row2"]
+
+
+def test_sketches_agree_as_registers_do(spark):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, (40, 512), dtype=np.uint64)
+    b = np.where(rng.random((40, 512)) < 0.7, a, rng.integers(0, 1 << 63, (40, 512), dtype=np.uint64))
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(N.register_bits(a), N.register_bits(b)))],
+                               "i int, x array<long>, y array<long>")
+    got = {r.i: r.n for r in df.select("i", N.agreeing("x", "y", 512).alias("n")).collect()}
+    for i in range(40):
+        same = int((a[i] == b[i]).sum())
+        assert same <= got[i] <= same + 12  # unequal registers have equal bits once in 128
+
+
+def test_regrouped_joins_groups(spark):
+    labels = spark.createDataFrame([(i, i - i % 3) for i in range(12)], "cls long, label long")
+    links = spark.createDataFrame([(1, 2), (2, 4), (5, 10), (3, 4)], "hub long, cls long")
+    assert dict(N.regrouped(labels, links).collect()) == {i: {0: 0, 3: 0, 9: 0, 6: 6}[i - i % 3] for i in range(12)}
