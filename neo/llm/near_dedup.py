@@ -49,7 +49,7 @@ HUBS = 8
 #: Registers of the sketches that decide whether two sets of a large bucket are compared at all, and
 #: how far, in standard deviations, their share in agreement may lie below the threshold: a pair at the
 #: threshold lies lower with probability 0.000002.
-SKETCH, DEVIATIONS = 512, 4.6
+SKETCH, DEVIATIONS = 1_024, 4.6
 
 #: Rows of an Arrow batch that holds whole sets or texts.
 PAIR_ROWS, TEXT_ROWS = 256, 2_048
@@ -147,22 +147,29 @@ def band_keys(registers: np.ndarray, rows: tuple[int, ...]) -> np.ndarray:
 
 
 def register_bits(registers: np.ndarray) -> np.ndarray:
-    """Seven bits of every register, seven registers to a number: equal registers have equal bits."""
+    """Three bits of every register, 15 registers to a number, four bits apart: equal registers
+    have equal bits, others once in eight."""
     with np.errstate(over="ignore"):
-        small = (mix64(registers) >> np.uint64(57)).astype(np.uint8)
-    small = np.pad(small, ((0, 0), (0, -small.shape[1] % 7))).reshape(len(small), -1, 7)
-    return np.ascontiguousarray(np.pad(small, ((0, 0), (0, 0), (0, 1)))).view("<i8")[:, :, 0]
+        small = mix64(registers) >> np.uint64(61)
+    small = np.pad(small, ((0, 0), (0, -small.shape[1] % 15))).reshape(len(small), -1, 15)
+    return np.bitwise_or.reduce(small << (np.arange(15, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
 
 
 def agreeing(left: str, right: str, m: int) -> Column:
-    """How many of ``m`` registers agree, from two columns of ``register_bits``.
+    """How many of ``m`` registers agree in their bits, from two columns of ``register_bits``.
 
-    A byte of the exclusive or is 0 to 127; adding 127 sets its top bit unless it is 0."""
-    low, top = F.lit(0x007F7F7F7F7F7F7F), F.lit(0x0080808080808080)
+    Four bits of the exclusive or are 0 to 7; adding 7 sets the top one unless they are 0."""
+    low, top = F.lit(0x0777777777777777), F.lit(0x0888888888888888)
     differ = F.zip_with(left, right, lambda a, b: F.bit_count((a.bitwiseXOR(b) + low).bitwiseAND(top)))
     return F.lit(m) - F.aggregate(differ, F.lit(0), lambda total, n: total + n)
 
 
+def least_agreeing(least: float, m: int) -> float:
+    """Agreeing registers that a pair at the threshold has, but for ``DEVIATIONS``."""
+    share = least + (1 - least) / 8
+    return m * share - DEVIATIONS * (m * share * (1 - share)) ** 0.5
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most so many rows while a table is written."""
@@ -353,7 +360,7 @@ def candidates(own: DataFrame, sets: DataFrame, least: float, m: int = SKETCH) -
     able = 1 / (1 - F.col("u")) + 1 / (1 - F.col("v")) <= 1 + 1 / least + 1e-5
     return (left.join(right, ["item", "part"])
             .filter((F.col("of") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("h") < F.col("cls"))) & able
-                    & (agreeing("x", "y", m) >= m * least - DEVIATIONS * (m * least * (1 - least)) ** 0.5))
+                    & (agreeing("x", "y", m) >= least_agreeing(least, m)))
             .select(F.least("h", "cls").alias("hub"), F.greatest("h", "cls").alias("cls")).distinct())
 
 

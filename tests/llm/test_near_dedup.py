@@ -154,7 +154,7 @@ def test_sketches_agree_as_registers_do(spark):
     got = {r.i: r.n for r in df.select("i", N.agreeing("x", "y", 512).alias("n")).collect()}
     for i in range(40):
         same = int((a[i] == b[i]).sum())
-        assert same <= got[i] <= same + 12  # unequal registers have equal bits once in 128
+        assert same <= got[i] <= same + 60  # unequal registers have equal bits once in eight
 
 
 def test_regrouped_joins_groups(spark):
