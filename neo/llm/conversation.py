@@ -40,7 +40,6 @@ _BLANKS = " \t\n\v\f\r"
 _INITIAL = {"s": 1, "u": 2, "a": 3}
 _PAIRS = {(1, 2), (2, 3), (3, 2)}
 _BLANK, _DUPLICATE, _TRUNCATED = 1, 2, 3
-_FAR = 1 << 20
 
 #: States: nothing yet, after system, after user, after assistant; what follows each at the end.
 _END = (0, 2 * INSERT, INSERT, 0)
