@@ -1,12 +1,13 @@
 """Exact deduplication with a heavy-hitter split (native DataFrame operations only).
 
 Every text is reduced once to the SHA-256 of its normalised form; only
-``(digest, id, length, row keys)`` go on.  A Misra-Gries pass (``freqItems``: a bounded
-number of counters per task, merged) proposes the digests that may hold more than
-``support`` of all rows, and an exact count verifies them.  The verified winners,
-at most ``1 / support`` rows, are broadcast, so rows of hot groups are decided on
-the map side and never shuffled by their digest.  All other groups are smaller than
-``support`` of the rows: they are aggregated with map-side combine and joined back.
+``(digest, id, length, row keys, row number)`` are written and go on.  A Misra-Gries pass
+(``freqItems``: a bounded number of counters per task, merged) proposes the digests that
+may hold more than ``support`` of all rows, and an exact count with map-side combine
+verifies them.  The verified winners, at most ``1 / support`` rows, are broadcast: rows of
+hot groups are decided in the task that reads them and are never shuffled.  All other
+groups are smaller than ``support`` of the rows: they are aggregated with map-side combine
+and joined back by their digest.
 """
 
 from __future__ import annotations
@@ -28,21 +29,22 @@ def normalise(text: Column) -> Column:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, row1, row2, n_points, digest`` of every row: code points of the original text
-    and the SHA-256 of the normalised one."""
+    """``doc_id, row1, row2, n_points, digest, place`` of every row: code points of the original
+    text, the SHA-256 of the normalised one, and a number that tells repeated rows apart once
+    the table is written."""
     return docs.select(
         F.col(id_col).alias("doc_id"), *row_keys(F.col(id_col), F.col(text_col)),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_points"),
-        F.sha2(normalise(F.col(text_col)), 256).alias("digest"))
+        F.sha2(normalise(F.col(text_col)), 256).alias("digest"), F.monotonically_increasing_id().alias("place"))
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """Size and winner of every digest; a null id loses against any other id."""
-    winner = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"),
-                            F.col("doc_id").alias("keep_id"), "row1", "row2"))
-    return (rows.groupBy("digest").agg(F.sum("n_rows").alias("group_size"), winner.alias("w"))
-            .select("digest", "group_size", F.col("w.keep_id").alias("keep_id"), F.col("w.row1").alias("best1"),
-                    F.col("w.row2").alias("best2")))
+def winners(rows: DataFrame) -> DataFrame:
+    """``digest, group_size, keep_id, best`` (the place of the row that stays) of every digest; a
+    null id loses against any other id."""
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"),
+                          F.col("doc_id").alias("keep_id"), "place"))
+    return (rows.groupBy("digest").agg(F.count("*").alias("group_size"), best.alias("w"))
+            .select("digest", "group_size", F.col("w.keep_id").alias("keep_id"), F.col("w.place").alias("best")))
 
 
 def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
@@ -51,6 +53,19 @@ def frequent_digests(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
     return rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
 
 
+def heavy_winners(seen: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The winners of the digests that are counted to hold more than ``support`` of the rows."""
+    total = seen.count()
+    maybe = seen.join(F.broadcast(frequent_digests(seen, support)), "digest")
+    return land(seen.sparkSession, winners(maybe).filter(F.col("group_size") > support * total), "heavy")
+
+
+def split(seen: DataFrame, heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of heavy digests, already decided, and the other rows; neither is shuffled."""
+    return (seen.join(F.broadcast(heavy), "digest"),
+            seen.join(F.broadcast(heavy.select("digest")), "digest", "left_anti"))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 support: float = SUPPORT) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256, row1, row2``.
@@ -63,21 +78,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     returned, counted in ``group_size``, and exactly one of them is kept; an empty
     table gives an empty result; further columns of the input are ignored.
     """
-    spark = docs.sparkSession
-    seen = land(spark, digests(docs, id_col, text_col), "digests")
-    total = seen.count()
-    rows = seen.groupBy("digest", "row1", "row2", "doc_id", "n_points").agg(F.count("*").alias("n_rows"))
-    maybe = frequent_digests(seen, support)
-    heavy = land(spark, _groups(seen.withColumn("n_rows", F.lit(1)).join(F.broadcast(maybe), "digest"))
-                 .filter(F.col("group_size") > support * total), "heavy")
-    hot = rows.join(F.broadcast(heavy), "digest")
-    rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    decided = hot.unionByName(rest.join(_groups(rest), "digest"))
-    wins = (F.col("row1") == F.col("best1")) & (F.col("row2") == F.col("best2"))
-    copy = F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))
-    return (decided.select("*", copy.alias("copy"))
-            .select("doc_id", "keep_id", "group_size", (wins & (F.col("copy") == 1)).alias("kept"),
-                    F.col("digest").alias("text_sha256"), "row1", "row2"))
+    seen = land(docs.sparkSession, digests(docs, id_col, text_col), "digests")
+    heavy = heavy_winners(seen, support)
+    hot, rest = split(seen, heavy)
+    return hot.unionByName(rest.join(winners(rest), "digest")).select(
+        "doc_id", "keep_id", "group_size", (F.col("place") == F.col("best")).alias("kept"),
+        F.col("digest").alias("text_sha256"), "row1", "row2")
 
 
 ORACLE = r"""

@@ -38,6 +38,24 @@ def test_heavy_and_light_groups(spark):
         assert run(df, support=support) == brute(rows)
 
 
+def test_hot_rows_are_not_shuffled(spark, tmp_path):
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i}") for i in range(300)]
+    X.digests(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(str(tmp_path / "seen"))
+    seen = spark.read.parquet(str(tmp_path / "seen"))
+    heavy = X.heavy_winners(seen, 0.1)
+    assert heavy.count() == 1
+    for side, n in zip(X.split(seen, heavy), (100, 200)):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and side.count() == n
+
+
+def test_repeated_rows_of_a_hot_group_keep_one(spark):
+    df = spark.createDataFrame([(1, "same")] * 50 + [(2, "same")] * 20 + [(3, "x")] * 2, "doc_id long, text string")
+    for support in (0.002, 0.9):
+        rows = X.exact_dedup(df.repartition(5), support=support).collect()
+        assert len(rows) == 72 and sorted(r.doc_id for r in rows if r.kept) == [1, 3]
+
+
 def test_frequent_digests_are_complete(spark):
     rows = [(f"d{i % 7}" if i % 2 else f"x{i}",) for i in range(2000)]
     got = {r[0] for r in X.frequent_digests(spark.createDataFrame(rows, "digest string").repartition(9), 0.02).collect()}
