@@ -4,16 +4,16 @@ An item is cut into windows of ``window`` consecutive words (a shorter item is o
 window).  A document holds a window only if it holds every shingle of the window, so
 one shingle is a sufficient prefix for exact containment: the rarest of the window.
 
-1. Shingles of all documents are matched with the distinct shingles of the benchmark;
-   only matching ``(document, position, shingle)`` rows are kept.
-2. Their counts order the shingles by rarity; each window keeps its rarest one.
-3. Matches of such prefix shingles are joined with the windows.  The position of the
-   shingle fixes where the window must start; the start must not lie before the first
-   word and the window must end within the document.
-4. Of what passes these bounds, every shingle of the window must stand at its place in the
-   document; shingles are compared as words, so this is exact containment.
-
-Only matches leave the scan of the documents, never their texts.
+1. How often each shingle of the benchmark stands in the documents is counted with map-side
+   combine; only counts leave the scan.  They order the shingles by rarity.  Each window keeps
+   its rarest shingle as its prefix; a window with a shingle that never occurs is dropped.
+2. Shingles of the documents are joined with the prefixes only.  The place of a prefix fixes
+   where its window must start; the start must not lie before the first word and the window
+   must end within the document.  What passes is a place: document, start, length.
+3. The texts of documents with such places are read again, the words at each place are cut out
+   and compared with the windows, word by word: this is exact containment.
+
+Shingles meet by a 64-bit hash, which only ever proposes places.
 """
 
 from __future__ import annotations
@@ -26,16 +26,21 @@ from neo.llm.common import land, row_keys, words_of
 WINDOW = 13
 SHINGLE = 3
 
-#: A benchmark side is broadcast only if it was counted to have at most so many rows
-#: (some 100 MB); else both sides are shuffled and skewed keys are split by AQE.
-BROADCAST_ROWS = 500_000
+#: A side is broadcast only if its rows were summed to at most so many bytes; else both sides
+#: are shuffled and skewed keys are split by AQE.
+BROADCAST_BYTES = 64 << 20
+
+#: Bytes of a row of a broadcast table besides its texts.
+ROW_BYTES = 64
 
 #: What separates words when A-Z are not lower-cased.
 ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _checked(side: DataFrame) -> DataFrame:
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def _checked(side: DataFrame, texts: Column | None = None) -> DataFrame:
+    """The side, to be broadcast if it is small; ``texts`` are the bytes of its texts in a row."""
+    row = F.lit(ROW_BYTES) if texts is None else F.lit(ROW_BYTES) + texts
+    return F.broadcast(side) if (side.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else side
 
 
 def _parts(words: Column, size: int) -> Column:
@@ -45,10 +50,6 @@ def _parts(words: Column, size: int) -> Column:
     return F.arrays_zip(*shifted)
 
 
-def _shingle(part: str, size: int) -> Column:
-    return F.concat_ws(" ", *[F.col(f"{part}.w{i}") for i in range(size)])
-
-
 def _hash(part: str, size: int) -> Column:
     return F.xxhash64(*[F.col(f"{part}.w{i}") for i in range(size)])
 
@@ -65,6 +66,28 @@ def item_windows(items: DataFrame, window: int = WINDOW, id_col: str = "item_id"
             .groupBy("window", "len").agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
+def prefixes(keyed: DataFrame, grams: DataFrame) -> DataFrame:
+    """``key, at, len``: hash and place of the rarest shingle of every window whose shingles all occur."""
+    rarity = grams.join(_checked(keyed.select("key").distinct()), "key").groupBy("key").count()
+    seen = F.coalesce("count", F.lit(0))
+    rarest = F.min(F.struct(seen.alias("seen"), "key", "at"))
+    return (keyed.join(rarity, "key", "left").groupBy("window", "len").agg(rarest.alias("r"))
+            .filter(F.col("r.seen") > 0).select("r.key", "r.at", "len").distinct())
+
+
+def _cut(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """``row1, row2, start, len, window``: the words of the documents at their places.  Only texts
+    of documents with places are shuffled, as long as the keys of those can be broadcast; rows
+    that repeat id and text are one."""
+    keys = ["row1", "row2"]
+    own = (texts.join(_checked(places.select(*keys)), keys, "left_semi").dropDuplicates(keys).join(places, keys)
+           .select(*keys, "places", words_of(F.col("text")).alias("words")))
+    cut = F.transform("places", lambda p: F.struct(
+        p["start"].alias("start"), p["len"].alias("len"),
+        F.array_join(F.slice("words", p["start"] + 1, p["len"]), " ").alias("window")))
+    return own.select(*keys, F.explode(cut).alias("p")).select(*keys, "p.*")
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
                   id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                   item_text_col: str = "text") -> DataFrame:
@@ -91,40 +114,31 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
                         .alias("n_words"))
     words = texts.select(*row, words_of(F.col("text")).alias("words"))
 
-    found = None
+    places = None
     for size in sorted(sizes):  # one size, unless an item has fewer words than a shingle
         own = parts.filter(F.least("len", F.lit(shingle)) == size)
         keyed = land(spark, own.select("window", "len", F.posexplode(_parts(F.col("words"), size)).alias("at", "p"))
-                     .select("window", "len", "at", _shingle("p", size).alias("shingle"), _hash("p", size).alias("key")),
-                     "shingles")
-        wanted = keyed.select("key", "shingle").distinct()
-        seen = (words.filter(F.size("words") >= size)
-                .select("row1", "row2", F.size("words").alias("n_words"),
-                        F.posexplode(_parts(F.col("words"), size)).alias("pos", "p"))
-                .withColumn("key", _hash("p", size)).join(_checked(wanted), "key")
-                .filter(F.col("shingle") == _shingle("p", size))
-                .select("row1", "row2", "n_words", "pos", "shingle"))
-        seen = land(spark, seen, "seen")
-        rarity = seen.groupBy("shingle").count()
-        rarest = F.min_by(F.struct("shingle", "at"), F.struct("count", "shingle", "at"))
-        prefix = (keyed.join(rarity, "shingle").groupBy("window", "len").agg(rarest.alias("r"))
-                  .select("window", "len", "r.shingle", "r.at"))
+                     .select("window", "len", "at", _hash("p", size).alias("key")), "shingles")
+        grams = (words.filter(F.size("words") >= size)
+                 .select("row1", "row2", F.size("words").alias("n_words"),
+                         F.posexplode(_parts(F.col("words"), size)).alias("pos", "p"))
+                 .select("row1", "row2", "n_words", "pos", _hash("p", size).alias("key")))
+        prefix = land(spark, prefixes(keyed, grams), "prefixes")
         start = F.col("pos") - F.col("at")
-        near = (seen.join(_checked(land(spark, prefix, "prefix")), "shingle")
+        near = (grams.join(_checked(prefix), "key")
                 .filter((start >= 0) & (start + F.col("len") <= F.col("n_words")))
-                .select("row1", "row2", start.alias("start"), "len", "window"))
-        need = near.join(_checked(keyed.select("window", "at", "shingle")), "window").select(
-            "row1", "row2", "start", "len", "window", "shingle", (F.col("start") + F.col("at")).alias("pos"))
-        hits = (need.join(seen.select("row1", "row2", "pos", "shingle").distinct(), ["row1", "row2", "pos", "shingle"])
-                .groupBy("row1", "row2", "start", "len", "window").agg(F.count_distinct("pos").alias("n"))
-                .filter(F.col("n") == F.col("len") - (size - 1)).drop("n"))
-        found = hits if found is None else found.unionByName(hits)
+                .select("row1", "row2", F.struct(start.alias("start"), "len").alias("place")))
+        places = near if places is None else places.unionByName(near)
+    found = None if places is None else _cut(
+        texts.select(*row, "text"),
+        land(spark, places.groupBy("row1", "row2").agg(F.collect_set("place").alias("places")), "places"))
 
     nothing = F.expr("array()").cast("array<string>")
     if found is None:
         result = rows.select("doc_id", "row1", "row2", "n_words", F.lit(0).cast("long").alias("n_hit"), nothing.alias("items"))
     else:
-        cases = (found.join(_checked(windows), ["window", "len"]).groupBy("row1", "row2")
+        held = F.octet_length("window") + F.octet_length(F.array_join("items", ","))
+        cases = (found.join(_checked(windows, held), ["window", "len"]).groupBy("row1", "row2")
                  .agg(F.sort_array(F.collect_set(F.struct("start", "len"))).alias("places"),
                       F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
         end = (lambda c: c["start"] + c["len"])

@@ -61,6 +61,21 @@ def test_odd_rows(spark, odd, none):
     assert run(spark, none, items) == []
 
 
+def test_only_prefixes_are_joined(spark):
+    """Of a window's shingles the rarest one is its prefix; a window that lacks a shingle has none."""
+    keyed = spark.createDataFrame([("a", 13, i, k) for i, k in enumerate([5, 6, 7])]
+                                  + [("b", 13, i, k) for i, k in enumerate([6, 5, 9])], "window string, len int, at int, key long")
+    grams = spark.createDataFrame([(k,) for k in [5] * 4 + [6] * 2 + [7] * 3 + [8]], "key long")
+    assert [tuple(r) for r in D.prefixes(keyed, grams).collect()] == [(6, 1, 13)]
+
+
+def test_shuffled_sides(spark, odd, monkeypatch):
+    rows = [r[:2] for r in odd_rows()]
+    items = [(1, " ".join(rows[0][1].split(" ")[:20]), None), (2, "two words", None)]
+    monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
+    assert run(spark, odd, items) == brute(rows, [x[:2] for x in items])
+
+
 def test_no_python_in_the_plan(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     plan = D.contamination(odd, bench)._jdf.queryExecution().toString()
