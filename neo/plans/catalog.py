@@ -36,6 +36,7 @@ from neo.sources import messages as MS
 from neo.sources import tables as TB
 from neo.streaming import enrich as SE
 from neo.streaming import landing as SL
+from neo.streaming import modelstore as SM
 from neo.streaming import readmodel as SR
 from neo.streaming import state as ST
 
@@ -760,6 +761,39 @@ def m9(spark, sf):
     return first.join(again, "event_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("q")).alias("n_equal"))
 
 
+@query("m9_model_refresh")
+def m9_refresh(spark, sf):
+    """One running stream that scores without a model, then with one, then with the next."""
+    base = scratch_path(spark, "m9")
+    rows = M.model_features(DM.with_model_inputs(ast(spark, sf))).withColumn("turn", F.col("event_id") % 3)
+    rows.write.partitionBy("turn").parquet(f"{base}/rows")
+    schema = rows.drop("turn").schema
+    split = M.stratified_split(labelled(spark, sf))
+    train = split.where(F.col("split") == "train")
+    models = [None, *[M.train_classifier(train, None, iterations=n) for n in (5, 10)]]
+    names = [SM.NO_MODEL, "v1", "v2"]
+    spark.createDataFrame([], schema).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{base}/in")
+    q = SM.score_stream(stream, f"{base}/store", f"{base}/out", f"{base}/_checkpoint", "1 second")
+    try:
+        for turn, (name, model) in enumerate(zip(names, models)):
+            if model:
+                SM.publish_model(spark, model, f"{base}/store", name)
+            spark.read.schema(schema).parquet(f"{base}/rows/turn={turn}").write.mode("append").parquet(f"{base}/in")
+            q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(f"{base}/out").select("event_id", "model_version", "ml_probability")
+    want = None
+    for turn, (name, model) in enumerate(zip(names, models)):
+        part = M.score(rows.where(F.col("turn") == turn), model).select(
+            "event_id", F.lit(name).alias("expected"), F.col("ml_probability").alias("p"))
+        want = part if want is None else want.unionByName(part)
+    same = (F.col("model_version") == F.col("expected")) & (F.col("ml_probability") == F.col("p"))
+    return got.join(want, "event_id").groupBy("model_version").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(same).alias("n_equal"))
+
+
 # --- 2.9 pipelines -----------------------------------------------------------------
 @query("q1_clean")
 def q1(spark, sf):
@@ -897,14 +931,29 @@ def _message_stream(spark, sf) -> DataFrame:
 
 @query("st1_continuous_landing")
 def st1(spark, sf):
+    """Three topics with truncated messages, landed by the day of arrival and compacted."""
     base = scratch_path(spark, "st1")
-    topic = SL.Topic("asteroid-data", S.ASTEROID_LANDING)
-    qs = SL.continuous_landing({"asteroid-data": _message_stream(spark, sf)}, {"asteroid-data": topic},
-                               f"{base}/data", f"{base}/_checkpoints", trigger="availableNow")
-    for q in qs:
+    records = DM.planets(events(spark, sf)).withColumn("timestamp", iso_string(F.col("timestamp")))
+    sent = {"asteroid-data": messages_with_errors(spark, sf), "planet-data": MS.encode_messages(records, "planet"),
+            "collision-alerts": MS.encode_messages(alerts(spark, sf), "asteroid_id")}
+    for name, msgs in sent.items():
+        msgs.write.parquet(f"{base}/sent/{name}")
+    streams = {name: spark.readStream.schema(MESSAGE_SCHEMA).parquet(f"{base}/sent/{name}") for name in sent}
+    arrived = events(spark, sf).agg(F.max("ts")).first()[0]
+    for q in SL.continuous_landing(streams, None, f"{base}/data", f"{base}/_checkpoints", "availableNow", F.lit(arrived)):
         q.awaitTermination()
-    return spark.read.parquet(f"{base}/data/asteroid-data/raw").select(
-        "id", "timestamp", F.col("ingest_date").cast("string").alias("ingest_date"))
+    found = None
+    for (name, topic), ident in zip(SL.default_topics().items(), ("id", "planet", "alert_id")):
+        SL.compact(spark, f"{base}/data", topic, f"{base}/_checkpoints", str(arrived.date()))
+        good = SL.read_landed(spark, f"{base}/data/{name}/raw", topic.schema).select(
+            F.lit(name).alias("topic"), F.col(ident).alias("ident"), F.lit("good").alias("status"),
+            F.col("ingest_date").cast("string").alias("ingest_date"))
+        bad = TB.read_json(spark, f"{base}/data/{name}/quarantine", T.StructType.fromDDL("key string, raw string")).select(
+            F.lit(name).alias("topic"), F.col("key").alias("ident"), F.lit("bad").alias("status"),
+            F.lit(None).cast("string").alias("ingest_date"))
+        both = good.unionByName(bad)
+        found = both if found is None else found.unionByName(both)
+    return found
 
 
 @query("st2_enrich_alert")

