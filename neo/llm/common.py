@@ -19,7 +19,7 @@ NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: A numpy pass works on about this many bytes of text at a time, so that its
 #: temporary arrays stay small whatever the size of an Arrow batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

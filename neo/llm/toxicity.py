@@ -122,30 +122,42 @@ def training_rows(docs: DataFrame, labels: DataFrame, n_toxic: int = TRAIN_TOXIC
 COUNTS = ("docs_toxic", "words_toxic", "words_other")
 
 
+#: A task hands its counts on, and begins anew, when it holds so many keys.
+COUNTED_KEYS = 100_000
+
+
+def _counts(docs: Counter, toxic: Counter, other: Counter) -> Iterator[pa.RecordBatch]:
+    keys = list(toxic) + [k for k in other if k not in toxic]
+    for i in range(0, len(keys), 50_000):
+        part = keys[i:i + 50_000]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in (docs, toxic, other))],
+            names=["entry", *COUNTS])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Toxic documents with each beginning and whole word, and its places in toxic and other
-    documents; the key "" counts all words.  The bounded sample bounds the counters."""
-    docs, toxic, other = Counter(), Counter(), Counter()
+    documents; the key "" counts all words.  A key may come several times, its rows are summed later."""
+    counters = docs, toxic, other = Counter(), Counter(), Counter()
     for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for text, label in zip(batch.column(0), batch.column(1)):
             own = Counter()
-            for w, n in Counter(fold(text)).items():
+            for w, n in Counter(fold(text.as_py())).items():
                 own[""] += n
                 own[w + " "] += n
                 for k in STEMS:
                     if len(w) >= k:
                         own[w[:k]] += n
-            if label:
+            if label.as_py():
                 docs.update(own.keys())
                 toxic.update(own)
             else:
                 other.update(own)
-    keys = list(toxic) + [k for k in other if k not in toxic]
-    for i in range(0, len(keys), 50_000):
-        part = keys[i:i + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in (docs, toxic, other))],
-            names=["entry", *COUNTS])
+            if len(toxic) + len(other) >= COUNTED_KEYS:
+                yield from _counts(*counters)
+                for c in counters:
+                    c.clear()
+    yield from _counts(*counters)
 
 
 def prune(entries: dict[str, tuple[int, float]]) -> dict[str, float]:

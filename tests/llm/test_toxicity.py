@@ -68,3 +68,22 @@ def test_odd_rows(spark, odd, none, labels):
         assert len(got) == n and all(0 <= r.score <= 1 for r in got)
         assert T.reject(docs, model, 2.0).columns == odd.columns and T.reject(docs, model, 2.0).count() == n
     assert T.train(odd, labels.limit(0)).weights == {}
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+    rng = random.Random(6)
+    batch = pa.RecordBatch.from_pydict({"text": [words(rng, 40) for _ in range(60)], "toxic": [i % 3 == 0 for i in range(60)]})
+
+    def counted():
+        total, rows = {}, 0
+        for part in T._count(iter([batch])):
+            for key, *n in zip(*(c.to_pylist() for c in part.columns)):
+                total[key] = [a + b for a, b in zip(total.get(key, [0, 0, 0]), n)]
+                rows += 1
+        return total, rows
+
+    whole, rows = counted()
+    monkeypatch.setattr(T, "COUNTED_KEYS", 50)
+    parts, more = counted()
+    assert parts == whole and rows == len(whole) and more > rows
