@@ -32,6 +32,7 @@ from neo.operators import windows as W
 from neo.plans import pipelines as P
 from neo.session import scratch_path
 from neo.sources import domain as DM
+from neo.sources import files as FI
 from neo.sources import messages as MS
 from neo.sources import tables as TB
 from neo.streaming import enrich as SE
@@ -128,6 +129,22 @@ def s1(spark, sf):
     return df.select("event_id", iso_string(F.col("ts")).alias("ts"), "user_id", "event_type", "value")
 
 
+@query("s1_read_checked")
+def s1_checked(spark, sf):
+    """The events as a folder of files by several writers: as agreed, with 32-bit users, with text
+    values (wrong type), and no parquet at all."""
+    folder, ev = scratch_path(spark, "events"), events(spark, sf).select(*EVENTS_SCHEMA.names)
+    kind = F.coalesce(F.col("event_type"), F.lit(""))
+    ev.where(~kind.isin("click", "error", "signup")).write.parquet(folder)
+    ev.where(kind == "click").withColumn("user_id", F.col("user_id").cast("int")).write.mode("append").parquet(folder)
+    ev.where(kind == "error").withColumn("value", F.col("value").cast("string")).write.mode("append").parquet(folder)
+    ev.where(kind == "signup").select(F.to_json(F.struct("event_id", "value"))).write.mode("append").text(folder)
+    rows, bad = FI.read_checked(spark, folder, EVENTS_SCHEMA)
+    return (rows.select(F.lit("row").alias("status"), "event_id", "user_id", "value")
+            .unionByName(bad.select(F.col("reason").alias("status")).distinct().select(
+                "status", F.lit(-1).alias("event_id"), F.lit(-1).alias("user_id"), F.lit(None).cast("double").alias("value"))))
+
+
 @query("s2_parse_messages")
 def s2(spark, sf):
     p = MS.parse_messages(messages(spark, sf), S.ASTEROID_LANDING)
@@ -603,6 +620,17 @@ def w3(spark, sf):
     return df.select("id", "event_id", "size", iso_string(F.col("timestamp")).alias("timestamp"))
 
 
+@query("w3_latest_record")
+def w3_record(spark, sf):
+    """W3 over records as they were delivered, some of them twice; the whole record is fetched."""
+    sent = DM.wire_asteroids(events(spark, sf), keep=("event_type",))
+    path = scratch_path(spark, "delivered")
+    sent.unionByName(sent.where("event_type = 'error'")).write.parquet(path)
+    df = W.latest_per_asteroid(spark.read.schema(sent.schema).parquet(path))
+    return df.select("id", "event_id", "event_type", "timestamp", "size", "classification", "risk_level",
+                     "potentially_hazardous", F.col("position.x").alias("pos_x"))
+
+
 @query("w4_top_risk")
 def w4(spark, sf):
     return W.top_risk(risk_fixed(spark, sf), tie_breakers=("id", "event_id"))

@@ -248,6 +248,11 @@ TRAINING = _training_cte()
 
 # --- 2.1 sources and sinks ----------------------------------------------------
 sql("s1_read_table", f"SELECT event_id, {iso('ts')} AS ts, user_id, event_type, value FROM events")
+sql("s1_read_checked", """
+SELECT 'row' AS status, event_id, user_id, value FROM events
+WHERE coalesce(event_type, '') NOT IN ('error', 'signup')
+UNION ALL SELECT 'value: string, not double', -1, -1, NULL WHERE EXISTS (FROM events WHERE event_type = 'error')
+UNION ALL SELECT 'unreadable', -1, -1, NULL WHERE EXISTS (FROM events WHERE event_type = 'signup')""")
 sql("s2_parse_messages", f"""
 SELECT event_id, id, {iso('timestamp')} AS timestamp, pos_x, pos_y, vel_z, size, mass, classification,
        potentially_hazardous, risk_level, distance_from_earth
@@ -527,6 +532,11 @@ sql("w2_last_n", f"SELECT event_id, id FROM asteroids ORDER BY event_id DESC LIM
 sql("w3_latest_per_asteroid", f"""
 SELECT id, event_id, size, {iso('timestamp')} AS timestamp FROM asteroids
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id DESC) = 1""", "asteroids")
+sql("w3_latest_record", f"""
+SELECT id, event_id, event_type, {iso('timestamp')} AS timestamp, size, classification, risk_level,
+       potentially_hazardous, pos_x
+FROM asteroids
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY event_id DESC) = 1""", "asteroids")
 TOP = f"""
 SELECT id, size, coalesce(distance_from_earth, {Z}) AS distance_from_earth,
   coalesce(enhanced_collision_probability, {Z}) AS collision_probability, coalesce(risk_level, 'LOW') AS risk_level

@@ -70,3 +70,32 @@ def test_latest_per_key_handles_hot_key(spark):
 def test_recent_alerts(spark):
     df = spark.createDataFrame([(f"a{i}", f"2024-01-0{i}T00:00:00") for i in range(1, 9)], "alert_id string, timestamp string")
     assert [r["alert_id"] for r in W.recent_alerts(df).collect()] == ["a8", "a7", "a6", "a5", "a4"]
+
+
+def _latest_by_hand(rows):
+    best = {}
+    for key, number, v in rows:
+        rank = (number is not None, number or 0)
+        if key not in best or rank > best[key][0]:
+            best[key] = (rank, v)
+    return {k: v for k, (_, v) in best.items()}
+
+
+@pytest.mark.parametrize("limit", [W.BROADCAST_BYTES, 0])
+def test_latest_by_number(spark, limit):
+    rows = [(f"k{i % 7}" if i % 11 else None, i * 37 % 1009, f"v{i}") for i in range(500)]
+    rows += [("hot", i, "h" * 50 + str(i)) for i in range(500)] + [("none", None, "only"), ("some", None, "a"), ("some", -5, "b")]
+    df = spark.createDataFrame(rows, "id string, event_id long, v string").repartition(5)
+    out = W.latest_by_number(df, "id", "event_id", limit)
+    assert out.columns == df.columns
+    assert {r["id"]: r["v"] for r in out.collect()} == _latest_by_hand(rows) and out.count() == 11
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and ("BroadcastHashJoin" in plan) == (limit > 0)
+
+
+def test_latest_by_number_of_repeated_records(spark):
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", 2, "y"), ("b", 3, "p"), ("b", 3, "q"), ("c", None, None), ("c", None, None)]
+    df = spark.createDataFrame(rows, "id string, event_id long, `v.w` string")
+    got = {r[0]: r[2] for r in W.latest_by_number(df, "id", "event_id").collect()}
+    assert got == {"a": "y", "b": got["b"], "c": None} and got["b"] in ("p", "q")
+    assert W.latest_by_number(df.limit(0), "id", "event_id").count() == 0
