@@ -54,6 +54,9 @@ SKETCH, DEVIATIONS = 1_024, 4.6
 #: Rows of an Arrow batch that holds whole sets or texts.
 PAIR_ROWS, TEXT_ROWS = 256, 2_048
 
+#: Bytes of text of a numpy pass: its arrays take about fifty times as much.
+CHUNK = 1 << 20
+
 #: Classes of a shingle that one key of the join of candidates holds.
 SPREAD = 256
 
@@ -193,7 +196,7 @@ def set_hash(row: np.ndarray, items: np.ndarray, counts: np.ndarray, n_rows: int
 def _signatures(batches: Iterator[pa.RecordBatch], m: int, rows: tuple[int, ...], schema: pa.Schema):
     for batch in batches:
         data, offsets = utf8(batch.column(3))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, CHUNK):
             row, items, counts = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             n = b - a
             registers = prob_min_hash(row, items, weights(counts), n, m)
@@ -221,7 +224,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, CHUNK):
             row, items, counts = shingles(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
             cuts = np.searchsorted(row, np.arange(b - a + 1))
             cls = set_hash(row, items, counts, b - a).view(np.int64)
