@@ -54,15 +54,19 @@ def model_features(df: DataFrame) -> DataFrame:
 def row_zscore(df: DataFrame, col: str = "features", out: str = "features_z") -> DataFrame:
     """F32: standardise each row's own array: (f - mean) / (population std + 1e-8).
     Array higher-order functions, evaluated inside the JVM."""
-    arr = F.transform(F.col(col), lambda x: x.cast("double"))
-    n = F.size(arr).cast("double")
-    mean = F.aggregate(arr, F.lit(0.0), lambda a, x: a + x) / n
-    staged = df.withColumns({"__a": arr, "__m": mean})
-    var = F.aggregate(F.col("__a"), F.lit(0.0), lambda a, x: a + (x - F.col("__m")) * (x - F.col("__m"))) / n
-    staged = staged.withColumn("__s", F.sqrt(var))
-    return staged.withColumn(out, F.transform(
-        F.col("__a"), lambda x: (x - F.col("__m")) / (F.col("__s") + F.lit(K.ZSCORE_EPSILON)))
-    ).drop("__a", "__m", "__s")
+    one = F.array(F.transform(F.col(col), lambda x: x.cast("double")))
+
+    def average(total: Column, of: Column) -> Column:
+        return F.try_divide(total, F.size(of).cast("double"))
+
+    # mean and deviation are fields of the only element of an array: as columns of their own they would be
+    # put into the function over the elements, and computed again for each
+    one = F.transform(one, lambda r: F.struct(
+        r.alias("a"), average(F.aggregate(r, F.lit(0.0), lambda s, x: s + x), r).alias("m")))
+    one = F.transform(one, lambda r: F.struct(r["a"].alias("a"), r["m"].alias("m"), F.sqrt(average(F.aggregate(
+        r["a"], F.lit(0.0), lambda s, x: s + (x - r["m"]) * (x - r["m"])), r["a"])).alias("s")))
+    return df.withColumn(out, F.transform(
+        one, lambda r: F.transform(r["a"], lambda x: (x - r["m"]) / (r["s"] + F.lit(K.ZSCORE_EPSILON))))[0])
 
 
 def _clip01(c: Column) -> Column:
@@ -119,11 +123,16 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
     is ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The last row of a
     part is an order statistic of each label (:mod:`neo.operators.ranks`): any number of labels is one
     plan, no label is sorted in one task, and nothing comes to the driver.  The rows are read once
-    more against the table of cuts, one row a label."""
+    more against the table of cuts, one row a label.  That table is written first: its size is then known
+    before the join, and the rows of a large label are not dealt to one task."""
+    spark = df.sparkSession
     own = F.struct(split_digest(key, seed).alias("d"), F.col(key).alias("k"))
     f1, f2 = fractions[0], fractions[0] + fractions[1]
     at = {name: F.floor(F.lit(f) * F.col("n")) - 1 for name, f in (("_train", f1), ("_validation", f2))}
     cuts = R.order_values(df, own, at, [label]).select(F.col(label).alias("_of"), *at)
+    path = scratch_path(spark, "cuts")
+    cuts.write.parquet(path)
+    cuts = spark.read.schema(cuts.schema).parquet(path)
     joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_of")), "left")
     split = F.when(own <= F.col("_train"), "train").when(own <= F.col("_validation"), "validation").otherwise("test")
     return joined.select(*[df[c] for c in df.columns], split.alias("split"))
@@ -158,7 +167,7 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
     has no batch-norm or dropout).  One run is trained in slices of ``step`` iterations, each starting
     from the weights of the one before.  After a slice the loss on the validation rows is measured; after
     ``patience`` slices without a better one the run ends, and the best slice's weights are the
-    model.  The scaled rows are written once and read by every slice.
+    model.  The scaled rows are written once, dealt evenly over the cores, and read by every slice.
 
     ``algorithm="rf"`` trains a random forest instead.  Rows with a missing feature are not
     learned from; the model scores them as NaN, which :func:`score` replaces."""
@@ -173,7 +182,8 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
     path = scratch_path(spark, "training")
 
     def landed(df: DataFrame, name: str) -> DataFrame:
-        prepared.transform(df).select(label, "features_scaled").write.parquet(f"{path}/{name}")
+        scaled = prepared.transform(df).select(label, "features_scaled")
+        scaled.repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
     try:

@@ -690,7 +690,7 @@ def m4(spark, sf):
 
 @query("m5_fit_scaler")
 def m5(spark, sf):
-    split = M.stratified_split(labelled(spark, sf))
+    split = P.landed_split(labelled(spark, sf))
     model = M.fit_scaler(split.where(F.col("split") == "train"))
     names = [f"z_{c}" for c in S.TRAINING_FEATURES]
     out = M.unpack(model.transform(split), "scaled", names)
@@ -699,7 +699,7 @@ def m5(spark, sf):
 
 @query("m6_train_classifier")
 def m6(spark, sf):
-    split = M.stratified_split(labelled(spark, sf))
+    split = P.landed_split(labelled(spark, sf))
     model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"))
     test = model.transform(split.where(F.col("split") == "test"))
     got = M.evaluate(test)
@@ -742,7 +742,7 @@ def m8(spark, sf):
 
 @query("m8_score_model")
 def m8_model(spark, sf):
-    split = M.stratified_split(labelled(spark, sf))
+    split = P.landed_split(labelled(spark, sf))
     model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"))
     df = M.model_features(DM.with_model_inputs(ast(spark, sf)))
     # the level is recomputed from the probability; every fifth body lacks a feature
@@ -759,7 +759,7 @@ def m8_model(spark, sf):
 
 @query("m8_score_unscaled")
 def m8_unscaled(spark, sf):
-    split = M.stratified_split(labelled(spark, sf))
+    split = P.landed_split(labelled(spark, sf))
     network = M.train_classifier(split.where(F.col("split") == "train"), None, iterations=10).stages[-1]
     df = M.model_features(DM.with_model_inputs(ast(spark, sf)))
     lacking = F.col("event_id") % 5 == 0
@@ -778,7 +778,7 @@ def m8_unscaled(spark, sf):
 @query("m9_save_load")
 def m9(spark, sf):
     path = scratch_path(spark, "model")
-    split = M.stratified_split(labelled(spark, sf))
+    split = P.landed_split(labelled(spark, sf))
     model = M.train_classifier(split.where(F.col("split") == "train"), split.where(F.col("split") == "validation"))
     M.save_model(model, path)
     loaded = M.load_model(path)
@@ -796,7 +796,7 @@ def m9_refresh(spark, sf):
     rows = M.model_features(DM.with_model_inputs(ast(spark, sf))).withColumn("turn", F.col("event_id") % 3)
     rows.write.partitionBy("turn").parquet(f"{base}/rows")
     schema = rows.drop("turn").schema
-    split = M.stratified_split(labelled(spark, sf))
+    split = P.landed_split(labelled(spark, sf))
     train = split.where(F.col("split") == "train")
     models = [None, *[M.train_classifier(train, None, iterations=n) for n in (5, 10)]]
     names = [SM.NO_MODEL, "v1", "v2"]

@@ -130,3 +130,36 @@ def test_score_without_a_scaler(spark):
         layer = w @ layer + bias
         layer = np.exp(layer) / np.exp(layer).sum() if b == 2 and at == len(weights) else 1 / (1 + np.exp(-layer))
     assert got[1] == pytest.approx(layer[1], rel=1e-9)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_zscore_computes_mean_and_deviation_once(spark):
+    """Neither is computed again for each element: the plan holds two sums over the array."""
+    df = M.row_zscore(spark.createDataFrame([([1.0, 2.0, 6.0],), ([],), (None,), ([1.0, None],)], "features array<double>"))
+    assert _plan(df).count("aggregate(") == 2
+    got = [r.features_z for r in df.collect()]
+    assert got[0] == pytest.approx([(x - 3) / ((14 / 3) ** 0.5 + 1e-8) for x in (1, 2, 6)])
+    assert got[1:] == [[], None, [None, None]]
+
+
+def test_split_deals_no_label_to_one_task(spark):
+    """The rows are not shuffled by their label."""
+    df = spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") % 10 == 0).cast("int").alias("label"))
+    split = M.stratified_split(df)
+    plan = split._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert split.where("split = 'train'").count() == 600
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """Rows that come in one partition are learned from on all cores."""
+    seen, fit = [], M.MultilayerPerceptronClassifier.fit
+    monkeypatch.setattr(M.MultilayerPerceptronClassifier, "fit",
+                        lambda self, df: seen.append(df.rdd.glom().map(len).collect()) or fit(self, df))
+    rows = spark.range(4000).select((F.col("id") % 2).alias("label"), F.rand(1).alias("a"), F.rand(2).alias("b")).coalesce(1)
+    M.train_classifier(rows, None, cols=("a", "b"), layers=(2, 3, 2), iterations=2)
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(seen[0]) == 4000 and max(seen[0]) <= 2 * 4000 / cores
