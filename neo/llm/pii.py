@@ -3,12 +3,13 @@
 1. High-recall generators propose spans, which may overlap, with format features (length,
    digits, check sums, separators, diversity of characters) and context features (words and
    signs before the span).  Spans that meet a base rule are marked; they are always kept.
-2. Gradient-boosted trees are trained on a bounded sample of candidates.  No labels of
+2. Gradient-boosted trees are trained on all candidates but a third that is held out.  No labels of
    personal data exist, so they are weak labels: a candidate that passes its kind's check
    (address syntax, number ranges, check digit, number of digits, an assignment to a secret's
-   name) is positive, one that fails is negative.
-3. On the part of the sample that was held out, each kind gets the lowest threshold whose
-   precision is high enough.  Candidates beyond it are added to the base spans.
+   name) is positive, one that fails is negative.  Those of a kind and label weigh as much as
+   ``WEIGHT`` at most together, so that a frequent kind does not outvote a rare one.
+3. On all candidates that were held out, each kind gets the lowest threshold whose precision is
+   high enough.  Candidates beyond it are added to the base spans.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from neo.llm.common import arrow_schema, land
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
 
-#: The trees see at most so many candidates of each kind and weak label (those with the smallest hash).
-SAMPLE = 2_000
+#: What the candidates of a kind and weak label weigh together, at most, in the training of the trees.
+WEIGHT = 2_000
 PRECISION = 0.9
 ROUNDS, DEPTH = 8, 4
 
@@ -177,26 +178,25 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(lambda it: _propose(it, schema), ddl)
 
 
-def sample(spans: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """At most ``limit`` candidates of each kind and weak label, those with the smallest hash."""
-    at = F.xxhash64("row_key", "kind", "first", "last")
-    picked = None
-    for kind in KINDS:
-        for weak in (True, False):
-            part = (spans.filter((F.col("kind") == kind) & (F.col("weak") == weak))
-                    .select("kind", "weak", "features", at.alias("at")).orderBy("at").limit(limit))
-            picked = part if picked is None else picked.unionByName(part)
-    return picked.select("kind", F.col("weak").cast("double").alias("label"), (F.col("at") % 3 == 0).alias("held_out"),
-                         array_to_vector("features").alias("vector"))
+def examples(spans: DataFrame, weight: float = WEIGHT) -> DataFrame:
+    """Every candidate as ``kind, label, held_out, vector, weight``."""
+    found = spans.filter(F.col("kind").isNotNull())
+    held_out = F.xxhash64("row_key", "kind", "first", "last") % 3 == 0
+    # at most a row for each kind and weak label
+    counts = found.filter(~held_out).groupBy("kind", "weak").agg(F.least(F.lit(1.0), F.lit(float(weight)) / F.count("*")).alias("weight"))
+    return found.join(F.broadcast(counts), ["kind", "weak"], "left").select(
+        "kind", F.col("weak").cast("double").alias("label"), held_out.alias("held_out"),
+        array_to_vector("features").alias("vector"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
 
 
-def train(spans: DataFrame, limit: int = SAMPLE, precision: float = PRECISION, rounds: int = ROUNDS):
-    """The trees and each kind's threshold; None and no thresholds if a label is missing."""
-    rows = land(spans.sparkSession, sample(spans, limit).coalesce(4), "pii-sample")
+def train(spans: DataFrame, weight: float = WEIGHT, precision: float = PRECISION, rounds: int = ROUNDS):
+    """The trees and each kind's threshold, learned from every candidate; None and no thresholds if a
+    label is missing."""
+    rows = land(spans.sparkSession, examples(spans, weight), "pii-examples")
     fit = rows.filter(~F.col("held_out"))
     if fit.select("label").distinct().count() < 2:
         return None, {}
-    trees = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=rounds, maxDepth=DEPTH, seed=7,
+    trees = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=DEPTH, seed=7,
                           cacheNodeIds=False).fit(fit)
     held = trees.transform(rows.filter("held_out"))
     step = F.floor(vector_to_array("probability")[1] * 100).cast("int")
@@ -211,7 +211,7 @@ def train(spans: DataFrame, limit: int = SAMPLE, precision: float = PRECISION, r
     return trees, thresholds
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE,
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT,
          precision: float = PRECISION) -> DataFrame:
     """One row per input row: ``doc_id, spans, row_key`` (a hash of the text); a span has ``first, kind_no, last, kind, base,
     p`` in order of its start and kind (code points, end exclusive; ``p`` is 1 for a base rule).
@@ -222,7 +222,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
     scanned in linear time.
     """
     spans = land(docs.sparkSession, candidates(docs, id_col, text_col), "pii-candidates")
-    trees, thresholds = train(spans, limit, precision)
+    trees, thresholds = train(spans, weight, precision)
     kind_no = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     if trees is None:
         scored = spans.withColumn("p", F.lit(0.0))

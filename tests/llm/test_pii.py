@@ -79,3 +79,13 @@ def test_redaction_keeps_to_its_text(spark):
     out = P.redact(df, P.find(df))
     assert out.columns == df.columns
     assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted((str(i), str(t)) for (i, _), t in texts.items())
+
+
+def test_trees_learn_from_every_candidate(spark):
+    """No kind is cut to a sample, and a frequent kind weighs no more than the limit."""
+    texts = [(i, f"mail a{i}@mail.example.com, host 10.0.0.{i % 400}") for i in range(2500)]
+    spans = P.candidates(spark.createDataFrame(texts, "doc_id long, text string"))
+    rows = P.examples(spans, 100).toPandas()
+    assert len(rows) == 5000 and rows[rows.kind == "email"].held_out.sum() > 700
+    known = rows[~rows.held_out].groupby(["kind", "label"]).weight.sum()
+    assert all(abs(w - 100) < 1e-6 for w in known)
