@@ -1031,18 +1031,24 @@ def st3(spark, sf):
 def st4(spark, sf):
     base = scratch_path(spark, "st4")
     recs = C.collision_risk(P.features(DM.asteroids(_event_stream(spark, sf))), earth=FIXED)
-    SR.live_read_model(recs, f"{base}/model", f"{base}/_checkpoint", days=7, trigger="availableNow").awaitTermination()
-    m = SR.read_live_model(spark, f"{base}/model", levels=["HIGH", "MEDIUM"])
+    SR.live_read_model(recs, f"{base}/model", f"{base}/_checkpoint", trigger="availableNow").awaitTermination()
+    m = SR.read_live_model(spark, f"{base}/model", days=7, levels=["HIGH", "MEDIUM"])
+    whole = SR.read_live_model(spark, f"{base}/model")
     rows = risk_fixed(spark, sf).select(F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"), "size", F.to_date("timestamp").alias("d"))
     rows = rows.where(F.col("d") > F.date_sub(rows.agg(F.max("d")).scalar(), 7)).drop("d")
-    # the box's quartiles come from sketches: they must stand within the sketch's error of their ranks
+    # the sketched quartiles must stand within the sketch's error of their ranks
     both = rows.join(m["box"].select("risk_level", "q1", "median", "q3"), "risk_level")
     checks = both.groupBy("risk_level").agg(*[
         SK.rank_within("size", p, F.col(c), 2 * SK.RANK_ERROR).alias(f"{c}_within") for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    sketched = m["box"].select("risk_level", "n", "min", "max").join(checks, "risk_level")
     panel = m["panel"].select("total", "high", "medium", "low", rnd("avg_size", 9).alias("avg_size"), "max_probability")
-    box = m["box"].select("risk_level", "n", "min", "max").join(checks, "risk_level")
-    return _union([long_form("panel", panel), long_form("histogram", m["histogram"], F.col("bin")),
-                   long_form("box", box, F.col("risk_level")), long_form("top", m["top"], F.col("id"))])
+    everything = _read_model_long({"panel": whole["panel"], "histogram": whole["exact_histogram"], "box": whole["exact_box"],
+                                   "top": whole["top"]})
+    return _union([long_form("panel", panel), long_form("histogram", m["exact_histogram"], F.col("bin")),
+                   long_form("live_histogram", m["histogram"], F.col("bin")),
+                   long_form("box", _box_rounded(m["exact_box"]), F.col("risk_level")),
+                   long_form("live_box", sketched, F.col("risk_level")), long_form("top", m["top"], F.col("id")),
+                   *[df.withColumn("tbl", F.concat(F.lit("all_"), "tbl")) for df in everything]])
 
 
 def queries() -> dict[str, Query]:

@@ -699,10 +699,14 @@ _LIVE_HISTOGRAM = """
 SELECT bin, bin * 0.00005::DOUBLE AS bin_start, (bin + 1) * 0.00005::DOUBLE AS bin_end, count(*) AS count
 FROM (SELECT CAST(greatest(least(floor(coalesce(enhanced_collision_probability, 0.0::DOUBLE) / 0.00005::DOUBLE), 19), 0) AS INTEGER) AS bin
       FROM recent) GROUP BY bin"""
-_ctes, _body = long_sql(READ_MODEL | {
-    "histogram": (_LIVE_HISTOGRAM, *READ_MODEL["histogram"][1:]),
-    "box": (_RANKS_HOLD, "risk_level", ("n", "min", "max"), ("risk_level", "q1_within", "median_within", "q3_within"))})
+# the model of all kept days and levels, beside that of the last week
+_ALL = {f"all_{t}": (q.replace("recent", "kept"), *rest) for t, (q, *rest) in READ_MODEL.items() if t != "box"}
+_ctes, _body = long_sql(READ_MODEL | _ALL | {
+    "live_histogram": (_LIVE_HISTOGRAM, *READ_MODEL["histogram"][1:]),
+    "live_box": (_RANKS_HOLD, "risk_level", ("n", "min", "max"), ("risk_level", "q1_within", "median_within", "q3_within")),
+    "all_box": (f"WITH {BOX.format(src='kept')} {BOX_SELECT}", *READ_MODEL["box"][1:])})
 sql("st4_live_read_model", _body, "asteroids", ctes=RF + """,
+kept AS (SELECT * FROM risk WHERE CAST(timestamp AS DATE) > (SELECT max(CAST(timestamp AS DATE)) FROM risk) - 30),
 recent AS (SELECT * FROM risk WHERE CAST(timestamp AS DATE) > (SELECT max(CAST(timestamp AS DATE)) FROM risk) - 7
            AND coalesce(risk_level, 'LOW') IN ('HIGH', 'MEDIUM')),""" + BOX.format(src="recent") + _ctes)
 sql("st3_live_state", f"""

@@ -6,6 +6,10 @@ the rows of the version before; days that leave the window are dropped.  A refre
 the batch and a few rows per day, never the history, and any panel over the last days and
 any set of levels is read from the same rows.
 
+Beside them the sizes and probabilities of every row are kept, a folder for each day and batch under
+``rows``, written once and gone with their day: quartiles, fences, whiskers and the histogram over the range of
+the data are exact, and are computed when they are read (:func:`exact_tables`).
+
 Versions are whole folders, ``version=<batch id>``.  A version becomes current when the file
 ``CURRENT`` is replaced by rename (atomic on HDFS and local disks), so a reader finds the old tables or the
 new ones, never none.  A batch that is run again finds its version current and does
@@ -14,12 +18,13 @@ nothing, or writes the same folder anew.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from neo import constants as K
 from neo.functions.timefn import to_ntz
+from neo.operators import aggregates as A
 from neo.operators.sketches import sketch, sketch_merge, sketch_quantiles
 from neo.sources import tables as T
 from neo.streaming.landing import _trigger
@@ -29,6 +34,7 @@ PARTS = 32
 
 _BINS = [f"b{i}" for i in range(K.HISTOGRAM_BINS)]
 _WIDTH = K.PROBABILITY_SCALE / K.HISTOGRAM_BINS
+_VALUES = "slice date, batch long, level string, size double, probability double"
 _TOP = ("id", "event_id", "size", "distance_from_earth", "probability")
 
 
@@ -80,6 +86,11 @@ def _point(spark: SparkSession, path: str, version: int) -> None:
             T.remove(spark, f"{path}/version={v}")
 
 
+def _slices(spark: SparkSession, at: str) -> set[str]:
+    """The days of a version; at most as many as it keeps."""
+    return {str(r[0]) for r in spark.read.parquet(f"{at}/partials").select("slice").distinct().collect()}
+
+
 def refresh(batch: DataFrame, version: int, path: str, days: int) -> None:
     """Merge a batch of records into the model under ``path``; ``days`` slices are kept."""
     spark = batch.sparkSession
@@ -98,9 +109,18 @@ def refresh(batch: DataFrame, version: int, path: str, days: int) -> None:
         parts.write.mode("overwrite").parquet(f"{out}/partials")
         kept = spark.read.parquet(f"{out}/partials").select("slice").distinct()
         top.join(kept, "slice", "left_semi").write.mode("overwrite").parquet(f"{out}/riskiest")
+        for day in T.partition_values(spark, f"{path}/rows", "slice"):  # of a run of this batch that failed
+            T.remove(spark, f"{path}/rows/slice={day}/batch={version}")
+        (rows.join(F.broadcast(kept), "slice", "left_semi")
+         .select("slice", F.lit(version).alias("batch"), "level", F.col("size").cast("double").alias("size"), "probability")
+         .write.mode("append").partitionBy("slice", "batch").parquet(f"{path}/rows"))
     finally:
         rows.unpersist()
     _point(spark, path, version)
+    used = _slices(spark, out) | (_slices(spark, f"{path}/version={before}") if before is not None else set())
+    for day in T.partition_values(spark, f"{path}/rows", "slice"):
+        if day not in used:
+            T.remove(spark, f"{path}/rows/slice={day}")
 
 
 def live_read_model(stream: DataFrame, path: str, checkpoint: str, days: int = 30, trigger: str = "30 seconds") -> StreamingQuery:
@@ -143,10 +163,24 @@ def model_tables(parts: DataFrame, top: DataFrame, days: int | None = None, leve
     return {"panel": panel, "histogram": histogram, "box": box, "top": top}
 
 
+def exact_tables(values: DataFrame, newest: Column, days: int | None = None, levels=None) -> dict[str, DataFrame]:
+    """Histogram over the range of the probability (A7) and box with whiskers (A8) from the kept rows."""
+    if days is not None:
+        values = values.where(F.col("slice") > F.date_sub(newest, days))
+    if levels is not None:
+        values = values.where(F.coalesce("level", F.lit("LOW")).isin(list(levels)))
+    return {"exact_histogram": A.probability_histogram(values, "probability"), "exact_box": A.size_box_stats(values, level="level")}
+
+
 def read_live_model(spark: SparkSession, path: str, days: int | None = None, levels=None) -> dict[str, DataFrame] | None:
-    """The current tables; none before the first batch."""
+    """The current tables, and ``exact_histogram`` and ``exact_box``; none before the first batch."""
     version = current_version(spark, path)
     if version is None:
         return None
     at = f"{path}/version={version}"
-    return model_tables(spark.read.parquet(f"{at}/partials"), spark.read.parquet(f"{at}/riskiest"), days, levels)
+    parts = spark.read.parquet(f"{at}/partials")
+    days_kept = parts.select("slice").distinct()
+    values = spark.read.schema(_VALUES).parquet(f"{path}/rows").where(F.col("batch") <= version)
+    values = values.join(F.broadcast(days_kept), "slice", "left_semi")
+    return (model_tables(parts, spark.read.parquet(f"{at}/riskiest"), days, levels)
+            | exact_tables(values, parts.agg(F.max("slice")).scalar(), days, levels))

@@ -92,3 +92,19 @@ def test_empty_batch_and_rows_without_time(spark, tmp_dir):
     assert RM.read_live_model(spark, path)["panel"].first()["total"] == 0
     RM.refresh(spark.createDataFrame([("a", 1, None, 1.0, 1.0, 0.5, "HIGH")], SCHEMA), 1, path, 5)
     assert RM.read_live_model(spark, path)["panel"].first()["total"] == 0
+
+
+def test_exact_tables_of_many_batches_equal_a_recompute(spark, tmp_dir):
+    """Quartiles, fences, whiskers and the histogram over the range of the data, of all rows in the window."""
+    rng = random.Random(6)
+    path, seen = f"{tmp_dir}/model", []
+    for b in range(4):
+        rows = _rows(rng, 30, 100 * b, b)
+        seen += rows
+        RM.refresh(spark.createDataFrame(rows, SCHEMA).coalesce(1), b, path, days=3)
+    newest = max(r[2].date() for r in seen)
+    df = spark.createDataFrame(seen, SCHEMA).where(F.to_date("timestamp") > F.lit(newest - dt.timedelta(days=3)))
+    got = RM.read_live_model(spark, path)
+    for name, want in (("exact_box", A.size_box_stats(df)), ("exact_histogram", A.probability_histogram(df))):
+        assert sorted(map(tuple, got[name].collect())) == sorted(map(tuple, want.collect()))
+    assert len(TB.partition_values(spark, f"{path}/rows", "slice")) <= 4  # days that left the window are gone
