@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,6 +36,21 @@ def land(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: int):
+    """Arrow batches of about so many bytes, and a row at least, while a table is written.
+
+    Spark's own limit is 64 MB: a partition of long rows comes as one batch, and every core
+    holds it several times over outside the heap and in its Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only (``lower`` would also change letters beyond ASCII)."""
     ascii_only = F.octet_length(text) == F.length(text)

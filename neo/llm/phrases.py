@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from neo.llm.common import arrow_schema, chunks, land, mix64, utf8
+from neo.llm.common import arrow_bytes, arrow_schema, chunks, land, mix64, utf8
 
 WORDS, LEAST, KEEP = 5, 100, 2_000
 
@@ -43,11 +43,11 @@ SLOTS, BITS = 1 << 22, 1 << 24
 #: Share of the frequent words' occurrences that a wave takes while no score bounds it.
 SHARES = (0.125, 0.5, 1.0)
 
-#: Bytes of text that a numpy pass works on.
-PASS = 1 << 20
+#: Bytes of an Arrow batch that a task gets, and of text in one language that a numpy pass works on.
+BATCH, PASS = 4 << 20, 1 << 20
 
-#: Words of a row of runs, and words that grow at a time.
-ROW, RUN = 1_024, 1 << 18
+#: Words of a row of runs, and words that grow at a time.  A scan holds thousands of rows at once.
+ROW, RUN = 256, 1 << 17
 
 #: Parts in which the best phrases of a language are ranked before they are ranked together.
 PARTS = 32
@@ -79,10 +79,15 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lang: str, seed: int) -> tup
     letter = np.random.default_rng(100 + seed).integers(1, 1 << 63, 256, dtype=np.uint64)
     own = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
     with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(len(text) + 1, _BASE, np.uint64))
-        back = np.cumprod(np.full(len(text) + 1, pow(_BASE, -1, 1 << 64), np.uint64))
-        total = np.append(np.uint64(0), np.cumsum(letter[text] * power[:-1]))
-        hashes = mix64(mix64((total[ends] - total[starts]) * back[starts]) ^ own)
+        total = np.full(len(text) + 1, _BASE, np.uint64)
+        total[0] = 0
+        np.cumprod(total[1:], out=total[1:])
+        total[1:] *= letter[text]
+        np.cumsum(total, out=total)
+        inner = total[ends] - total[starts]
+        total[:] = pow(_BASE, -1, 1 << 64)
+        np.cumprod(total, out=total)
+        hashes = mix64(mix64(inner * total[starts]) ^ own)
     hashes[hashes == 0] = 1
     # the words as one array: blanks are cut away, so that words lie side by side
     sizes = ends - starts
@@ -212,6 +217,12 @@ def _map(df: DataFrame, fn, ddl: str, *options) -> DataFrame:
     return df.mapInArrow(lambda it: fn(it, *options, schema), ddl)
 
 
+def _land(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``land`` with batches that a task holds several of."""
+    with arrow_bytes(spark, BATCH):
+        return land(spark, df, name)
+
+
 def _columns(table: DataFrame) -> list[np.ndarray]:
     found = table.toArrow()
     return [c.combine_chunks().to_numpy() for c in found.columns]
@@ -289,12 +300,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(_LANG)).alias("lang"), F.col(text_col).alias("text"))
     seed = 0
     while True:
-        counted = land(spark, _map(texts, _word_counts, "lang string, w long, f long", seed).groupBy("lang", "w")
-                       .agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "words")
+        counted = _land(spark, _map(texts, _word_counts, "lang string, w long, f long", seed).groupBy("lang", "w")
+                        .agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "words")
         words = counted.filter("w != 0").withColumn("class", _class("f", least))
         classes = _class_table(spark, words, slots)
-        runs = land(spark, _map(texts, _runs, "lang string, run array<long>, w array<long>, word array<string>", seed, classes),
-                    "runs")
+        runs = _land(spark, _map(texts, _runs, "lang string, run array<long>, w array<long>, word array<string>", seed, classes),
+                     "runs")
         found = runs.select("lang", F.explode(F.arrays_zip("w", "word")).alias("v")).select("lang", "v.w", "v.word")
         named = F.struct("lang", "word")
         vocabulary = land(spark, found.join(words.select("w").distinct(), "w", "left_semi").groupBy("w")
@@ -321,8 +332,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             names = [f"w{k}" for k in range(1, size + 1)]
             ddl = ", ".join(f"{w} long" for w in [*names, "a"])
             counts = _map(todo, _grow, ddl, size, classes, grown).groupBy(*names).agg(F.sum("a").alias("a"))
-            parts[size].append(land(spark, counts.filter(F.col("a") >= least).select(F.array(*names).alias("ws"), "a"),
-                                    f"phrases{size}"))
+            parts[size].append(_land(spark, counts.filter(F.col("a") >= least).select(F.array(*names).alias("ws"), "a"),
+                                     f"phrases{size}"))
         alive = land(spark, _survivors(_union([p for found in parts.values() for p in found]), words, state, least), "survivors")
         last = _best(alive, [*order, "ws"], keep).filter(F.col("place") == keep).select("lang", F.col("score").alias("last"))
         bound = F.expr(f"(1000 * CAST(n AS DECIMAL(19, 0))) DIV (CAST({least} AS DECIMAL(19, 0)) * SHIFTLEFT(1L, high))")

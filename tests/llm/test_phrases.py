@@ -99,6 +99,30 @@ def test_words_with_one_hash(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows, 5, 5) and seeds == [0, 1]
 
 
+def test_batches_are_bounded(spark, monkeypatch):
+    """Long rows of one partition come to a task as batches of a few MB, not as one."""
+    most = 2 * P.BATCH
+
+    def watched(df, fn, ddl, *options, own=P._map):
+        def checked(batches, *rest):
+            def seen():
+                for batch in batches:
+                    if batch.nbytes > most:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+            return fn(seen(), *rest)
+
+        return own(df, checked, ddl, *options)
+
+    monkeypatch.setattr(P, "_map", watched)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, a = spark.conf.get(name), 1_500 * 2_000
+    docs = spark.range(0, 1_500, 1, 1).select(F.lit("en").alias("lang"), F.repeat(F.lit("one two! "), 2_000).alias("text"))
+    got = [tuple(r) for r in P.collocations(docs).collect()]
+    assert got == [("en", 1, "one two", a, a, a, 2 * a, 2_000)]
+    assert spark.conf.get(name) == before
+
+
 def test_odd_rows(odd, none):
     want = brute([(r[2], r[1]) for r in odd_rows()], 3, 2000)
     assert {tuple(r) for r in P.collocations(odd, least=3).collect()} == want and want
