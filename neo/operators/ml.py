@@ -7,11 +7,7 @@ scoring is ``model.transform`` over whole partitions, never one row per call.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -21,8 +17,10 @@ from neo import constants as K
 from neo import schemas as S
 from neo.functions.risk import risk_ladder
 from neo.functions.vector import distance3, norm3
+from neo.operators import perceptron as NN
 from neo.operators import ranks as R
 from neo.operators.collision import model_fallback_probability_col
+from neo.operators.perceptron import MultilayerPerceptronClassifier
 from neo.session import scratch_path
 from neo.sources.tables import remove
 
@@ -167,7 +165,8 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
     has no batch-norm or dropout).  One run is trained in slices of ``step`` iterations, each starting
     from the weights of the one before.  After a slice the loss on the validation rows is measured; after
     ``patience`` slices without a better one the run ends, and the best slice's weights are the
-    model.  The scaled rows are written once, dealt evenly over the cores, and read by every slice.
+    model.  The scaled rows are written once, dealt evenly over the cores, and stacked once into the
+    blocks that every slice goes over (:mod:`neo.operators.perceptron`).
 
     ``algorithm="rf"`` trains a random forest instead.  Rows with a missing feature are not
     learned from; the model scores them as NaN, which :func:`score` replaces."""
@@ -179,7 +178,7 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
         return Pipeline(stages=stages + [clf]).fit(train)
     spark = train.sparkSession
     prepared = Pipeline(stages=stages).fit(train)
-    path = scratch_path(spark, "training")
+    path, blocks, layers = scratch_path(spark, "training"), None, [len(cols), *layers[1:]]
 
     def landed(df: DataFrame, name: str) -> DataFrame:
         scaled = prepared.transform(df).select(label, "features_scaled")
@@ -188,12 +187,14 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
 
     try:
         rows = landed(train, "train")
+        blocks = NN.stack(rows, "features_scaled", label, layers[-1])
         held = landed(validation.dropna(subset=list(cols)), "validation") if validation is not None else None
         best, least, waited, weights = None, float("inf"), 0, None
         for done in range(0, iterations, step):
             clf = MultilayerPerceptronClassifier(
-                featuresCol="features_scaled", labelCol=label, layers=[len(cols), *layers[1:]],
+                featuresCol="features_scaled", labelCol=label, layers=layers,
                 maxIter=min(step, iterations - done), blockSize=128, seed=seed)
+            clf.blocks = blocks
             if weights is not None:
                 clf = clf.setInitialWeights(weights)
             model = clf.fit(rows)
@@ -210,6 +211,8 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
                     break
         return PipelineModel(stages=[*prepared.stages, best])
     finally:
+        if blocks is not None:
+            blocks.unpersist()
         remove(spark, path)
 
 

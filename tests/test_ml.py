@@ -163,3 +163,71 @@ def test_training_rows_are_dealt_evenly(spark, monkeypatch):
     M.train_classifier(rows, None, cols=("a", "b"), layers=(2, 3, 2), iterations=2)
     cores = spark.sparkContext.defaultParallelism
     assert sum(seen[0]) == 4000 and max(seen[0]) <= 2 * 4000 / cores
+
+
+def _even_rows(spark):
+    """Blocks of 128 rows leave none over, so that Spark's mean over blocks is the mean over rows."""
+    rows = spark.range(0, 4096, 1, 4).select((F.rand(3) + F.col("id") % 2 > 1).cast("int").alias("label"), F.array(
+        F.randn(1) + F.col("id") % 2, F.randn(2)).alias("x"))
+    return rows.select("label", M.array_to_vector("x").alias("features"))
+
+
+def test_stacked_training_gives_the_weights_of_sparks(spark, tmp_dir):
+    from pyspark.ml import classification
+
+    _even_rows(spark).write.parquet(f"{tmp_dir}/rows")
+    rows = spark.read.parquet(f"{tmp_dir}/rows")
+    got, want = (c(layers=[2, 8, 4, 2], maxIter=12, seed=7).fit(rows)
+                 for c in (M.MultilayerPerceptronClassifier, classification.MultilayerPerceptronClassifier))
+    assert got.weights.toArray() == pytest.approx(want.weights.toArray(), rel=5e-3, abs=5e-3)
+    assert M.log_loss(got.transform(rows)) == pytest.approx(M.log_loss(want.transform(rows)), rel=1e-5)
+
+
+def test_every_gradient_is_one_stage_over_rows_stacked_once(spark, monkeypatch):
+    from neo.operators import perceptron as NN
+
+    stacked, used, stages = [], [], []
+    tracker = spark.sparkContext.statusTracker()
+
+    def objective(blocks, layers, own=NN.objective):
+        def at(weights, cost=own(blocks, layers)):
+            before = set(tracker.getJobIdsForGroup(None))
+            out = cost(weights)
+            stages.append([len(tracker.getJobInfo(j).stageIds) for j in set(tracker.getJobIdsForGroup(None)) - before])
+            return out
+        used.append(blocks)
+        return at
+
+    monkeypatch.setattr(NN, "stack", lambda *a, own=NN.stack: (stacked.append(own(*a)), stacked[-1])[1])
+    monkeypatch.setattr(NN, "objective", objective)
+    M.train_classifier(_rows(spark, 600, 1), _rows(spark, 200, 2), cols=["a", "b"], layers=(2, 4, 2), iterations=6, step=2)
+    assert len(stacked) == 1 and len(used) == 3 and all(b is stacked[0] for b in used) and not stacked[0].is_cached
+    assert len(stages) > 6 and all(s == [1] for s in stages)
+
+
+def test_gradient_of_stacked_rows(spark):
+    from neo.operators import perceptron as NN
+
+    rng, layers = np.random.default_rng(5), [3, 5, 4, 3]
+    weights = rng.normal(size=sum(a * b + b for a, b in zip(layers, layers[1:])))
+    x, y = rng.normal(size=(2500, 3)).astype("float32"), rng.integers(0, 3, 2500).astype("int32")
+    parts = [(x[:1500], y[:1500]), (x[1500:], y[1500:])]
+    rows, loss, *grad = next(NN.gradient_pass(layers, weights)(parts))
+    out, at = x.astype("float64"), 0
+    for a, b in zip(layers, layers[1:]):
+        out = out @ weights[at:at + a * b].reshape(a, b) + weights[at + a * b:at + a * b + b]
+        at += a * b + b
+        out = 1 / (1 + np.exp(-out)) if at < len(weights) else out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+    assert rows == 2500 and loss == pytest.approx(-out[np.arange(2500), y].sum(), rel=1e-6)
+    for k in range(0, len(weights), 7):
+        step = np.zeros_like(weights)
+        step[k] = 1e-2
+        high, low = (next(NN.gradient_pass(layers, w)(parts))[1] for w in (weights + step, weights - step))
+        assert grad[k] == pytest.approx((high - low) / 2e-2, rel=2e-2, abs=0.1)
+
+
+def test_labels_that_are_no_class_end_the_training(spark):
+    for label in (2, None):
+        rows = spark.createDataFrame([(0.5, 0), (0.1, 1), (0.3, label)], "a double, label int")
+        with pytest.raises(Exception):
+            M.train_classifier(rows, None, cols=["a"], layers=(1, 2, 2), iterations=2)
