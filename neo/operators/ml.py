@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from neo import constants as K
@@ -24,6 +24,8 @@ from neo.operators.perceptron import MultilayerPerceptronClassifier
 from neo.session import scratch_path
 from neo.sources.tables import remove
 
+#: Hex digits of the split's digest by which a label's rows are counted.
+HEAD_DIGITS = 3
 MODEL_INPUTS = ("orbital_eccentricity", "inclination_deg", "albedo", "rotation_period_h", "surface_temp_k")
 
 
@@ -113,24 +115,41 @@ def split_digest(key_col: str, seed: str = K.SPLIT_SEED) -> Column:
     return F.md5(F.concat(F.col(key_col).cast("string"), F.lit(seed)))
 
 
+def _landed(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stratified_split(df: DataFrame, label: str = "label", key: str = "event_id",
                      fractions=K.SPLIT_FRACTIONS, seed: str = K.SPLIT_SEED) -> DataFrame:
     """M4: exact, repeatable stratified split.
 
     Within each label, rows are ranked by (whole md5, ``key``); rank < floor(f1 n)
     is ``train``, < floor((f1+f2) n) is ``validation``, the rest ``test``.  The last row of a
-    part is an order statistic of each label (:mod:`neo.operators.ranks`): any number of labels is one
-    plan, no label is sorted in one task, and nothing comes to the driver.  The rows are read once
+    part is an order statistic of each label: rows are counted by the head of their digest, and only
+    those under the head that holds a cut are put in order (:mod:`neo.operators.ranks`).  Any number of
+    labels is one plan, no label is sorted in one task, and nothing comes to the driver.  The rows are read once
     more against the table of cuts, one row a label.  That table is written first: its size is then known
     before the join, and the rows of a large label are not dealt to one task."""
-    spark = df.sparkSession
-    own = F.struct(split_digest(key, seed).alias("d"), F.col(key).alias("k"))
-    f1, f2 = fractions[0], fractions[0] + fractions[1]
-    at = {name: F.floor(F.lit(f) * F.col("n")) - 1 for name, f in (("_train", f1), ("_validation", f2))}
-    cuts = R.order_values(df, own, at, [label]).select(F.col(label).alias("_of"), *at)
-    path = scratch_path(spark, "cuts")
-    cuts.write.parquet(path)
-    cuts = spark.read.schema(cuts.schema).parquet(path)
+    digest = split_digest(key, seed)
+    own = F.struct(digest.alias("d"), F.col(key).alias("k"))
+    rows = df.select(F.col(label).alias("_of"), F.substring(digest, 1, HEAD_DIGITS).alias("_head"), own.alias("_own"))
+    of = Window.partitionBy("_of")
+    heads = rows.groupBy("_of", "_head").agg(F.count(F.lit(1)).alias("c")).select(
+        "_of", "_head", "c", F.sum("c").over(of).alias("n"),
+        (F.sum("c").over(of.orderBy("_head").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).alias("before"))
+    at = F.array(*[F.struct(F.lit(name).alias("name"), (F.floor(F.lit(f) * F.col("n")) - 1).alias("k"))
+                   for name, f in (("_train", fractions[0]), ("_validation", fractions[0] + fractions[1]))])
+    inside = F.col("k").between(F.col("before"), F.col("before") + F.col("c") - 1)
+    wanted = _landed(heads.withColumn("r", F.explode(at)).select("*", "r.*").where(inside).select(
+        "_of", "_head", "name", (F.col("k") - F.col("before")).alias("k")), "heads")
+    keys = ["_of", "_head"]
+    near = R.match(rows, wanted.select(*keys).distinct(), keys, "left_semi")
+    found = R.match(R.running_totals(near, "_own", {"c": F.lit(1)}, keys), wanted, keys).where(
+        F.col("k").between(F.col("c_before"), F.col("c_before") + F.col("c") - 1))
+    cuts = _landed(found.groupBy("_of").agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n)
+                                              for n in ("_train", "_validation")]), "cuts")
     joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_of")), "left")
     split = F.when(own <= F.col("_train"), "train").when(own <= F.col("_validation"), "validation").otherwise("test")
     return joined.select(*[df[c] for c in df.columns], split.alias("split"))
@@ -188,13 +207,14 @@ def train_classifier(train: DataFrame, validation: DataFrame | None = None, cols
     try:
         rows = landed(train, "train")
         blocks = NN.stack(rows, "features_scaled", label, layers[-1])
+        cost = NN.objective(blocks, layers)
         held = landed(validation.dropna(subset=list(cols)), "validation") if validation is not None else None
         best, least, waited, weights = None, float("inf"), 0, None
         for done in range(0, iterations, step):
             clf = MultilayerPerceptronClassifier(
                 featuresCol="features_scaled", labelCol=label, layers=layers,
                 maxIter=min(step, iterations - done), blockSize=128, seed=seed)
-            clf.blocks = blocks
+            clf.cost = cost
             if weights is not None:
                 clf = clf.setInitialWeights(weights)
             model = clf.fit(rows)

@@ -100,15 +100,15 @@ def gradient_pass(layers: list[int], weights: np.ndarray) -> Callable:
                             z += 1
                             np.reciprocal(z, out=z)
                         outs.append(z)
-                    z = -outs.pop().astype("float64")
-                    z -= z.max(axis=1, keepdims=True)
+                    z = -outs.pop().T.astype("float64", order="C")  # a row per class: numpy is slow along short rows
+                    z -= z.max(axis=0)
                     delta = np.exp(z)
-                    sums = delta.sum(axis=1, keepdims=True)
-                    own = (np.arange(n), y)
-                    loss += float((np.log(sums[:, 0]) - z[own]).sum())
+                    sums = delta.sum(axis=0)
+                    own = (y, np.arange(n))
+                    loss += float((np.log(sums) - z[own]).sum())
                     delta /= sums
                     delta[own] -= 1.0
-                    delta = delta.astype("float32")
+                    delta = delta.T.astype("float32", order="C")
                     rows += n
                     for k in range(len(net) - 1, -1, -1):
                         w, _, gw, gb = net[k]
@@ -125,14 +125,18 @@ def gradient_pass(layers: list[int], weights: np.ndarray) -> Callable:
 
 
 def objective(blocks: RDD, layers: list[int]) -> Callable:
-    """Mean loss and gradient of weights over all stacked rows."""
+    """Mean loss and gradient of weights over all stacked rows.  The last answer is kept: a slice of a
+    training starts from the weights that the one before ended with."""
     depth = 1 if blocks.getNumPartitions() <= DIRECT_PARTITIONS else 2
+    known: list = [None, None]
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray]:
-        rows, loss, *_ = sums = blocks.mapPartitions(gradient_pass(layers, weights)).treeReduce(add, depth)
-        if not rows:
-            raise ValueError("no rows to learn from")
-        return loss / rows, sums[2:] / rows
+        if known[0] is None or not np.array_equal(known[0], weights):
+            rows, loss, *_ = sums = blocks.mapPartitions(gradient_pass(layers, weights)).treeReduce(add, depth)
+            if not rows:
+                raise ValueError("no rows to learn from")
+            known[:] = weights.copy(), (loss / rows, sums[2:] / rows)
+        return known[1]
 
     return at
 
@@ -241,10 +245,10 @@ def minimise(cost: Callable, x: np.ndarray, iterations: int, tolerance: float) -
 
 
 class MultilayerPerceptronClassifier(classification.MultilayerPerceptronClassifier):
-    """Spark's classifier with its parameters (solver ``l-bfgs``) and its model; ``blocks`` may hold the
-    rows of ``fit`` as :func:`stack` gives them, for trainings that go over the same rows again."""
+    """Spark's classifier with its parameters (solver ``l-bfgs``) and its model; ``cost`` may be the
+    :func:`objective` of the rows of ``fit``, for trainings that go over the same rows again."""
 
-    blocks: RDD | None = None
+    cost: Callable | None = None
 
     def _fit(self, dataset: DataFrame) -> MultilayerPerceptronClassificationModel:
         if self.getSolver() != "l-bfgs":
@@ -258,11 +262,14 @@ class MultilayerPerceptronClassifier(classification.MultilayerPerceptronClassifi
                 sizes[i] = n
             network = sc._jvm.org.apache.spark.ml.ann.FeedForwardTopology.multiLayerPerceptron(sizes, True)
             start = _java2py(sc, network.model(self.getSeed()).weights())
-        blocks = self.blocks or stack(dataset, self.getFeaturesCol(), self.getLabelCol(), layers[-1])
+        blocks, cost = None, self.cost
         try:
-            weights, _ = minimise(objective(blocks, layers), start.toArray(), self.getMaxIter(), self.getTol())
+            if cost is None:
+                blocks = stack(dataset, self.getFeaturesCol(), self.getLabelCol(), layers[-1])
+                cost = objective(blocks, layers)
+            weights, _ = minimise(cost, start.toArray(), self.getMaxIter(), self.getTol())
         finally:
-            if blocks is not self.blocks:
+            if blocks is not None:
                 blocks.unpersist()
         java = self._new_java_obj("org.apache.spark.ml.classification.MultilayerPerceptronClassificationModel",
                                   self.uid, _py2java(sc, Vectors.dense(weights)))

@@ -40,7 +40,13 @@ class Stats(NamedTuple):
 
 
 def _values(df: DataFrame, value: str) -> DataFrame:
-    return df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    return df.select(F.col(value).cast("double").alias("v"))
+
+
+def _present(base: DataFrame) -> DataFrame:
+    """Rows of the kept values that are neither null nor NaN.  A filter below the kept rows would compute the
+    value again for each of its tests."""
+    return base.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def column_stats(base: DataFrame, probs=()) -> Stats:
@@ -63,7 +69,8 @@ def order_statistics(df: DataFrame, value: str, ranks: Iterable[int], brackets:
     and replaced by the full range if it does not hold the rank."""
     base = _values(df, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _search(base, column_stats(base), ranks, brackets or {}, buckets)
+        values = _present(base)
+        return _search(values, column_stats(values), ranks, brackets or {}, buckets)
     finally:
         base.unpersist()
 
@@ -131,12 +138,13 @@ def quantiles(df: DataFrame, value: str, probs) -> list[float] | None:
     ends = {p: tuple(min(1.0, max(0.0, round(p + d, 6))) for d in (-margin, margin)) for p in probs}
     base = _values(df, value).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = column_stats(base, sorted({e for pair in ends.values() for e in pair}))
+        values = _present(base)
+        stats = column_stats(values, sorted({e for pair in ends.values() for e in pair}))
         if not stats.n:
             return None
         places = [((stats.n - 1) * p, p) for p in probs]
         brackets = {k: tuple(stats.approx[e] for e in ends[p]) for h, p in places for k in (math.floor(h), math.ceil(h))}
-        got = _search(base, stats, brackets, brackets)
+        got = _search(values, stats, brackets, brackets)
         out = []
         for h, _p in places:
             lo, hi = got[math.floor(h)], got[math.ceil(h)]

@@ -41,7 +41,7 @@ def _dealt(df: DataFrame, value: Column, by: list[str], weights: dict[str, Colum
     return rows, sums, groups
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null; the right side's keys go."""
     there = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     on = F.lit(True)
@@ -63,13 +63,13 @@ def order_values(df: DataFrame, value: Column | str, at: dict[str, Column], by=(
     wanted = (sums.withColumn("n", F.col("c_all")).withColumn("r", F.explode(ranks)).select("*", "r.*").where(inside)
               .select(*groups, "bucket", "name", (F.col("k") - F.col("c_before")).alias("k")))
     keys = [*groups, "bucket"]
-    looked = _same(rows, wanted.select(*keys).distinct(), keys, "left_semi")
+    looked = match(rows, wanted.select(*keys).distinct(), keys, "left_semi")
     upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v"))
-    found = _same(looked.withColumn("upto", upto), wanted, keys).where(
+    found = match(looked.withColumn("upto", upto), wanted, keys).where(
         (F.col("upto") > F.col("k")) & (F.col("upto") - F.col("c") <= F.col("k")))
     sizes = sums.groupBy(*groups).agg(F.max("c_all").alias("n")).where("n IS NOT NULL")
     picked = found.groupBy(*groups).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in at])
-    out = _same(sizes, picked, groups, "left") if groups else sizes.crossJoin(F.broadcast(picked))
+    out = match(sizes, picked, groups, "left") if groups else sizes.crossJoin(F.broadcast(picked))
     return out.withColumnsRenamed(dict(zip(groups, by)))
 
 
@@ -98,6 +98,6 @@ def running_totals(df: DataFrame, value: Column | str, weights: dict[str, Column
     keys = [*groups, "bucket"]
     inside = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({f"{n}_inside": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in weights})
-    out = _same(local, sums, keys)
+    out = match(local, sums, keys)
     before = [(F.col(f"{n}_before") + F.col(f"{n}_inside")).alias(f"{n}_before") for n in weights]
     return out.select(*[F.col(g).alias(b) for g, b in zip(groups, by)], "v", *weights, *before, *[f"{n}_all" for n in weights])

@@ -750,7 +750,8 @@ def m8_model(spark, sf):
     df = df.withColumn("albedo", F.when(~lacking, F.col("albedo")))
     got = M.score(df, model).select("event_id", "ml_probability", "ml_risk_level")
     plain = M.score(df, None).select("event_id", F.col("ml_probability").alias("fallback"))
-    both = got.join(plain, "event_id")
+    # both sides hold every body: a file that compresses well must not make Spark broadcast one of them
+    both = got.join(plain.hint("merge"), "event_id")
     return both.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("ml_probability").between(0.0, 1.0)).alias("n_valid"),
         F.count_if(lacking & (F.col("ml_probability") == F.col("fallback"))).alias("n_fallback"),

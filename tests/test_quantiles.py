@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from neo.operators import aggregates as A
 from neo.operators import quantiles as Q
@@ -134,3 +135,13 @@ def test_infinities_are_ordered_not_searched(spark):
     assert [got[k] for k in (0, 2, 3, 7, 12, 13, 14)] == [srt[k] for k in (0, 2, 3, 7, 12, 13, 14)]
     q = Q.quantiles(_df(spark, vals), "v", [0.5])
     assert q == [float(np.quantile(np.array(vals), 0.5))]
+
+
+def test_kept_values_are_computed_once_a_row(spark, monkeypatch):
+    """The tests for null and NaN lie above the kept values, so that they do not compute them again."""
+    plans, own = [], Q.column_stats
+    monkeypatch.setattr(Q, "column_stats", lambda base, *a: (plans.append(base._jdf.queryExecution().optimizedPlan().toString()), own(base, *a))[1])
+    df = spark.range(1001).select(F.when(F.col("id") > 0, F.sin(F.col("id")) * 0 + F.col("id")).alias("x"))
+    assert Q.quantile(df, "x", 0.5) == 500.5
+    assert "InMemoryRelation" in plans[0] and "Filter" in plans[0].split("InMemoryRelation")[0]
+    assert "Filter" not in plans[0].split("InMemoryRelation")[1]
