@@ -260,3 +260,15 @@ def test_split_puts_in_order_only_rows_near_the_cuts(spark, monkeypatch):
         for r in mine:
             own = (digest[r["event_id"]] or "", -1 if r["event_id"] is None else r["event_id"])
             assert r["split"] == ("train" if own <= train else "validation" if own <= validation else "test")
+
+
+@pytest.mark.parametrize("name", ["m8_score_model", "m9_save_load"])
+def test_scored_rows_are_not_broadcast(spark, monkeypatch, name):
+    """However small their files are: the other side holds as many rows."""
+    from neo.plans import catalog
+
+    monkeypatch.setattr(M, "train_classifier", lambda *a, own=M.train_classifier: own(*a, iterations=2))
+    df = catalog.REGISTRY[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert df.first()["n"] == {"m8_score_model": 1000, "m9_save_load": 200}[name]
