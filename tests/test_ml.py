@@ -272,3 +272,18 @@ def test_scored_rows_are_not_broadcast(spark, monkeypatch, name):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert df.first()["n"] == {"m8_score_model": 1000, "m9_save_load": 200}[name]
+
+
+def test_gradients_of_many_partitions_are_added_on_the_way(spark, monkeypatch):
+    """More partitions than the driver takes at once give the same sums, in one more stage."""
+    from neo.operators import perceptron as NN
+
+    rows = _even_rows(spark).repartition(12, "features").persist()
+    weights = np.linspace(-1, 1, 2 * 3 + 3 + 3 * 2 + 2)
+    blocks = NN.stack(rows, "features", "label", 2)
+    loss, grad = NN.objective(blocks, [2, 3, 2])(weights)
+    monkeypatch.setattr(NN, "DIRECT_PARTITIONS", 4)
+    again, summed = NN.objective(blocks, [2, 3, 2])(weights)
+    assert blocks.getNumPartitions() == 12 and again == pytest.approx(loss) and summed == pytest.approx(grad)
+    blocks.unpersist()
+    rows.unpersist()
